@@ -1,0 +1,6 @@
+"""Deliberately empty: every input is a finished file read once.
+
+No stateful, windowed or late-data operator belongs to this engine's scope, so
+none is defined. The operators that are pure projections, filters or
+dimension joins accept a streaming DataFrame as they are.
+"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join, ratio
 from levyscape.operators.quality import ambiguous_codes, require
+from levyscape.operators.reshape import first_per_key
 from levyscape.operators.weighted import weighted_bins
 from levyscape.plans.carbon import CARRIERS, OUTSIDE, PRICE, carbon_intensity, incidence
 from levyscape.plans.households import household_frame, item_spending
@@ -128,9 +129,10 @@ def build_mart(
     if check:
         require(ambiguous_codes(survey.sector_map, "item_code"), "item with two sectors")
         require(ambiguous_codes(survey.categories, "item_code"), "item with two categories")
-    hh = household_frame(survey.house, survey.persons, survey.assets)
+    house = first_per_key(survey.house, "hh_id", ["hh_id"])
+    hh = household_frame(house, survey.persons, survey.assets)
     lines = item_spending(survey.items, survey.item_codes)
-    cleaned = clean_spending(lines, survey.house)
+    cleaned = clean_spending(lines, house)
     rate = exchange_rate(survey.fx, survey.country)
     sums = household_sums(cleaned, item_attributes(survey), survey, rate)
     basic = natural_join(sums, hh, "left", ["hh_id"]).withColumn(

@@ -194,7 +194,7 @@ def compare_models(models: Mapping[str, FittedModel], spark: SparkSession) -> Da
     for name, m in models.items():
         part = m.table(spark).withColumn("model", F.lit(name))
         stacked = part if stacked is None else stacked.unionByName(part)
-    return pivot_fill(stacked, ["term"], "model", "estimate", list(models), agg=F.first)
+    return pivot_fill(stacked, ["term"], "model", "estimate", list(models), agg=F.max)
 
 
 def top_decile_flag(

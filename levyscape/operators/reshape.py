@@ -46,7 +46,7 @@ def transpose_summary(df: DataFrame, group: str, groups: Sequence) -> DataFrame:
     long = df.select(group, *[F.col(c).cast("double").alias(c) for c in variables]).unpivot(
         [group], variables, "variable", "value"
     )
-    return pivot_fill(long, ["variable"], group, "value", groups, agg=F.first)
+    return pivot_fill(long, ["variable"], group, "value", groups, agg=F.max)
 
 
 def with_totals(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:

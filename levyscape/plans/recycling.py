@@ -67,4 +67,4 @@ def all_schemes(mart: DataFrame) -> DataFrame:
 
 def compare_schemes(mart: DataFrame) -> DataFrame:
     """Mean net gain, scheme by quintile."""
-    return pivot_fill(all_schemes(mart), ["category"], BIN, "mean", range(1, 6), agg=F.first)
+    return pivot_fill(all_schemes(mart), ["category"], BIN, "mean", range(1, 6), agg=F.max)

@@ -543,8 +543,8 @@ def _(t):
 
 @query(
     "log_and_arithmetic",
-    "o_orderkey:i log_price:8 squared:9 flipped:2 percent:9",
-    """SELECT o_orderkey, ln(o_totalprice) AS log_price, (o_totalprice / 1e3) * (o_totalprice / 1e3) AS squared,
+    "o_orderkey:i log_price:8 squared:4 flipped:2 percent:9",
+    """SELECT o_orderkey, ln(o_totalprice) AS log_price, (o_totalprice / 3e2) * (o_totalprice / 3e2) AS squared,
          -o_totalprice AS flipped, o_totalprice / 3e5 * 100 AS percent FROM orders""",
 )
 def _(t):
@@ -552,7 +552,7 @@ def _(t):
     return t.orders.select(
         "o_orderkey",
         F.ln(p).alias("log_price"),
-        ((p / 1000) * (p / 1000)).alias("squared"),
+        ((p / 300) * (p / 300)).alias("squared"),
         (-p).alias("flipped"),
         (p / 300000 * 100).alias("percent"),
     )

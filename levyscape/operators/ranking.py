@@ -4,13 +4,14 @@ A value is placed in one of a fixed number of cells by comparing it with bounds
 from one mergeable sketch. The cell is a pure function of the value, so it is
 the same on every retry. Sums per cell are tiny, their running total gives each
 cell its offset, and only rows of the same cell are ever ordered together. The
-bounds follow the data, so a cell holds about ``1/cells`` of the rows of the
-*whole* table whatever the grouping; a hot group is spread over many cells.
+bounds follow the data, so a cell holds about 50,000 rows, or 1/4096 of the rows
+of the *whole* table if that is more, whatever the grouping: a hot group is
+spread over many cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,22 +19,34 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
 
-CELLS = 1024
-TIE_CELLS = 64
+MAX_CELLS = 4096
+MAX_TIE_CELLS = 256
+ROWS_PER_CELL = 50_000
+# Rank error of a bound is at most 1/ACCURACY of the rows, less than half a cell.
+ACCURACY = 10_000
 
 
-def cell_bounds(df: DataFrame, columns: Sequence[str], cells: Sequence[int]) -> list[list[float]]:
-    """At most ``cells[i] - 1`` distinct ascending bounds for each numeric column.
+def cell_bounds(
+    df: DataFrame, limits: Mapping[str, int], rows_per_cell: int = ROWS_PER_CELL
+) -> dict[str, list[float]]:
+    """Distinct ascending bounds for each numeric column, at most ``limit - 1`` of them.
 
-    One job over the table with a mergeable sketch; the driver holds the bounds only.
+    One job over the table with a mergeable sketch that also counts the rows:
+    a small table gets few cells. The driver holds the bounds only.
     """
-    aggs = []
-    for i, (column, k) in enumerate(zip(columns, cells, strict=True)):
-        probs = ", ".join(f"{j / k!r}D" for j in range(1, k))
-        accuracy = max(10_000, 10 * k)
-        aggs.append(F.expr(f"percentile_approx(`{column}`, array({probs}), {accuracy})").alias(f"_b{i}"))
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)]).agg(*aggs).first()
-    return [sorted(set(b)) if b else [0.0] for b in found]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, (column, limit) in enumerate(limits.items()):
+        probs = ", ".join(f"{j / limit!r}D" for j in range(1, limit))
+        aggs.append(
+            F.expr(f"percentile_approx(`{column}`, array({probs}), {ACCURACY})").alias(f"b{i}")
+        )
+    found = df.select(*[F.col(c).cast("double").alias(c) for c in limits]).agg(*aggs).first()
+    out = {}
+    for i, (column, limit) in enumerate(limits.items()):
+        every = max(1, limit * rows_per_cell // max(found.n, 1))
+        sketched = found[f"b{i}"] or [0.0]
+        out[column] = sorted(set(sketched[every // 2 :: every] or sketched[:1]))
+    return out
 
 
 def with_cell(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
@@ -51,8 +64,7 @@ def ranked(
     by: Sequence[str] = (),
     rn: str = "rn",
     n: str = "n",
-    cells: int = CELLS,
-    tie_cells: int = TIE_CELLS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Row number by ``(order, tie)`` and row count, overall or within ``by``.
 
@@ -60,10 +72,10 @@ def ranked(
     again by the tie-break, so a point mass does not end up in one task.
     """
     by = list(by)
-    value_bounds, tie_bounds = cell_bounds(df, [order, tie], [cells, tie_cells])
-    placed = with_cell(with_cell(df, order, value_bounds, "_i"), tie, tie_bounds, "_t")
+    bounds = cell_bounds(df, {order: MAX_CELLS, tie: MAX_TIE_CELLS}, rows_per_cell)
+    placed = with_cell(with_cell(df, order, bounds[order], "_i"), tie, bounds[tie], "_t")
     on_bound = F.coalesce(
-        F.get(F.lit(value_bounds), F.col("_i") - 1) == F.col(order).cast("double"), F.lit(False)
+        F.get(F.lit(bounds[order]), F.col("_i") - 1) == F.col(order).cast("double"), F.lit(False)
     )
     placed = (
         placed.withColumn("_on", on_bound)

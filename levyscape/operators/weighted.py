@@ -8,6 +8,8 @@ reaching one more (at most ``n``), at the fraction ``frac(h)``.
 Plan: one mergeable sketch gives value cells, one small histogram of weights
 per (group, cell) tells which cells hold a wanted rank, and only the rows of
 those few cells are shuffled and ordered. The rest of the table is never moved.
+The sketch and the histogram run when the operator is called (they yield the
+bounds and a checked size); the last pass is lazy.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
-from levyscape.operators.ranking import CELLS, cell_bounds, with_cell
+from levyscape.operators.ranking import MAX_CELLS, ROWS_PER_CELL, cell_bounds, with_cell
+from levyscape.sources.staging import stage_small
 
-# Size of the pre-filter that keeps unwanted cells out of the shuffle.
-SLOTS = 4096
 BOX_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 BOX_NAMES = ("y5", "y25", "y50", "y75", "y95")
 
@@ -49,7 +50,7 @@ def weighted_stats(
     names: Sequence[str],
     by: Sequence[str] = (),
     mean: str | None = None,
-    cells: int = CELLS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """One row per group: the quantiles ``probs`` as ``names`` and, if asked, the mean.
 
@@ -60,10 +61,10 @@ def weighted_stats(
     rows = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter(
         F.col("_x").isNotNull() & (F.col("_w") > 0)
     )
-    (bounds,) = cell_bounds(rows, ["_x"], [cells])
-    placed = with_cell(rows, "_x", bounds, "_cell")
+    bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell)
+    placed = with_cell(rows, "_x", bounds["_x"], "_cell")
 
-    # (group, cell) histogram: at most `cells` rows per group reach this window.
+    # (group, cell) histogram: at most MAX_CELLS rows per group reach this window.
     group = Window.partitionBy(*(by or [F.lit(0)]))
     walk = group.orderBy("_cell")
     hist = (
@@ -92,31 +93,19 @@ def weighted_stats(
         .select(*by, "_cell", "_before", "_n", "_wx", "_hits")
     )
 
-    # Bounded pre-filter: SLOTS booleans say which hashed (group, cell) pairs matter.
-    slot = F.pmod(F.xxhash64(*by, "_cell"), F.lit(SLOTS)).cast("int")
-    flags = (
-        targets.select(slot.alias("_slot"))
-        .agg(F.collect_set("_slot").alias("_set"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_contains("_set", i)
-            ).alias("_flags")
-        )
-        .scalar()
-    )
+    # At most two cells per group and probability; broadcast if their number allows,
+    # so that all other rows drop out before any shuffle.
+    targets = stage_small(targets)
     # Equal values collapse before the shuffle, so a point mass is a single row.
-    chosen = (
-        placed.withColumn("_flags", flags)
-        .filter(F.get("_flags", slot))
-        .groupBy(*by, "_cell", "_x")
-        .agg(F.sum("_w").alias("_w"))
-    )
+    keys = [*by, "_cell"]
+    wanted = natural_join(placed, targets.select(*keys), "left_semi", keys, null_safe=bool(by))
+    chosen = wanted.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"))
     inside = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_x")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    cum = natural_join(chosen, targets, "inner", [*by, "_cell"], null_safe=bool(by)).withColumn(
+    cum = natural_join(chosen, targets, "inner", keys, null_safe=bool(by)).withColumn(
         "_cum", F.col("_before") + F.sum("_w").over(inside)
     )
     # Per wanted rank the smallest value reaching it, else the cell's largest.
@@ -223,7 +212,7 @@ def flag_outliers(
     names = [f"outlier_{round(p * 100)}" for p in probs]
     stats = weighted_stats(df, value, weight, probs, names, by)
     if by:
-        out = natural_join(df, stats, "left", list(by))
+        out = natural_join(df, stage_small(stats), "left", list(by))
     else:
         out = df.withColumn("_s", stats.select(F.struct(*names)).scalar()).select(
             *df.columns, *[F.col(f"_s.{n}").alias(n) for n in names]
@@ -241,6 +230,6 @@ def replace_outliers(
 ) -> DataFrame:
     """Values at or above the weighted quantile of their group become its weighted median."""
     stats = weighted_stats(df, value, weight, [prob, 0.5], ["_cap", "_mid"], by)
-    joined = natural_join(df, stats, "left", list(by))
+    joined = natural_join(df, stage_small(stats), "left", list(by))
     kept = F.when(F.col(value) >= F.col("_cap"), F.col("_mid")).otherwise(F.col(value))
     return joined.withColumn(out or value, kept).drop("_cap", "_mid")

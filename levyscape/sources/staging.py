@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A staged table of at most this many (narrow) rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +31,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage a table that is expected to be small, and check that it is.
+
+    Only a table whose counted rows are within the limit carries the broadcast
+    hint. A larger one is returned as it is: its joins shuffle on the key, where
+    AQE splits hot partitions.
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.count() <= limit else staged

@@ -134,7 +134,20 @@ SQL = {
                ELSE (l_suppkey % 10) * 1.25e0 END AS w
         FROM {lineitem}""",
 }
-RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+# Declared, so that opening a table starts no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+RAW = tuple(SCHEMAS)
 
 
 class Tables:
@@ -142,15 +155,21 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name not in RAW and name not in SQL:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self._make(name)
+        return self._made[name]
+
+    def _make(self, name: str) -> DataFrame:
         if name in RAW:
-            return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
-        if name in SQL:
-            text = SQL[name]
-            needed = [n for n in (*RAW, *SQL) if "{" + n + "}" in text]
-            return self.spark.sql(text, **{n: getattr(self, n) for n in needed})
-        raise AttributeError(name)
+            return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", SCHEMAS[name])
+        text = SQL[name]
+        needed = [n for n in (*RAW, *SQL) if "{" + n + "}" in text]
+        return self.spark.sql(text, **{n: getattr(self, n) for n in needed})
 
     @property
     def cpi(self) -> DataFrame:
@@ -207,10 +226,6 @@ class Tables:
             _MARTS[key] = stage(build_mart(self.survey))
         return _MARTS[key]
 
-    @property
-    def mart_a(self) -> DataFrame:
-        return self.mart
-
 
 _MARTS: dict[tuple[str, str], DataFrame] = {}
 

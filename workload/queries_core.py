@@ -210,7 +210,7 @@ register(
 _TOT = "SELECT hh_id, sum(expenditures) AS total_expenditures, max(hh_weights) AS hh_weights FROM cleaned GROUP BY hh_id"
 register(
     "total_outliers",
-    "hh_id:i total_expenditures:5 outlier_95:5 outlier_99:5",
+    "hh_id:i total_expenditures:7 outlier_95:7 outlier_99:7",
     lambda t: spending.total_outliers(t.cleaned),
     f"""SELECT s.hh_id, s.total_expenditures, o.outlier_95, o.outlier_99 FROM ({_TOT}) s,
         ({quantile_sql(_TOT, "total_expenditures", "hh_weights", [0.95, 0.99], ["outlier_95", "outlier_99"])}) o
@@ -223,12 +223,12 @@ register("sector_spending", "hh_id:i item_code:s GTAP:s expenditures:4",
 _SHARES = " ".join(f"share_{c}:6" for c in CATEGORIES)
 register("category_shares", f"hh_id:i {_SHARES}",
          lambda t: spending.category_shares(t.cleaned, t.categories, CATEGORIES), "SELECT * FROM shares")
-_FUELS = " ".join(f"exp_LCU_{f}:5" for f in FUELS)
+_FUELS = " ".join(f"exp_LCU_{f}:7" for f in FUELS)
 register("fuel_spending", f"hh_id:i {_FUELS}",
          lambda t: spending.fuel_spending(t.cleaned, t.fuels, FUELS), "SELECT * FROM fuel_sums")
 register(
     "expenditure_bins",
-    "hh_id:i hh_expenditures:5 hh_expenditures_pc:7 Income_Group_2:i Income_Group_3:i Income_Group_5:i Income_Group_10:i",
+    "hh_id:i hh_expenditures:7 hh_expenditures_pc:7 Income_Group_2:i Income_Group_3:i Income_Group_5:i Income_Group_10:i",
     lambda t: spending.expenditure_bins(spending.sector_spending(t.cleaned, t.sector_map), t.hh),
     "SELECT * FROM bins",
 )
@@ -240,12 +240,12 @@ register(
     ),
     "SELECT p.hh_id, p.GTAP, p.expenditures_USD_2014, u.hh_expenditures_USD_2014 FROM per_sector p JOIN usd_totals u USING (hh_id)",
 )
-register("household_totals_lcu", "hh_id:i hh_expenditures_LCU:5",
+register("household_totals_lcu", "hh_id:i hh_expenditures_LCU:7",
          lambda t: spending.totals_lcu(spending.sector_spending(t.cleaned, t.sector_map)),
          "SELECT hh_id, hh_expenditures AS hh_expenditures_LCU FROM usd_totals")
 register(
     "fuel_mart",
-    f"hh_id:i {_FUELS} hh_expenditures_LCU:5",
+    f"hh_id:i {_FUELS} hh_expenditures_LCU:7",
     lambda t: mart.fuel_mart(
         spending.fuel_spending(t.cleaned, t.fuels, FUELS),
         spending.totals_lcu(spending.sector_spending(t.cleaned, t.sector_map)),

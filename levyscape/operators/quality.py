@@ -50,9 +50,10 @@ def duplicate_baskets(exp: DataFrame, key: str, item: str, value: str) -> DataFr
     """Households whose items and amounts all equal those of another household.
 
     A basket is summarised by commutative hashes, which combine on the map side
-    and never gather a household's lines. Candidates are then compared line by
-    line with the first household of their candidate group; a household that
-    fails (two baskets under one hash) is compared by its full sorted basket.
+    and never gather a household's lines. Households under one hash are verified
+    together: their baskets are equal if every line among them is reported by all
+    of them, which again is a combinable count, whatever the number of copies.
+    A group that fails (two baskets under one hash) is compared line by line.
     """
     lines = (
         exp.filter(F.col(value).isNotNull())
@@ -74,24 +75,17 @@ def duplicate_baskets(exp: DataFrame, key: str, item: str, value: str) -> DataFr
         .agg(F.count(F.lit(1)).alias("_k"), F.min(key).alias("_rep"))
         .filter(F.col("_k") > 1)
     )
-    candidates = baskets.join(groups, on=signature).select(key, "_rep", "_n")
-    mine = lines.join(candidates, on=key)
-    theirs = (
-        lines.withColumnRenamed(key, "_rep")
-        .join(candidates.select("_rep").distinct(), on="_rep")
-        .withColumn("_hit", F.lit(1))
+    candidates = baskets.join(groups, on=signature).select(key, "_rep", "_k")
+    tagged = lines.join(candidates, on=key)
+    verdict = (
+        tagged.groupBy("_rep", "_k", item, value, "_c")
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .groupBy("_rep")
+        .agg(F.bool_and(F.col("_m") == F.col("_k")).alias("_same"))
     )
-    checked = (
-        mine.join(theirs, on=["_rep", item, value, "_c"], how="left")
-        .groupBy("_rep", key)
-        .agg((F.count("_hit") == F.max("_n")).alias("_same"))
-    )
-    equal = checked.filter("_same")
-    confirmed = equal.join(
-        equal.groupBy("_rep").agg(F.count(F.lit(1)).alias("number")).filter(F.col("number") > 1),
-        on="_rep",
-    ).select(key, "number")
-    odd = lines.join(checked.filter(~F.col("_same")).select(key), on=key, how="left_semi")
+    judged = candidates.join(verdict, on="_rep")
+    confirmed = judged.filter("_same").select(key, F.col("_k").alias("number"))
+    odd = lines.join(judged.filter(~F.col("_same")).select(key), on=key, how="left_semi")
     spelled = odd.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(item, value, "_c"))).alias("_basket")
     )

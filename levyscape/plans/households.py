@@ -35,12 +35,16 @@ def household_frame(
     key: str = "hh_id",
     with_composition: bool = False,
 ) -> DataFrame:
-    """Households, the head's education and the assets, fully outer joined."""
+    """Households, the head's education and the assets, fully outer joined.
+
+    The key is never missing, so plain equality is used: every join then has the
+    same partitioning and each input is shuffled once.
+    """
     unique = first_per_key(house, key, [key])
-    members = natural_join(heads(persons, ["education_hhh"], key), assets, "full", [key])
+    members = natural_join(heads(persons, ["education_hhh"], key), assets, "full", [key], null_safe=False)
     if with_composition:
-        members = natural_join(adult_equivalents(composition(persons, key)), members, "full", [key])
-    frame = natural_join(unique, members, "full", [key])
+        members = natural_join(adult_equivalents(composition(persons, key)), members, "full", [key], null_safe=False)
+    frame = natural_join(unique, members, "full", [key], null_safe=False)
     return move_last(frame, "gender_hhh", "ethnicity_hhh")
 
 

@@ -51,16 +51,16 @@ def assemble(
     """Left joins on the household."""
     out = incidence_
     for part in (bins, shares, fuels):
-        out = natural_join(out, part, "left", ["hh_id"])
+        out = natural_join(out, part, "left", ["hh_id"], null_safe=False)
     return out
 
 
 def final_mart(assembled: DataFrame, hh: DataFrame) -> DataFrame:
-    return natural_join(assembled, hh, "left", ["hh_id"])
+    return natural_join(assembled, hh, "left", ["hh_id"], null_safe=False)
 
 
 def fuel_mart(fuels: DataFrame, totals: DataFrame) -> DataFrame:
-    return natural_join(fuels, totals, "left", ["hh_id"])
+    return natural_join(fuels, totals, "left", ["hh_id"], null_safe=False)
 
 
 def item_attributes(survey: Survey) -> DataFrame:
@@ -127,15 +127,17 @@ def build_mart(
 ) -> DataFrame:
     """The final mart, staged: every later table reads it several times."""
     if check:
-        require(ambiguous_codes(survey.sector_map, "item_code"), "item with two sectors")
-        require(ambiguous_codes(survey.categories, "item_code"), "item with two categories")
+        twice = ambiguous_codes(survey.sector_map, "item_code").unionByName(
+            ambiguous_codes(survey.categories, "item_code")
+        )
+        require(twice, "item with two sectors or two categories")
     house = first_per_key(survey.house, "hh_id", ["hh_id"])
     hh = household_frame(house, survey.persons, survey.assets)
     lines = item_spending(survey.items, survey.item_codes)
     cleaned = clean_spending(lines, house)
     rate = exchange_rate(survey.fx, survey.country)
     sums = household_sums(cleaned, item_attributes(survey), survey, rate)
-    basic = natural_join(sums, hh, "left", ["hh_id"]).withColumn(
+    basic = natural_join(sums, hh, "left", ["hh_id"], null_safe=False).withColumn(
         "hh_expenditures_pc", ratio("hh_expenditures", "hh_size")
     )
     # Bins cover every household with counted spending, emitting or not.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join, ratio, strict_sum
@@ -35,7 +35,7 @@ def merge_gas(c: str | Column) -> Column:
 def weighted_lines(exp: DataFrame, hh: DataFrame) -> DataFrame:
     """Positive lines with their household's weight."""
     positive = exp.filter(F.col("expenditures_year").isNotNull() & (F.col("expenditures_year") > 0))
-    return natural_join(positive, hh.select("hh_id", "hh_weights"), "left", ["hh_id"])
+    return natural_join(positive, hh.select("hh_id", "hh_weights"), "left", ["hh_id"], null_safe=False)
 
 
 def clean_spending(exp: DataFrame, hh: DataFrame, prob: float = 0.99) -> DataFrame:
@@ -91,7 +91,7 @@ def household_spending(sector_exp: DataFrame, hh: DataFrame) -> DataFrame:
     """Total and per-head spending of each household with its weight."""
     totals = sector_exp.groupBy("hh_id").agg(strict_sum("expenditures").alias("hh_expenditures"))
     basic = hh.select("hh_id", "hh_size", "hh_weights")
-    return natural_join(totals, basic, "left", ["hh_id"]).select(
+    return natural_join(totals, basic, "left", ["hh_id"], null_safe=False).select(
         "hh_id",
         "hh_expenditures",
         ratio("hh_expenditures", "hh_size").alias("hh_expenditures_pc"),
@@ -174,27 +174,26 @@ def cpi_long(cpi: DataFrame) -> DataFrame:
 def price_factors(cpi: DataFrame, target_year: int) -> DataFrame:
     """(Country, base_year, factor) that carries prices of every base year to the target year.
 
-    Years between are compounded; a later base year is deflated; a missing rate
-    on the way makes the factor null.
+    Rates of the years between are compounded, as differences of one running log
+    level per country; a later base year is deflated; a missing rate on the way
+    makes the factor null.
     """
-    rates = cpi_long(cpi)
-    base = rates.select(F.col("Country").alias("_c"), F.col("year").alias("base_year"))
-    low = F.least("base_year", F.lit(target_year))
-    high = F.greatest("base_year", F.lit(target_year))
-    growth = F.ln(1 + F.col("rate"))
-    on_way = (F.col("year") > low) & (F.col("year") <= high)
-    # equi-join on the country: at most years x years rows per country
-    walk = base.join(rates, (F.col("_c") == F.col("Country")) & on_way, "left")
-    total = walk.groupBy("_c", "base_year").agg(
-        F.when(
-            F.count("Country") == F.count(F.when(F.col("Country").isNotNull(), F.col("rate"))),
-            F.exp(F.coalesce(F.sum(growth), F.lit(0.0))),
-        ).alias("_f")
+    rate, year = F.col("rate"), F.col("year")
+    country = Window.partitionBy("Country")  # one row per year
+    so_far = country.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    until_target = year <= target_year
+    level = cpi_long(cpi).select(
+        "Country",
+        year.alias("base_year"),
+        F.coalesce(F.sum(F.ln(1 + rate)).over(so_far), F.lit(0.0)).alias("_log"),
+        F.count_if(rate.isNull()).over(so_far).alias("_gaps"),
+        F.coalesce(F.sum(F.when(until_target, F.ln(1 + rate))).over(country), F.lit(0.0)).alias("_log_t"),
+        F.count_if(until_target & rate.isNull()).over(country).alias("_gaps_t"),
     )
-    return total.select(
-        F.col("_c").alias("Country"),
+    return level.select(
+        "Country",
         "base_year",
-        F.when(F.col("base_year") > target_year, 1 / F.col("_f")).otherwise(F.col("_f")).alias("factor"),
+        F.when(F.col("_gaps") == F.col("_gaps_t"), F.exp(F.col("_log_t") - F.col("_log"))).alias("factor"),
     )
 
 

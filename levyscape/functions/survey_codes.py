@@ -308,7 +308,52 @@ CAPTION_ORDER = (
     "Heating Water:",
     "Heating Space:",
 )
-# Captions of the indicator names in the importance table.
+# Captions of the indicator names in the importance table: last part, then prefix.
+INDICATOR_WORDS = {
+    "westerncape": "Western Cape",
+    "easterncape": "Eastern Cape",
+    "northerncape": "Northern Cape",
+    "freestate": "Free State",
+    "kwazulunatal": "KwaZulu Natal",
+    "northwest": "North West",
+    "gauteng": "Gauteng",
+    "mpumalanga": "Mpumalanga",
+    "limpopo": "Limpopo",
+    "urban_formal": "Urban Formal",
+    "urban_informal": "Urban Informal",
+    "rural_traditional": "Rural Traditional",
+    "rural_formal": "Rural Formal",
+    "female": "Female",
+    "male": "Male",
+    "africanblack": "African Black",
+    "coloured": "Coloured",
+    "indian_asian": "Indian/Asian",
+    "white": "White",
+    "preprimary": "Pre-primary",
+    "primary": "Primary",
+    "lower_secondary": "Lower Secondary",
+    "upper_secondary": "Upper Secondary",
+    "postsecondary_nontertiary": "Post-secondary Non-tertiary",
+    "shortcycle_tertiary": "Short-cycle Tertiary",
+    "bachelor_eq": "Bachelor's or Equivalent",
+    "master_eq": "Master's or Equivalent",
+    "no_schooling": "No Schooling",
+    "own": "Ownership",
+    "noaccess": "No Access",
+    "other": "Other",
+    "mains": "Mains",
+    "elecmains": "Electricity Mains",
+    "elecother": "Electricity Other",
+    "solar": "Solar",
+    "paraffin": "Paraffin",
+    "candles": "Candles",
+    "gas": "Gas",
+    "coal": "Coal",
+    "wood": "Wood",
+    "dung": "Dung",
+    "free": "Free",
+    "nofree": "Not Free",
+}
 INDICATOR_PREFIXES = (
     ("^cooking_", "Cooking Fuel: "),
     ("^elec_", "Electricity Source: "),

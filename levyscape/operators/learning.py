@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from levyscape.functions.scalars import replace_all
-from levyscape.functions.survey_codes import INDICATOR_PREFIXES
+from levyscape.functions.survey_codes import INDICATOR_PREFIXES, INDICATOR_WORDS
 from levyscape.operators.reshape import transpose_summary
 
 
@@ -91,7 +91,8 @@ def importance(
     span = (high - low) or 1.0
     rows = [(c, (v - low) / span * 100) for c, v in zip(columns, values, strict=True)]
     table = spark.createDataFrame(rows, "variable string, overall double")
-    return table.withColumn("caption", replace_all("variable", INDICATOR_PREFIXES))
+    words = [(f"_{word}$", f"_{text}") for word, text in INDICATOR_WORDS.items()]
+    return table.withColumn("caption", replace_all("variable", [*words, *INDICATOR_PREFIXES]))
 
 
 def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:

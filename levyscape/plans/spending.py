@@ -182,6 +182,8 @@ def price_factors(cpi: DataFrame, target_year: int) -> DataFrame:
     country = Window.partitionBy("Country")  # one row per year
     so_far = country.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
     until_target = year <= target_year
+    first, last = F.min("year").over(country), F.max("year").over(country)
+    covered = (F.lit(target_year) >= first - 1) & (F.lit(target_year) <= last)
     level = cpi_long(cpi).select(
         "Country",
         year.alias("base_year"),
@@ -189,11 +191,14 @@ def price_factors(cpi: DataFrame, target_year: int) -> DataFrame:
         F.count_if(rate.isNull()).over(so_far).alias("_gaps"),
         F.coalesce(F.sum(F.when(until_target, F.ln(1 + rate))).over(country), F.lit(0.0)).alias("_log_t"),
         F.count_if(until_target & rate.isNull()).over(country).alias("_gaps_t"),
+        covered.alias("_covered"),
     )
     return level.select(
         "Country",
         "base_year",
-        F.when(F.col("_gaps") == F.col("_gaps_t"), F.exp(F.col("_log_t") - F.col("_log"))).alias("factor"),
+        F.when(
+            F.col("_covered") & (F.col("_gaps") == F.col("_gaps_t")), F.exp(F.col("_log_t") - F.col("_log"))
+        ).alias("factor"),
     )
 
 

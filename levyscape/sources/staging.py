@@ -33,7 +33,7 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def stage_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Stage a table that is expected to be small, and check that it is.
 
     Only a table whose counted rows are within the limit carries the broadcast
@@ -41,4 +41,5 @@ def stage_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     AQE splits hot partitions.
     """
     staged = stage(df)
-    return F.broadcast(staged) if staged.count() <= limit else staged
+    bound = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(staged) if staged.count() <= bound else staged

@@ -218,8 +218,8 @@ class Tables:
     def mart(self) -> DataFrame:
         """The final mart, written once per session and data directory, then read.
 
-        The scripts this engine serves hand the mart over as a file in the same
-        way; ``forget_marts`` makes the next query compute it again.
+        Tables, models and clusterings all start from this one written table;
+        ``forget_marts`` makes the next query compute it again.
         """
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _MARTS:

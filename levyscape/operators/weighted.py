@@ -8,8 +8,8 @@ reaching one more (at most ``n``), at the fraction ``frac(h)``.
 Plan: one mergeable sketch gives value cells, one small histogram of weights
 per (group, cell) tells which cells hold a wanted rank, and only the rows of
 those few cells are shuffled and ordered. The rest of the table is never moved.
-The sketch and the histogram run when the operator is called (they yield the
-bounds and a checked size); the last pass is lazy.
+The sketch and, for groups, the histogram run when the operator is called (they
+yield the bounds and a checked size); the last pass is lazy.
 """
 
 from __future__ import annotations
@@ -21,20 +21,22 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
 from levyscape.operators.ranking import MAX_CELLS, ROWS_PER_CELL, cell_bounds, with_cell
-from levyscape.sources.staging import stage_small
+from levyscape.sources.staging import stage_checked
 
 BOX_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 BOX_NAMES = ("y5", "y25", "y50", "y75", "y95")
 
 
-def _ranks(n: Column, probs: Sequence[float]) -> Column:
-    """Array of {i, v}: the lower (i = 2j) and upper (2j+1) rank of every probability j."""
+def _hits(probs: Sequence[float]) -> Column:
+    """The wanted ranks that fall into a cell, as {i, v}.
+
+    For every probability j these are the lower (i = 2j) and the upper (2j+1) rank.
+    """
     parts = []
     for j, p in enumerate(probs):
-        low = F.greatest(F.floor(1 + (n - 1) * p).cast("double"), F.lit(1.0))
-        parts.append(F.struct(F.lit(2 * j).alias("i"), low.alias("v")))
-        parts.append(F.struct(F.lit(2 * j + 1).alias("i"), F.least(low + 1, n).alias("v")))
-    return F.array(*parts)
+        low = f"greatest(CAST(floor(1 + (_n - 1) * {float(p)!r}D) AS DOUBLE), 1D)"
+        parts += [f"struct({2 * j} AS i, {low} AS v)", f"struct({2 * j + 1} AS i, least({low} + 1, _n) AS v)"]
+    return F.expr(f"filter(array({', '.join(parts)}), r -> r.v > _before AND (r.v <= _upto OR _last))")
 
 
 def _fraction(n: Column, p: float) -> Column:
@@ -82,35 +84,32 @@ def weighted_stats(
             F.lead("_cell").over(walk).isNull().alias("_last"),
         )
     )
-    hits = F.filter(
-        "_ranks",
-        lambda r: (r.v > F.col("_before")) & ((r.v <= F.col("_upto")) | F.col("_last")),
-    )
-    targets = (
-        hist.withColumn("_ranks", _ranks(F.col("_n"), probs))
-        .withColumn("_hits", hits)
-        .filter(F.size("_hits") > 0)
-        .select(*by, "_cell", "_before", "_n", "_wx", "_hits")
-    )
+    # Cells holding a wanted rank: at most two per group and probability.
+    state = ["_before", "_upto", "_n", "_wx", "_last"]
+    targets = hist.filter(F.size(_hits(probs)) > 0).select(*by, "_cell", *state)
+    small = True
+    if by:
+        targets, small = stage_checked(targets)
+    if small:  # ungrouped by construction, else counted
+        targets = F.broadcast(targets)
 
-    # At most two cells per group and probability; broadcast if their number allows,
-    # so that all other rows drop out before any shuffle.
-    targets = stage_small(targets)
-    # Equal values collapse before the shuffle, so a point mass is a single row.
+    # With a broadcast all other rows drop out before any shuffle. Equal values
+    # collapse on the map side, so a point mass is a single row.
     keys = [*by, "_cell"]
-    wanted = natural_join(placed, targets.select(*keys), "left_semi", keys, null_safe=bool(by))
-    chosen = wanted.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"))
+    chosen = (
+        natural_join(placed, targets, "inner", keys, null_safe=bool(by))
+        .groupBy(*keys, "_x")
+        .agg(F.sum("_w").alias("_w"), *[F.max(c).alias(c) for c in state])
+    )
     inside = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_x")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    cum = natural_join(chosen, targets, "inner", keys, null_safe=bool(by)).withColumn(
-        "_cum", F.col("_before") + F.sum("_w").over(inside)
-    )
+    cum = chosen.withColumn("_cum", F.col("_before") + F.sum("_w").over(inside))
     # Per wanted rank the smallest value reaching it, else the cell's largest.
     ranks = (
-        cum.select(*by, "_x", "_cum", "_n", "_wx", F.explode("_hits").alias("_r"))
+        cum.select(*by, "_x", "_cum", "_n", "_wx", F.explode(_hits(probs)).alias("_r"))
         .groupBy(*by, F.col("_r.i").alias("_i"))
         .agg(
             F.coalesce(
@@ -132,7 +131,9 @@ def weighted_stats(
         out.append((low + _fraction(F.col("_n"), p) * (high - low)).alias(name))
     if mean is not None:
         out.append((F.col("_wx") / F.col("_n")).alias(mean))
-    return found.filter(F.col("_n").isNotNull()).select(*by, *out)
+    result = found.filter(F.col("_n").isNotNull()).select(*by, *out)
+    # no more rows than targets, whose number was checked
+    return F.broadcast(result) if small else result
 
 
 def weighted_quantile(
@@ -212,7 +213,7 @@ def flag_outliers(
     names = [f"outlier_{round(p * 100)}" for p in probs]
     stats = weighted_stats(df, value, weight, probs, names, by)
     if by:
-        out = natural_join(df, stage_small(stats), "left", list(by))
+        out = natural_join(df, stats, "left", list(by))
     else:
         out = df.withColumn("_s", stats.select(F.struct(*names)).scalar()).select(
             *df.columns, *[F.col(f"_s.{n}").alias(n) for n in names]
@@ -230,6 +231,6 @@ def replace_outliers(
 ) -> DataFrame:
     """Values at or above the weighted quantile of their group become its weighted median."""
     stats = weighted_stats(df, value, weight, [prob, 0.5], ["_cap", "_mid"], by)
-    joined = natural_join(df, stage_small(stats), "left", list(by))
+    joined = natural_join(df, stats, "left", list(by))
     kept = F.when(F.col(value) >= F.col("_cap"), F.col("_mid")).otherwise(F.col(value))
     return joined.withColumn(out or value, kept).drop("_cap", "_mid")

@@ -126,17 +126,15 @@ def build_mart(
     survey: Survey, price: float = PRICE, ks: Sequence[int] = (2, 3, 5, 10), check: bool = True
 ) -> DataFrame:
     """The final mart, staged: every later table reads it several times."""
+    attributes = item_attributes(survey)
     if check:
-        twice = ambiguous_codes(survey.sector_map, "item_code").unionByName(
-            ambiguous_codes(survey.categories, "item_code")
-        )
-        require(twice, "item with two sectors or two categories")
+        require(ambiguous_codes(attributes, "item_code"), "item with two sectors or two categories")
     house = first_per_key(survey.house, "hh_id", ["hh_id"])
     hh = household_frame(house, survey.persons, survey.assets)
     lines = item_spending(survey.items, survey.item_codes)
     cleaned = clean_spending(lines, house)
     rate = exchange_rate(survey.fx, survey.country)
-    sums = household_sums(cleaned, item_attributes(survey), survey, rate)
+    sums = household_sums(cleaned, attributes, survey, rate)
     basic = natural_join(sums, hh, "left", ["hh_id"], null_safe=False).withColumn(
         "hh_expenditures_pc", ratio("hh_expenditures", "hh_size")
     )

@@ -33,13 +33,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_checked(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Stage a table that is expected to be small, and count whether it is."""
+    staged = stage(df)
+    return staged, staged.count() <= (BROADCAST_ROWS if limit is None else limit)
+
+
 def stage_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Stage a table that is expected to be small, and check that it is.
+    """Staged table that carries the broadcast hint only if its counted rows allow it.
 
-    Only a table whose counted rows are within the limit carries the broadcast
-    hint. A larger one is returned as it is: its joins shuffle on the key, where
-    AQE splits hot partitions.
+    A larger one is returned as it is: its joins shuffle on the key, where AQE
+    splits hot partitions.
     """
-    staged = stage(df)
-    bound = BROADCAST_ROWS if limit is None else limit
-    return F.broadcast(staged) if staged.count() <= bound else staged
+    staged, small = stage_checked(df, limit)
+    return F.broadcast(staged) if small else staged

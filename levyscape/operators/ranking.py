@@ -4,7 +4,7 @@ A value is placed in one of a fixed number of cells by comparing it with bounds
 from one mergeable sketch. The cell is a pure function of the value, so it is
 the same on every retry. Sums per cell are tiny, their running total gives each
 cell its offset, and only rows of the same cell are ever ordered together. The
-bounds follow the data, so a cell holds about 50,000 rows, or 1/4096 of the rows
+bounds follow the data, so a cell holds about 2,000 rows, or 1/4096 of the rows
 of the *whole* table if that is more, whatever the grouping: a hot group is
 spread over many cells.
 """
@@ -21,7 +21,7 @@ from levyscape.functions.nulls import natural_join
 
 MAX_CELLS = 4096
 MAX_TIE_CELLS = 256
-ROWS_PER_CELL = 50_000
+ROWS_PER_CELL = 2_000
 # Rank error of a bound is at most 1/ACCURACY of the rows, less than half a cell.
 ACCURACY = 10_000
 

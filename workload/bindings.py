@@ -75,7 +75,7 @@ SQL = {
         SELECT c_custkey AS hh_id,
           CASE {_mix(67, 1087, 5)} WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 1 END AS own_stove,
           CASE {_mix(71, 1091, 5)} WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 1 END AS own_vehicle
-        FROM {{customer}} WHERE c_custkey % 17 <> 0
+        FROM {{customer}} WHERE c_acctbal > -5e2
         UNION ALL SELECT -1 - s_suppkey AS hh_id, 1 AS own_stove, 3 AS own_vehicle FROM {{supplier}}""",
     "brands": """
         SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS INT) AS n, p_type,

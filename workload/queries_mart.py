@@ -226,15 +226,13 @@ _PROV = """CASE province WHEN 1 THEN 'Western Cape' WHEN 2 THEN 'Eastern Cape' W
 _HARM = " UNION ALL ".join(
     f"SELECT hh_id, '{s}' AS survey, {_PROV} AS province, "
     + ", ".join(f"{_SQL_MIX[a][s][0]} AS {a}" for a in _SHORT)
-    + f" FROM hh WHERE hh_id % 3 = {part}"
-    for s, part in (("A", 0), ("C", 2))
+    + " FROM hh"
+    for s in ("A", "C")
 )
 register(
     "harmonise_surveys",
     "hh_id:i survey:s province:s " + " ".join(f"{a}:s" for a in _SHORT),
-    lambda t: energy.harmonise(t.hh.filter("hh_id % 3 = 0"), "A").unionByName(
-        energy.harmonise(t.hh.filter("hh_id % 3 = 2"), "C")
-    ),
+    lambda t: energy.harmonise(t.hh, "A").unionByName(energy.harmonise(t.hh, "C")),
     _HARM,
 )
 _SOURCE = """CASE WHEN electricitycon = 2 THEN 'No Access' WHEN electricitymains = 1 THEN 'Mains'
@@ -243,8 +241,8 @@ register("electricity_source", "hh_id:i electricitysource:s",
          lambda t: energy.with_electricity_source(t.hh),
          f"SELECT hh_id, {_SOURCE} AS electricitysource FROM hh")
 register("renumbered_households", "hh_id:i province:i",
-         lambda t: energy.renumber(t.hh.filter("hh_id % 3 = 2")),
-         "SELECT row_number() OVER (ORDER BY hh_id) AS hh_id, province FROM hh WHERE hh_id % 3 = 2")
+         lambda t: energy.renumber(t.hh),
+         "SELECT row_number() OVER (ORDER BY hh_id) AS hh_id, province FROM hh")
 
 # --- recoding and indicators ---------------------------------------------------------------
 _OWN = "CASE WHEN {c} IS NULL THEN NULL WHEN {c} = 1 THEN 'Ownership' WHEN {c} = 3 THEN 'No Access' ELSE 'Other' END"
@@ -392,16 +390,24 @@ register(
     """SELECT avg(g * g) AS mse, avg(abs(g)) AS mae, sqrt(avg(g * g)) AS rmse
        FROM (SELECT income - hh_size * 1000e0 AS g FROM hh)""",
 )
+
+
+def _transfer_one_factor(t):
+    """Three quarters of the households are the first survey, the rest the second."""
+    people = splits.hash_split(_one_factor(t, "y"), "hh_id", out="first")
+    return regression.transfer_quality(
+        regression.ols(people.filter("first"), "y", _GENDER), people.filter("NOT first")
+    )
+
+
+_FIRST = "((hh_id % 1000003) * 2654435761 % 4294967296) % 1000 < 750"
 register(
     "transfer_one_factor",
     "mse:3 mae:5 r2_refit:8 r2_predictive:8",
-    lambda t: regression.transfer_quality(
-        regression.ols(_one_factor(t, "y").filter("hh_id % 3 = 0"), "y", _GENDER),
-        _one_factor(t, "y").filter("hh_id % 3 = 1"),
-    ),
-    """WITH m AS (SELECT gender_hhh, avg(income) AS p FROM hh WHERE hh_id % 3 = 0 GROUP BY 1),
+    _transfer_one_factor,
+    f"""WITH m AS (SELECT gender_hhh, avg(income) AS p FROM hh WHERE {_FIRST} GROUP BY 1),
        b AS (SELECT h.income AS y, m.p, avg(h.income) OVER (PARTITION BY h.gender_hhh) AS own, avg(h.income) OVER () AS mu
-             FROM hh h JOIN m USING (gender_hhh) WHERE h.hh_id % 3 = 1)
+             FROM hh h JOIN m USING (gender_hhh) WHERE NOT ({_FIRST}))
        SELECT avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae, 1 - sum((y - own) ** 2) / sum((y - mu) ** 2) AS r2_refit,
          1 - sum((y - p) ** 2) / sum((y - mu) ** 2) AS r2_predictive FROM b""",
 )
@@ -409,12 +415,12 @@ _COEF = "term:s estimate:6 std_error:6 statistic:4 p_value:6"
 register("ols_full", _COEF, lambda t: regression.ols(model_frame(t), _B, full_spec()).table(t.spark))
 
 
-def _logit_frame(t, quintile: int | None = None):
-    frame = model_frame(t)
-    if quintile is not None:
-        frame = frame.filter(F.col("Income_Group_5") == quintile)
-    flagged = regression.top_decile_flag(frame, _B)
-    return flagged.withColumn("burden_decile", F.col("burden_decile").cast("double"))
+def _logit_frame(t):
+    """Model rows with the tenth most affected, overall and within each quintile."""
+    overall = regression.top_decile_flag(model_frame(t), _B, out="burden_decile")
+    both = regression.top_decile_flag(overall, _B, by=["Income_Group_5"], out="decile_within")
+    flags = {c: F.col(c).cast("double") for c in ("burden_decile", "decile_within")}
+    return stage(both.withColumns(flags))
 
 
 @query("logit_full", "variable_name:s intercept:4 standard_error:4 signif:s")
@@ -426,15 +432,17 @@ def _(t):
 @query("logit_side_by_side", "term:s " + " ".join(f"{n}:4" for n in ("full", "q1", "q2", "q3", "q4", "q5")))
 def _(t):
     small = ModelSpec(("log_expenditures_hh",), tuple(f for f in full_spec().factors if f.column in TRANSFER_FACTORS))
-    models = {"full": regression.logit(_logit_frame(t), "burden_decile", small)}
+    frame = _logit_frame(t)
+    models = {"full": regression.logit(frame, "burden_decile", small)}
     for q in range(1, 6):
-        models[f"q{q}"] = regression.logit(_logit_frame(t, q), "burden_decile", small)
+        mine = frame.filter(F.col("Income_Group_5") == q)
+        models[f"q{q}"] = regression.logit(mine, "decile_within", small)
     return regression.compare_models(models, t.spark)
 
 
 @query("ame_full", "caption:s prefix_order:i AME:6 lower:6 upper:6 effect:s")
 def _(t):
-    frame = stage(_logit_frame(t))
+    frame = _logit_frame(t)
     model = regression.logit(frame, "burden_decile", full_spec().without("electricityfree"))
     effects = regression.average_marginal_effects(model, frame)
     return regression.caption_terms(effects, exclude=["heatingsourcewaterNo Access"])
@@ -445,15 +453,20 @@ def _transfer_spec() -> ModelSpec:
     return ModelSpec(("log_expenditures_hh",), tuple(Factor(c, levels[c]) for c in TRANSFER_FACTORS))
 
 
-@query("transfer_full", "mse:8 mae:8 r2_refit:6 r2_predictive:6")
+@query("transfer_full", "sample:s mse:8 mae:8 r2_refit:6 r2_predictive:6")
 def _(t):
     frame = model_frame(t).withColumn(
         "electricitymains",
         F.when(F.col("electricitymains") == 1, "Mains").when(F.col("electricitymains") > 1, "Other"),
     )
-    split = stage(splits.stratified_split(frame.filter("hh_id % 3 <> 1"), _B, "hh_id"))
+    frame = stage(splits.hash_split(frame, "hh_id", out="first"))
+    split = stage(splits.stratified_split(frame.filter("first"), _B, "hh_id"))
     model = regression.ols(split.filter("train"), _B, _transfer_spec())
-    return regression.transfer_quality(model, frame.filter("hh_id % 3 = 1"))
+    held_out = regression.transfer_quality(model, split.filter("NOT train"))
+    second = regression.transfer_quality(model, frame.filter("NOT first"))
+    return held_out.withColumn("sample", F.lit("held out")).unionByName(
+        second.withColumn("sample", F.lit("second survey"))
+    )
 
 
 # --- forest and clusters -------------------------------------------------------------------

@@ -228,7 +228,7 @@ register("fuel_spending", f"hh_id:i {_FUELS}",
          lambda t: spending.fuel_spending(t.cleaned, t.fuels, FUELS), "SELECT * FROM fuel_sums")
 register(
     "expenditure_bins",
-    "hh_id:i hh_expenditures:7 hh_expenditures_pc:7 Income_Group_2:i Income_Group_3:i Income_Group_5:i Income_Group_10:i",
+    "hh_id:i hh_expenditures:7 hh_expenditures_pc:8 Income_Group_2:i Income_Group_3:i Income_Group_5:i Income_Group_10:i",
     lambda t: spending.expenditure_bins(spending.sector_spending(t.cleaned, t.sector_map), t.hh),
     "SELECT * FROM bins",
 )

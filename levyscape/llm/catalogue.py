@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from levyscape.llm import recompress_dedup, suffix_dedup
+from levyscape.llm import recompress_dedup, simhash, suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.query,
     "op6_recompress_dedup": recompress_dedup.query,
+    "op8_simhash_ball": simhash.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -175,3 +175,22 @@ def space_words() -> np.ndarray:
 def groups(values: np.ndarray) -> np.ndarray:
     """Where each run of equal neighbours begins."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
+def whole_buckets(batches, size: int) -> Iterator[pa.Table]:
+    """Tables of complete buckets, of about `size` rows, from rows sorted by `g`."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = int64_column(batch.column(batch.schema.get_field_index("g")))
+        cut = int(groups(g)[-1])
+        if rows + cut >= size and not (cut == 0 and last == g[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        rows, last = rows + batch.num_rows, g[-1]
+    if held:
+        yield pa.Table.from_batches(held)

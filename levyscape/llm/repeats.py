@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import RangeNames, byte_names, groups, id_or_last, int64_column, mix, slices, space_words, stage, utf8_column, window_names, word_spans
+from levyscape.llm.common import RangeNames, byte_names, groups, id_or_last, int64_column, mix, slices, space_words, stage, utf8_column, whole_buckets, window_names, word_spans
 
 # Bytes worked on at once, and contexts of a bucket beyond which its windows are dealt out singly.
 SLICE = 1 << 20
@@ -124,30 +124,11 @@ def _anchor_rows(spec: Repeats):
     return run
 
 
-def _whole_buckets(batches, size: int) -> Iterator[pa.Table]:
-    """Tables of complete buckets, of about `size` rows, from rows sorted by `g`."""
-    held: list[pa.RecordBatch] = []
-    rows, last = 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g = int64_column(batch.column(batch.schema.get_field_index("g")))
-        cut = int(groups(g)[-1])
-        if rows + cut >= size and not (cut == 0 and last == g[0]):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held, rows = [], 0
-            batch = batch.slice(cut)
-        held.append(batch)
-        rows, last = rows + batch.num_rows, g[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sort_out(spec: Repeats):
     """Rows sorted by g, c, k, loc: which are covered, which are open, which drop out."""
 
     def run(batches):
-        for table in _whole_buckets(batches, 100_000):
+        for table in whole_buckets(batches, 100_000):
             g, c, k, loc = (int64_column(table.column(x)) for x in ("g", "c", "k", "loc"))
             new_g = np.concatenate(([True], g[1:] != g[:-1]))
             new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
@@ -230,7 +211,7 @@ def _compare(spec: Repeats):
     """Rows sorted by g, k, loc: spans of windows that start earlier."""
 
     def run(batches):
-        for table in _whole_buckets(batches, 10_000):
+        for table in whole_buckets(batches, 10_000):
             k, loc, kind, g = (int64_column(table.column(x)) for x in ("k", "loc", "kind", "g"))
             units, offsets = context_units(spec, table.column("context").to_pylist())
             names = window_names(units, spec.width) if len(units) >= spec.width else np.zeros(0, np.uint64)

@@ -194,3 +194,29 @@ def whole_buckets(batches, size: int) -> Iterator[pa.Table]:
         rows, last = rows + batch.num_rows, g[-1]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def name_words(data: np.ndarray, first: np.ndarray, end: np.ndarray, piece: int = 200_000) -> np.ndarray:
+    """Name of each word, piece by piece, so that a very long text needs no large arrays of names."""
+    names = byte_names()
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(first), piece):
+        a, b = first[i : i + piece], end[i : i + piece]
+        out.append(RangeNames(names[data[a[0] : b[-1]]]).of(a - a[0], b - a[0]))
+    return np.concatenate(out)
+
+
+def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Where a window of `width` units fits into its row."""
+    n = np.maximum(np.diff(offsets) - width + 1, 0)
+    return np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal spans from spans that overlap or touch."""
+    if not len(first):
+        return first, end
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.concatenate(([True], first[1:] > reach[:-1]))
+    return first[new], reach[np.concatenate((np.flatnonzero(new)[1:], [len(first)])) - 1]

@@ -7,7 +7,8 @@ inside it that depends on the window's units alone, and share the rest:
 1. Each run of windows with one anchor is one row: `g`, the name of what stands at
    the anchor, and `c`, the name of all units the run covers (its context).
    Windows can only be equal if their `g` are, so a `g` that occurs once is done.
-2. One shuffle by `g`. Rows whose context occurs earlier are settled as a whole.
+2. Rows whose context the same task has seen earlier are settled at once. The others
+   take one shuffle by `g`. Rows whose context occurs earlier are settled as a whole.
    Only the first row of each context, in a bucket of several contexts, is open.
 3. Open rows fetch their context from the text and meet again by `g`; there the
    names of all their windows are compared. In a bucket of more than `HOT`
@@ -31,11 +32,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import RangeNames, byte_names, groups, id_or_last, int64_column, mix, slices, space_words, stage, utf8_column, whole_buckets, window_names, word_spans
-
-# Bytes worked on at once, and contexts of a bucket beyond which its windows are dealt out singly.
+from levyscape.llm.common import (
+    RangeNames,
+    byte_names,
+    id_or_last,
+    int64_column,
+    merged,
+    mix,
+    name_words,
+    slices,
+    space_words,
+    stage,
+    utf8_column,
+    whole_buckets,
+    window_names,
+    window_starts,
+    word_spans,
+)
+
+# Bytes worked on at once; contexts of a bucket beyond which its windows are dealt out singly.
 SLICE = 1 << 20
 HOT = 20_000
+# Rows of a task that are looked at together before they travel.
+TOGETHER = 400_000
 
 # loc: 13 bits of the text's hash, 36 of the first window's start, 7 of the anchor's offset, 7 of the windows after the first
 _TAG, _LO, _DA = 50, 14, 7
@@ -60,88 +79,95 @@ class Repeats:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, unit: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Units in pieces of bounded size: first row, units, offsets of the rows in them.
-
-    A row longer than a slice comes alone, its words named slice by slice.
-    """
+    """Units in pieces of bounded size: first row, units, offsets of the rows in them. A row longer than a piece comes alone."""
     for first, last in slices(offsets, SLICE):
         part, offs = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        if unit == "byte":
-            yield first, part, offs
-        elif len(part) <= 2 * SLICE:
-            yield first, *word_units(part, offs)
-        else:
-            space, cuts = ~space_words(), [0]
-            while len(part) - cuts[-1] > SLICE:
-                gap = np.flatnonzero(space[part[cuts[-1] + SLICE :]])
-                cuts.append(cuts[-1] + SLICE + int(gap[0]) if len(gap) else len(part))
-            cuts.append(len(part))
-            named = [word_units(part[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
-            units = np.concatenate(named)
-            yield first, units, np.array([0, len(units)])
+        yield first, *((part, offs) if unit == "byte" else word_units(part, offs))
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, end, rows = word_spans(data, offsets, space_words())
-    return RangeNames(byte_names()[data]).of(first, end), rows
-
-
-def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
-    """Where a window fits into its row."""
-    n = np.maximum(np.diff(offsets) - width + 1, 0)
-    return np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return name_words(data, first, end), rows
 
 
 def _anchor_rows(spec: Repeats):
     def run(batches):
-        names = byte_names()
-        for batch in batches:
-            data, offsets = utf8_column(batch.column(2))
-            ids, tags = int64_column(batch.column(0)), int64_column(batch.column(1))
-            for first, units, offs in pieces(data, offsets, spec.unit):
-                # windows start in [begin, begin + SLICE) of a long row's piece, and may reach beyond
-                for begin in range(0, max(1, int(offs[-1])), SLICE) if len(offs) == 2 else (0,):
-                    some = units[begin : begin + SLICE + spec.width - 1] if len(offs) == 2 else units
-                    if spec.unit == "byte":
-                        some = names[some]
-                    part = np.array([0, len(some)]) if len(offs) == 2 else offs
-                    s = window_starts(part, spec.width)
-                    if not len(s):
-                        continue
-                    place, anchor, g = spec.anchors(some, s)
-                    cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1))))
-                    lo, hi = s[cut], s[np.concatenate((cut[1:], [len(s)])) - 1]
-                    row = np.searchsorted(part, lo, "right") - 1
-                    da, dw = place[cut] - lo, hi - lo
-                    c = mix(RangeNames(some).of(lo, hi + spec.width), (da * 128 + dw).astype(np.uint64))
-                    row_lo = lo - part[row] + begin
-                    row = row + first
-                    loc = (tags[row] << _TAG) | (row_lo << _LO) | (da << _DA) | dw
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(g[cut].view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[row]), pa.array(loc)], ["g", "c", "k", "loc"]
-                    )
+        held: list[tuple[np.ndarray, ...]] = []
+        for rows in _found_anchors(spec, batches):
+            held.append(rows)
+            if sum(len(x[0]) for x in held) >= TOGETHER:
+                yield _settled_here(spec, held)
+                held = []
+        if held:
+            yield _settled_here(spec, held)
 
     return run
 
 
+def _settled_here(spec: Repeats, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows of one task: those whose context the task has seen earlier are settled and no longer travel by `g`."""
+    g, c, k, loc = (np.concatenate(x) for x in zip(*held))
+    key = mix(g.view(np.uint64), c.view(np.uint64))
+    order = np.lexsort((loc, k, key))
+    g, c, k, loc, key = g[order], c[order], k[order], loc[order], key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    done = _earlier(spec, head, k, loc) & (g == g[head]) & (c == c[head])
+    spread = mix(k.view(np.uint64), loc.view(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(done, spread, g), np.where(done, 0, c), k, loc, done)], ["g", "c", "k", "loc", "done"])
+
+
+def _earlier(spec: Repeats, head: np.ndarray, k: np.ndarray, loc: np.ndarray) -> np.ndarray:
+    """Whether the row at head, the first of the same windows, makes each row a repeat."""
+    if spec.within_document:
+        return np.arange(len(k)) != head
+    return (k != k[head]) | ((loc >> _TAG) != (loc[head] >> _TAG))
+
+
+def _found_anchors(spec: Repeats, batches) -> Iterator[tuple[np.ndarray, ...]]:
+    names = byte_names()
+    for batch in batches:
+        data, offsets = utf8_column(batch.column(2))
+        ids, tags = int64_column(batch.column(0)), int64_column(batch.column(1))
+        for first, units, offs in pieces(data, offsets, spec.unit):
+            alone = len(offs) == 2
+            # windows start in [begin, begin + SLICE) of a row that stands alone, and may reach beyond
+            for begin in range(0, max(1, int(offs[-1])), SLICE) if alone else (0,):
+                some = units[begin : begin + SLICE + spec.width - 1] if alone else units
+                if spec.unit == "byte":
+                    some = names[some]
+                part = np.array([0, len(some)]) if alone else offs
+                s = window_starts(part, spec.width)
+                if not len(s):
+                    continue
+                place, anchor, g = spec.anchors(some, s)
+                cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1))))
+                lo, hi = s[cut], s[np.concatenate((cut[1:], [len(s)])) - 1]
+                row = np.searchsorted(part, lo, "right") - 1
+                da, dw = place[cut] - lo, hi - lo
+                c = mix(RangeNames(some).of(lo, hi + spec.width), (da * 128 + dw).astype(np.uint64))
+                loc = (tags[row + first] << _TAG) | ((lo - part[row] + begin) << _LO) | (da << _DA) | dw
+                yield g[cut].view(np.int64), c.view(np.int64), ids[row + first], loc
+
+
 def _sort_out(spec: Repeats):
     """Rows sorted by g, c, k, loc: which are covered, which are open, which drop out."""
 
     def run(batches):
         for table in whole_buckets(batches, 100_000):
+            done = table.column("done").to_numpy()
             g, c, k, loc = (int64_column(table.column(x)) for x in ("g", "c", "k", "loc"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[done], loc[done], g[done], np.zeros(done.sum(), np.int64))], ["k", "loc", "g", "kind"])
+            g, c, k, loc = g[~done], c[~done], k[~done], loc[~done]
+            if not len(g):
+                continue
             new_g = np.concatenate(([True], g[1:] != g[:-1]))
             new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
             bucket, context = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
-            head = np.flatnonzero(new_c)[context]
-            if spec.within_document:
-                covered = ~new_c
-            else:
-                covered = (k != k[head]) | ((loc >> _TAG) != (loc[head] >> _TAG))
+            covered = _earlier(spec, np.flatnonzero(new_c)[context], k, loc)
             contexts = np.bincount(bucket, weights=new_c).astype(np.int64)[bucket]
-            open_ = ~covered & (contexts > 1)
             kind = np.where(covered, 0, np.where(contexts > HOT, 2, 1))
-            keep = covered | open_
+            keep = covered | (contexts > 1)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, loc, g, kind)], ["k", "loc", "g", "kind"])
 
     return run
@@ -250,16 +276,6 @@ def _compare(spec: Repeats):
     return run
 
 
-def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal spans from spans that overlap or touch."""
-    if not len(first):
-        return first, end
-    order = np.argsort(first, kind="stable")
-    first, reach = first[order], np.maximum.accumulate(end[order])
-    new = np.concatenate(([True], first[1:] > reach[:-1]))
-    return first[new], reach[np.concatenate((np.flatnonzero(new)[1:], [len(first)])) - 1]
-
-
 def _kept(spec: Repeats, with_rest: bool):
     def run(batches):
         for batch in batches:
@@ -299,7 +315,7 @@ def drop_repeats(docs: DataFrame, spec: Repeats, with_rest: bool = True) -> Data
     """
     tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(8191)).alias("tag")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last("doc_id").alias("k"), tag, "text")
-    rows = keyed.select("k", "tag", "text").mapInArrow(_anchor_rows(spec), "g long, c long, k long, loc long")
+    rows = keyed.select("k", "tag", "text").mapInArrow(_anchor_rows(spec), "g long, c long, k long, loc long, done boolean")
     found = stage(
         rows.repartition("g").sortWithinPartitions("g", "c", "k", "loc").mapInArrow(_sort_out(spec), "k long, loc long, g long, kind long"), "repeats"
     )

@@ -166,8 +166,9 @@ def near_links(fps: DataFrame, count: int, radius: int = RADIUS, most: int = MOS
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius 0, 2 or 4")
     half = radius // 2
+    # a leading part makes at most a quarter of `most` on average, so that only hot ones are divided
     bits = 3
-    while count * 2081 > (most << bits) and bits < 24:
+    while count * 2081 > (most // 4 << bits) and bits < 24:
         bits += 1
     rows = _divide(fps.select("fp", F.lit(0).alias("used"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("part")), bits, half)
     ready = []

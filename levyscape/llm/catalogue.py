@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from levyscape.llm import cube, decontaminate, language, recompress_dedup, simhash, suffix_dedup
+from levyscape.llm import cube, decontaminate, language, recompress_dedup, simhash, suffix_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_language": language.query,
     "op4_cube_mix": cube.query,
     "op6_recompress_dedup": recompress_dedup.query,
     "op7_decontaminate": decontaminate.query,
     "op8_simhash_ball": simhash.query,
+    "op9_url_filter": url_filter.query,
 }
 
 ORACLES: dict[str, str] = {}

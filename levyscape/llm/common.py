@@ -48,6 +48,19 @@ def id_or_last(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
+def as_row(df: DataFrame, names: list[str] | None = None) -> Column:
+    """The columns of df (or names) as one, `row`, so that no further column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if names is None else names)]).alias("row")
+
+
+def row_type(df: DataFrame, row: Column) -> str:
+    return df.select(row).schema["row"].dataType.simpleString()
+
+
+def of_row(names: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offset of each row; null is empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import stage
+from levyscape.llm.common import as_row, of_row, stage
 
 GROUP, FAN, SEED = 10_000, 4096, 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -153,16 +153,17 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the number of the copy (from 1) as `copy`."""
     plan = mix_sources(docs, **options)
-    key = [F.col("doc_id").cast("string").alias("key_id"), F.col("source").cast("string").alias("key_source"), F.col("mark").alias("key_mark")]
-    per_key = plan.select(*key, "copies").groupBy("key_id", "key_source", "key_mark").agg(F.sort_array(F.collect_list("copies")).alias("copies_of"))
-    marked = docs.withColumn("mark_of", F.xxhash64("text"))
-    same = (
-        F.col("doc_id").cast("string").eqNullSafe(F.col("key_id")) & F.col("source").cast("string").eqNullSafe(F.col("key_source")) & (F.col("mark_of") == F.col("key_mark"))
+    key = ["id", "source", "mark"]
+    per_key = plan.select(F.col("doc_id").cast("string").alias("id"), "source", "mark", "copies").groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    rows = docs.select(
+        as_row(docs), F.col("doc_id").cast("string").alias("of_id"), F.col("source").cast("string").alias("of_source"), F.xxhash64("text").alias("of_mark")
     )
-    nth = F.row_number().over(Window.partitionBy("key_id", "key_source", "key_mark").orderBy(F.lit(1)))
-    joined = marked.join(per_key, same).withColumn("times", F.element_at("copies_of", nth))
+    same = F.col("of_id").eqNullSafe(F.col("id")) & F.col("of_source").eqNullSafe(F.col("source")) & (F.col("of_mark") == F.col("mark"))
+    # rows that are alike in all three take the numbers of copies in turn
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    taken = rows.join(per_key.hint("shuffle_hash"), same).withColumn("times", F.element_at("copies", nth)).filter("times > 0")
     names = [c for c in docs.columns if c != "copy"]
-    return joined.filter("times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    return taken.select(*of_row(names), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyscape.llm.common import name_words, slices, utf8_column, window_names, window_starts, word_spans
+from levyscape.llm.common import as_row, name_words, of_row, slices, utf8_column, window_names, window_starts, word_spans
 
 WIDTH, BLOCK_BYTES, SLICE, BITS = 10, 16 << 20, 1 << 20, 20
 
@@ -148,23 +148,26 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_documents: bool = True) -> DataFrame:
     """Documents without a benchmark passage; or all of them, with the words hit (and what stands between) cut out."""
-    found = find_passages(docs, benchmark, width)
+    names = docs.columns if whole_documents else [c for c in docs.columns if c != "text"]
+    row = as_row(docs, names)
     if whole_documents:
-        return found.filter(F.size("spans") == 0).select(*docs.columns)
-    names = [c for c in docs.columns if c != "text"]
+        found = find_passages(docs.select(row, "text"), benchmark, width, ["row"])
+        return found.filter(F.size("spans") == 0).select(*of_row(names))
+    found = find_passages(docs.select(row, "text"), benchmark, width).select("row", "text", "byte_spans")
 
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("byte_spans")).to_pylist()):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text is not None and spans:
                     raw, edges = text.encode(), [0, *(x for s in spans for x in (s["first"], s["end"])), None]
                     text = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])).decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(texts, pa.string())], names + ["text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    schema = T.StructType([docs.schema[c] for c in names] + [docs.schema["text"]])
-    return found.mapInArrow(cut, schema).select(*docs.columns)
+    cut_out = found.mapInArrow(cut, T.StructType([found.schema["row"], T.StructField("text", T.StringType())]))
+    new = dict(zip(names, of_row(names))) | {"text": F.col("text")}
+    return cut_out.select(*[new[c] for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

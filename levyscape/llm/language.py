@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import slices
+from levyscape.llm.common import as_row, of_row, row_type, slices
 
 SIZE, SEED, PIECE, ROWS = 1024, 11, 1 << 20, 256
 UNKNOWN = "und"
@@ -150,13 +150,11 @@ def _predict(langs: list[str], matrix: np.ndarray):
 
 
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs with lang_pred and score (the cosine, at least 0)."""
+    """row (columns `keep` of docs), lang_pred and score (the cosine, at least 0); docs has text."""
     langs = list(learned)
     matrix = np.stack([v / np.linalg.norm(v) for v in learned.values()]) if langs else np.zeros((0, SIZE))
-    row = F.struct(*keep)
-    kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(row.alias("row"), F.col("text").alias("words")).mapInArrow(_predict(langs, matrix), f"row {kind}, lang_pred string, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], "lang_pred", "score")
+    row = as_row(docs, keep)
+    return docs.select(row, F.col("text").alias("words")).mapInArrow(_predict(langs, matrix), f"row {row_type(docs, row)}, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -168,6 +166,13 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return prototypes(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
 
 
+def recognised(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """Rows of docs whose language is known: not `und`, and a cosine beyond what unrelated vectors give (one standard deviation)."""
+    out = predict(docs, learned, docs.columns)
+    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SIZE**-0.5)).select(*of_row(docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, learn(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    out = predict(docs, learn(docs), ["doc_id"])
+    return out.select(*of_row(["doc_id"]), "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

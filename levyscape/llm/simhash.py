@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import LAST_ID, groups, id_or_last, int64_column, stage, utf8_column, whole_buckets
+from levyscape.llm.common import LAST_ID, as_row, groups, id_or_last, int64_column, of_row, stage, utf8_column, whole_buckets
 from levyscape.llm.components import components, forest
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -187,16 +187,33 @@ def near_links(fps: DataFrame, count: int, radius: int = RADIUS, most: int = MOS
     return dealt.mapInArrow(_collide(half, radius), "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, root and first (smallest id) of every distinct fingerprint of prints (fp, k); equal roots are one group."""
+    first = stage(prints.groupBy("fp").agg(F.min("k").alias("first")), "distinct")
+    roots = components(near_links(first.select("fp"), first.count(), radius))
+    return stage(first.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints = stage(fingerprints(docs, shingle), "fingerprints")
-    first = stage(prints.groupBy("fp").agg(F.min(id_or_last("doc_id")).alias("first")), "distinct")
-    roots = components(near_links(first.select("fp"), first.count(), radius))
-    rooted = first.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = stage(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    rooted = _rooted(prints.select("fp", id_or_last("doc_id").alias("k")), radius)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.select("fp", "root").join(smallest, "root").select("fp", F.expr(f"nullif(component, {LAST_ID}L)").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of docs, one for each group of near-duplicates: the smallest id, then the smallest hash of the text."""
+    keyed = docs.select(as_row(docs), id_or_last("doc_id").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    marked = keyed.select(F.struct("k", "mark").alias("doc_id"), F.col("row.text").alias("text"))
+    prints = stage(marked.mapInArrow(_fingerprints(shingle), "doc_id struct<k: bigint, mark: bigint>, fp long").select("doc_id.*", "fp"), "fingerprints")
+    rooted = _rooted(prints.select("fp", "k"), radius).select("fp", "root")
+    stays = prints.join(rooted, "fp").groupBy("root").agg(F.min(F.struct("k", "mark")).alias("stays")).select("stays.*")
+    kept = keyed.join(stays.hint("shuffle_hash"), ["k", "mark"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("k", "mark").orderBy(F.lit(1)))
+    return kept.withColumn("nth", nth).filter("nth = 1").select(*of_row(docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import byte_names, slices, utf8_column, window_names
+from levyscape.llm.common import as_row, byte_names, row_type, slices, utf8_column, window_names
 
 # (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -125,17 +125,14 @@ def train(labelled: DataFrame) -> np.ndarray:
 
 
 def scored(df: DataFrame, model: np.ndarray) -> DataFrame:
-    """df with score, the log-likelihood difference by byte of its url."""
-    names = [c for c in df.columns if c != "score"]
-    row = F.struct(*names)
-    kind = df.select(row.alias("row")).schema["row"].dataType.simpleString()
-    out = df.select(row.alias("row"), F.col("url").alias("text")).mapInArrow(_score(model), f"row {kind}, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in names], "score")
+    """row (the columns of df, url among them) and score, the log-likelihood difference by byte of the url."""
+    row = as_row(df)
+    return df.select(row, F.col("url").alias("text")).mapInArrow(_score(model), f"row {row_type(df, row)}, score double")
 
 
 def threshold(calibration: DataFrame) -> float:
-    """Score from which a url is accepted: best mean hit rate of both classes in calibration (accepted, score)."""
-    bins = calibration.groupBy("accepted", F.floor(F.col("score") / BIN).alias("bin")).count().collect()
+    """Score from which a url is accepted: best mean hit rate of both classes in calibration (row.accepted, score)."""
+    bins = calibration.groupBy("row.accepted", F.floor(F.col("score") / BIN).alias("bin")).count().collect()
     found = {cls: {r["bin"]: r["count"] for r in bins if r["accepted"] == cls} for cls in (True, False)}
     if not found[True] or not found[False]:
         return 0.0
@@ -158,7 +155,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     kept_out = F.pmod(F.crc32("url"), F.lit(4)) == 3
     model = train(labelled.filter(~kept_out))
     least = threshold(scored(labelled.filter(kept_out), model))
-    judged = scored(ruled, model)
+    judged = scored(ruled, model).select("row.*", "score")
     by_model = F.when(F.col("score") >= least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
 

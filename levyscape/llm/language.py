@@ -139,7 +139,8 @@ def _predict(langs: list[str], matrix: np.ndarray):
             if langs and n:
                 sums = bundles(texts, np.arange(n), n)
                 norms = np.linalg.norm(sums, axis=1)
-                cosine = sums @ matrix.T / np.where(norms > 0, norms, 1)[:, None]
+                # rounded: the last bits depend on how many texts are multiplied together
+                cosine = np.round(sums @ matrix.T / np.where(norms > 0, norms, 1)[:, None], 9)
                 best = cosine.argmax(axis=1)
                 known = [t.isalpha() or bool(table[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any()) for t in texts]
                 pred = np.where(known, np.array(langs, object)[best], UNKNOWN)

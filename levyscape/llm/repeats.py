@@ -120,7 +120,7 @@ def _settled_here(spec: Repeats, held: list[tuple[np.ndarray, ...]]) -> pa.Recor
 def _earlier(spec: Repeats, head: np.ndarray, k: np.ndarray, loc: np.ndarray) -> np.ndarray:
     """Whether the row at head, the first of the same windows, makes each row a repeat."""
     if spec.within_document:
-        return np.arange(len(k)) != head
+        return (k != k[head]) | (loc != loc[head])
     return (k != k[head]) | ((loc >> _TAG) != (loc[head] >> _TAG))
 
 
@@ -217,9 +217,9 @@ def _single_windows(spec: Repeats, g, loc, kind, context):
     for i in np.flatnonzero(kind == 2).tolist():
         units, _ = context_units(spec, [context[i]])
         names = window_names(units, spec.width).view(np.int64)
-        start = (loc[i] >> _LO) + np.arange(len(names))
+        start = ((loc[i] >> _LO) & ((1 << (_TAG - _LO)) - 1)) + np.arange(len(names))
         gs.append(names)
-        locs.append(start << _LO)
+        locs.append((loc[i] >> _TAG << _TAG) | start << _LO)
         kinds.append(np.full(len(names), 2))
         contexts += [b""] * len(names)
     return np.concatenate(gs), np.concatenate(locs), np.concatenate(kinds), contexts
@@ -255,10 +255,10 @@ def _compare(spec: Repeats):
             head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             first = np.empty(len(row), np.int64)
             first[order] = head
-            covered = np.arange(len(row)) != first
-            if not spec.within_document:
-                doc, tag = k[row], loc[row] >> _TAG
-                covered &= (doc != doc[first]) | (tag != tag[first])
+            doc, tag, start = k[row], loc[row] >> _TAG, ((loc[row] >> _LO) & ((1 << (_TAG - _LO)) - 1)) + j
+            covered = (doc != doc[first]) | (tag != tag[first])
+            if spec.within_document:
+                covered |= start != start[first]
             check = np.flatnonzero(covered & ~alone)
             if len(check):
                 same = ranges.of(at[check], at[check] + spec.width) == ranges.of(at[first[check]], at[first[check]] + spec.width)
@@ -268,10 +268,7 @@ def _compare(spec: Repeats):
                 continue
             cut = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])))
             a, b = hit[cut], hit[np.concatenate((np.flatnonzero(cut)[1:], [len(hit)])) - 1]
-            start = ((loc[row[a]] >> _LO) & ((1 << (_TAG - _LO)) - 1)) + j[a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[row[a]]), pa.array(loc[row[a]] >> _TAG), pa.array(start), pa.array(start + (b - a) + spec.width)], ["k", "tag", "first", "end"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], tag[a], start[a], start[b] + spec.width)], ["k", "tag", "first", "end"])
 
     return run
 

@@ -16,8 +16,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from levyscape.functions.nulls import natural_join
+from levyscape.sources.staging import stage
 
 MAX_CELLS = 4096
 MAX_TIE_CELLS = 256
@@ -50,11 +52,12 @@ def cell_bounds(
 
 
 def with_cell(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
-    """Add the value cell: how many bounds are at or below the value."""
+    """Add the value cell: how many bounds are at or below the value; -1 for a null, which sorts first."""
     binner = Bucketizer(
-        splits=[float("-inf"), *bounds, float("inf")], inputCol=column, outputCol=out, handleInvalid="keep"
+        splits=[float("-inf"), *bounds, float("inf")], inputCol="_value", outputCol=out, handleInvalid="keep"
     )
-    return binner.transform(df).withColumn(out, F.col(out).cast("int"))
+    cell = F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.col(out).cast("int"))
+    return binner.transform(df.withColumn("_value", F.col(column).cast("double"))).drop("_value").withColumn(out, cell)
 
 
 def ranked(
@@ -66,7 +69,7 @@ def ranked(
     n: str = "n",
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
-    """Row number by ``(order, tie)`` and row count, overall or within ``by``.
+    """Row number by ``(order, tie)``, nulls first, and row count, overall or within ``by``.
 
     A value so frequent that it is itself a bound gets cells of its own, divided
     again by the tie-break, so a point mass does not end up in one task.
@@ -136,6 +139,14 @@ def ntile(df: DataFrame, value: str, k: int, tie: str, out: str, by: Sequence[st
 
 
 def surrogate_index(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Distinct keys numbered 1..n in key order."""
+    """Distinct keys of any type that sorts, numbered 1..n in key order, a null first."""
     keys = df.select(key).distinct()
-    return ranked(keys, key, key, rn=out, n="_n").drop("_n")
+    if isinstance(df.schema[key].dataType, NumericType):
+        return ranked(keys, key, key, rn=out, n="_n").drop("_n")
+    # dealt by range and written, so that the ranges are the same for both passes
+    dealt = stage(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    numbered = dealt.withColumn("_rn", inside).join(offsets, "_part")
+    return numbered.select(key, (F.col("_rn") + F.col("_off")).cast("long").alias(out))

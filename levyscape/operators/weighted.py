@@ -1,6 +1,9 @@
 """Exact survey-weighted distribution statistics.
 
-Definition: rows with a null or zero weight or a null value are left out. With
+Definition: rows with a null or zero weight, or a value that is null or NaN, are left
+out. Weights are summed as decimals (`WEIGHT_SCALE` places; a sum that does not fit is
+an error), so the sums, and with them every rank, do not depend on the order of the
+rows, on partitions or on cells. With
 ``n`` the weight total and ``h = 1 + (n-1)p``, the quantile lies between the
 smallest value whose running weight reaches ``max(floor(h), 1)`` and the one
 reaching one more (at most ``n``), at the fraction ``frac(h)``.
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
 from levyscape.operators.ranking import MAX_CELLS, ROWS_PER_CELL, cell_bounds, with_cell
-from levyscape.sources.staging import stage_checked
+from levyscape.sources.staging import stage
+
+# Places of a weight that count: 20 digits before the point remain for the sums.
+WEIGHT_SCALE = 9
 
 BOX_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 BOX_NAMES = ("y5", "y25", "y50", "y75", "y95")
@@ -34,13 +40,14 @@ def _hits(probs: Sequence[float]) -> Column:
     """
     parts = []
     for j, p in enumerate(probs):
-        low = f"greatest(CAST(floor(1 + (_n - 1) * {float(p)!r}D) AS DOUBLE), 1D)"
-        parts += [f"struct({2 * j} AS i, {low} AS v)", f"struct({2 * j + 1} AS i, least({low} + 1, _n) AS v)"]
-    return F.expr(f"filter(array({', '.join(parts)}), r -> r.v > _before AND (r.v <= _upto OR _last))")
+        low = f"greatest(CAST(floor(1 + (CAST(_n AS DOUBLE) - 1) * {float(p)!r}D) AS DOUBLE), 1D)"
+        parts += [f"struct({2 * j} AS i, {low} AS v)", f"struct({2 * j + 1} AS i, least({low} + 1, CAST(_n AS DOUBLE)) AS v)"]
+    hit = "r.v > CAST(_before AS DOUBLE) AND (r.v <= CAST(_upto AS DOUBLE) OR _last)"
+    return F.expr(f"filter(array({', '.join(parts)}), r -> {hit})")
 
 
 def _fraction(n: Column, p: float) -> Column:
-    h = 1 + (n - 1) * float(p)
+    h = 1 + (n.cast("double") - 1) * float(p)
     return h - F.floor(h).cast("double")
 
 
@@ -59,9 +66,9 @@ def weighted_stats(
     ``weight=None`` counts every row once. A group without a usable row is absent.
     """
     by = list(by)
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = (F.lit(1) if weight is None else F.col(weight)).cast(f"decimal({20 + WEIGHT_SCALE},{WEIGHT_SCALE})")
     rows = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter(
-        F.col("_x").isNotNull() & (F.col("_w") > 0)
+        present(F.col("_x")) & (F.col("_w") > 0)
     )
     bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell)
     placed = with_cell(rows, "_x", bounds["_x"], "_cell")
@@ -71,12 +78,12 @@ def weighted_stats(
     walk = group.orderBy("_cell")
     hist = (
         placed.groupBy(*by, "_cell")
-        .agg(F.sum("_w").alias("_cw"), F.sum(F.col("_w") * F.col("_x")).alias("_cwx"))
+        .agg(F.sum("_w").alias("_cw"), F.sum(F.col("_w").cast("double") * F.col("_x")).alias("_cwx"))
         .select(
             *by,
             "_cell",
             F.coalesce(
-                F.sum("_cw").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+                F.sum("_cw").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ).alias("_before"),
             F.sum("_cw").over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
             F.sum("_cw").over(group).alias("_n"),
@@ -87,11 +94,8 @@ def weighted_stats(
     # Cells holding a wanted rank: at most two per group and probability.
     state = ["_before", "_upto", "_n", "_wx", "_last"]
     targets = hist.filter(F.size(_hits(probs)) > 0).select(*by, "_cell", *state)
-    small = True
-    if by:
-        targets, small = stage_checked(targets)
-    if small:  # ungrouped by construction, else counted
-        targets = F.broadcast(targets)
+    # Ungrouped, two rows per probability; of groups, the planner knows the written size.
+    targets = stage(targets) if by else F.broadcast(targets)
 
     # With a broadcast all other rows drop out before any shuffle. Equal values
     # collapse on the map side, so a point mass is a single row.
@@ -113,7 +117,7 @@ def weighted_stats(
         .groupBy(*by, F.col("_r.i").alias("_i"))
         .agg(
             F.coalesce(
-                F.min(F.when(F.col("_cum") >= F.col("_r.v"), F.col("_x"))), F.max("_x")
+                F.min(F.when(F.col("_cum").cast("double") >= F.col("_r.v"), F.col("_x"))), F.max("_x")
             ).alias("_q"),
             F.max("_n").alias("_n"),
             F.max("_wx").alias("_wx"),
@@ -130,10 +134,9 @@ def weighted_stats(
         # low + f*(high-low) so that equal neighbours give exactly their value.
         out.append((low + _fraction(F.col("_n"), p) * (high - low)).alias(name))
     if mean is not None:
-        out.append((F.col("_wx") / F.col("_n")).alias(mean))
+        out.append((F.col("_wx") / F.col("_n").cast("double")).alias(mean))
     result = found.filter(F.col("_n").isNotNull()).select(*by, *out)
-    # no more rows than targets, whose number was checked
-    return F.broadcast(result) if small else result
+    return result if by else F.broadcast(result)  # one row
 
 
 def weighted_quantile(
@@ -156,11 +159,16 @@ def weighted_mean(
     return df.groupBy(*by).agg(wmean(value, weight).alias(out))
 
 
+def present(x: Column) -> Column:
+    """Neither null nor NaN: a share of nothing (0/0) is a missing value."""
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
 def wmean(value: str | Column, weight: str | Column) -> Column:
-    """Weighted mean as an aggregate expression."""
+    """Weighted mean as an aggregate expression, over the values that are present."""
     x = F.col(value) if isinstance(value, str) else value
     w = F.col(weight) if isinstance(weight, str) else weight
-    return F.try_divide(F.sum(w * x), F.sum(F.when(x.isNotNull(), w)))
+    return F.try_divide(F.sum(F.when(present(x), w * x)), F.sum(F.when(present(x), w)))
 
 
 def weighted_box(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ from levyscape.operators.weighted import weighted_bins
 from levyscape.plans.carbon import CARRIERS, OUTSIDE, PRICE, carbon_intensity, incidence
 from levyscape.plans.households import household_frame, item_spending
 from levyscape.plans.spending import DELETED, NON_MARKET, clean_spending, exchange_rate
-from levyscape.sources.staging import stage, stage_small
+from levyscape.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def item_attributes(survey: Survey) -> DataFrame:
     )
     fuels = survey.fuels.groupBy("item_code").agg(F.collect_set("fuel").alias("fuels"))
     both = natural_join(sector, survey.categories, "full", ["item_code"])
-    return stage_small(natural_join(both, fuels, "full", ["item_code"]))
+    return stage(natural_join(both, fuels, "full", ["item_code"]))
 
 
 def household_sums(cleaned: DataFrame, items: DataFrame, survey: Survey, rate: Column) -> DataFrame:

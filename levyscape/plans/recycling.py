@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import ratio, strict_mean, strict_sum
 from levyscape.operators.reshape import pivot_fill
-from levyscape.operators.weighted import BOX_NAMES, weighted_box
+from levyscape.operators.weighted import BOX_NAMES, weighted_box, wmean
 
 TOTAL = "hh_expenditures_USD_2014"
 BIN = "Income_Group_5"
@@ -45,26 +45,48 @@ def lump_sum_gain(mart: DataFrame) -> DataFrame:
     return paid.withColumn("net_gain", -ratio(net, TOTAL)).drop("_transfer")
 
 
+def carrier_gain(carrier: str = "electricity") -> Column:
+    """Net gain when the carrier's cost is refunded in full."""
+    return -ratio(F.col("exp_CO2_national") - F.col(f"exp_CO2_{carrier}"), TOTAL)
+
+
 def lump_sum(mart: DataFrame) -> DataFrame:
     return _net_box(lump_sum_gain(mart), F.col("net_gain"), LUMP_SUM)
 
 
 def carrier_compensation(mart: DataFrame, carrier: str = "electricity") -> DataFrame:
     """The carrier's cost is refunded in full."""
-    net = F.col("exp_CO2_national") - F.col(f"exp_CO2_{carrier}")
-    return _net_box(mart, -ratio(net, TOTAL), CARRIER)
+    return _net_box(mart, carrier_gain(carrier), CARRIER)
+
+
+def _sign_turned(box: DataFrame) -> DataFrame:
+    """The burden with its sign turned: the columns keep their names, so they descend."""
+    of_none = F.col("category") == NONE
+    return box.withColumns({c: F.when(of_none, -F.col(c)).otherwise(F.col(c)) for c in [*BOX_NAMES, "mean"]})
 
 
 def no_recycling(mart: DataFrame) -> DataFrame:
-    """The burden itself with its sign turned: the columns keep their names, so they descend."""
-    box = _net_box(mart, F.col("burden_CO2_national"), NONE)
-    return box.withColumns({c: -F.col(c) for c in [*BOX_NAMES, "mean"]})
+    return _sign_turned(_net_box(mart, F.col("burden_CO2_national"), NONE))
+
+
+def _gains(mart: DataFrame) -> DataFrame:
+    """Three columns per household, named by scheme; of no recycling, the burden itself."""
+    paid = lump_sum_gain(mart)
+    return paid.select(
+        BIN, "hh_weights", F.col("net_gain").alias(LUMP_SUM), carrier_gain().alias(CARRIER), F.col("burden_CO2_national").alias(NONE)
+    )
 
 
 def all_schemes(mart: DataFrame) -> DataFrame:
-    return lump_sum(mart).unionByName(carrier_compensation(mart)).unionByName(no_recycling(mart))
+    """Box of the net gain by quintile and scheme, all from one quantile run."""
+    long = _gains(mart).unpivot([BIN, "hh_weights"], [LUMP_SUM, CARRIER, NONE], "category", "_gain")
+    box = weighted_box(long, "_gain", "hh_weights", [BIN, "category"])
+    return _sign_turned(box).select(BIN, *BOX_NAMES, "mean", "category")
 
 
 def compare_schemes(mart: DataFrame) -> DataFrame:
-    """Mean net gain, scheme by quintile."""
-    return pivot_fill(all_schemes(mart), ["category"], BIN, "mean", range(1, 6), agg=F.max)
+    """Mean net gain, scheme by quintile: one aggregation."""
+    schemes = (LUMP_SUM, CARRIER, NONE)
+    means = _gains(mart).groupBy(BIN).agg(*[wmean(s, "hh_weights").alias(s) for s in schemes])
+    turned = means.withColumn(NONE, -F.col(NONE)).unpivot([BIN], list(schemes), "category", "mean").filter("mean IS NOT NULL")
+    return pivot_fill(turned, ["category"], BIN, "mean", range(1, 6), agg=F.max)

@@ -3,47 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A staged table of at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the session names for checkpoints.
 
-    Only where the session names none (local tests) is a temporary folder set.
+    Only a session that runs in this process alone (master local[...]) may name none;
+    it gets a temporary folder.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="levyscape-"))
-    return sc.getCheckpointDir()
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="levyscape-"))
+        named = sc.getCheckpointDir()
+    return named
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder.
-
-    Later passes read the written rows, so a lost executor never re-runs the
-    joins behind them, and every pass sees the very same floating-point sums.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stage_checked(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Stage a table that is expected to be small, and count whether it is."""
-    staged = stage(df)
-    return staged, staged.count() <= (BROADCAST_ROWS if limit is None else limit)
-
-
-def stage_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Staged table that carries the broadcast hint only if its counted rows allow it.
+    """Write the frame as Parquet to the shared folder and read it back.
 
-    A larger one is returned as it is: its joins shuffle on the key, where AQE
-    splits hot partitions.
+    Later passes read only the columns and rows they need, a lost executor never
+    re-runs the joins behind them, and every pass sees the very same floating-point
+    sums. The planner knows the size of what was written. The files go when the
+    session ends.
     """
-    staged, small = stage_checked(df, limit)
-    return F.broadcast(staged) if small else staged
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -24,8 +24,7 @@ NAMES = [
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+def no_broadcast(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
@@ -45,16 +44,10 @@ def test_without_broadcast(spark, usual, no_broadcast, name):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_stage_small_hints_only_what_it_counted(spark):
-    small = staging.stage_small(spark.range(10), limit=10)
-    large = staging.stage_small(spark.range(11), limit=10)
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
-
-
 def test_staged_rows_have_no_lineage(spark):
     staged = staging.stage(spark.range(5).selectExpr("id", "id * 2 AS b"))
     assert "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()
+    assert "ReadSchema: struct<b:bigint>" in staged.select("b")._jdf.queryExecution().executedPlan().toString()
     assert staged.count() == 5
 
 

@@ -2,8 +2,7 @@
 
 Each binding is one SQL text that Spark and the checking database both read, so
 both sides start from the same rows. Coded attributes mix the key with different
-primes, so they are not functions of one another. Weights are multiples of a
-quarter: their running sums are exact in both engines.
+primes, so they are not functions of one another.
 """
 
 from __future__ import annotations
@@ -133,6 +132,17 @@ SQL = {
           CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 = 1 THEN 0e0
                ELSE (l_suppkey % 10) * 1.25e0 END AS w
         FROM {lineitem}""",
+    # weights in tenths, whose sums as doubles depend on their order
+    "tenths": """
+        SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice AS x, (1 + l_suppkey % 7) * 1e-1 AS w FROM {lineitem}""",
+    # shares of nothing
+    "shares_of_nothing": """
+        SELECT l_orderkey, l_returnflag, l_linestatus, (1 + l_suppkey % 7) * 1e-1 AS w,
+          CASE WHEN l_orderkey % 59 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_orderkey % 61 = 0 THEN NULL ELSE l_discount END AS x
+        FROM {lineitem}""",
+    "ranks": """
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 53 = 0 THEN NULL ELSE l_quantity END AS x,
+          nullif(l_orderkey * 10 + l_linenumber, 11) AS tie FROM {lineitem}""",
 }
 # Declared, so that opening a table starts no job.
 SCHEMAS = {

@@ -31,10 +31,10 @@ def quantile_sql(src: str, x: str, w: str, probs, names, by=(), mean: str | None
     return f"""
       SELECT {g}{", ".join(out)} FROM (
         SELECT {g}max(n) AS n, {picked} FROM (
-          SELECT {g}x, sum(w) OVER ({part} ORDER BY x ROWS UNBOUNDED PRECEDING) AS cw,
-            sum(w) OVER ({part}) AS n, sum(w * x) OVER ({part}) AS sx
-          FROM (SELECT {g}{x} AS x, sum({w}) AS w FROM ({src}) AS src
-                WHERE {x} IS NOT NULL AND {w} > 0 GROUP BY {g}{x}) AS ties
+          SELECT {g}x, CAST(sum(w) OVER ({part} ORDER BY x ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cw,
+            CAST(sum(w) OVER ({part}) AS DOUBLE) AS n, sum(CAST(w AS DOUBLE) * x) OVER ({part}) AS sx
+          FROM (SELECT {g}{x} AS x, sum(CAST({w} AS DECIMAL(29, 9))) AS w FROM ({src}) AS src
+                WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE)) AND {w} > 0 GROUP BY {g}{x}) AS ties
         ) AS running {group}
       ) AS picked"""
 

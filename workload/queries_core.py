@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
-from levyscape.operators import quality
+from levyscape.operators import quality, ranking, splits
 from levyscape.operators import weighted as wq
 from levyscape.plans import carbon, distribution, households, mart, spending
 from levyscape.sources.staging import stage
@@ -55,6 +55,42 @@ register(
     lambda t: wq.weighted_box(t.quirky, "x", "w", ["l_returnflag"]),
     box_sql(_Q, "x", "w", ["l_returnflag"]),
 )
+register(
+    "weighted_quantile_survey_weights",
+    f"l_returnflag:s {_QSPEC}",
+    lambda t: wq.weighted_quantile(t.tenths.repartition(3), "x", "w", _PROBS, ["l_returnflag"]),
+    quantile_sql("SELECT * FROM tenths", "x", "w", _PROBS, _NAMES, ["l_returnflag"]),
+)
+register(
+    "weighted_box_with_nan",
+    f"l_returnflag:s l_linestatus:s {_BOXSPEC}",
+    lambda t: wq.weighted_box(t.shares_of_nothing, "x", "w", ["l_returnflag", "l_linestatus"]),
+    box_sql("SELECT * FROM shares_of_nothing", "x", "w", ["l_returnflag", "l_linestatus"]),
+)
+register(
+    "weighted_mean_with_nan",
+    "l_returnflag:s mean:6",
+    lambda t: wq.weighted_mean(t.shares_of_nothing, "x", "w", ["l_returnflag"]),
+    "SELECT l_returnflag, sum(w * x) / sum(w) AS mean FROM shares_of_nothing WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY 1",
+)
+register(
+    "ranked_with_nulls",
+    "l_orderkey:i l_linenumber:i rn:i",
+    lambda t: ranking.ranked(t.ranks, "x", "tie"),
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY x NULLS FIRST, tie NULLS FIRST) AS rn FROM ranks""",
+)
+register(
+    "surrogate_ids_text",
+    "item_code:s id:i",
+    lambda t: ranking.surrogate_index(t.lines, "item_code", "id"),
+    """SELECT item_code, row_number() OVER (ORDER BY item_code NULLS FIRST) AS id FROM (SELECT DISTINCT item_code FROM lines)""",
+)
+register(
+    "hash_split_text",
+    "item_code:s train:b",
+    lambda t: splits.hash_split(t.codes.select("item_code"), "item_code"),
+    """SELECT item_code, CAST('0x' || substr(md5(item_code), 1, 8) AS BIGINT) % 1000 < 750 AS train FROM codes""",
+)
 for _k in (2, 3, 5, 10):
     register(
         f"weighted_bins_{_k}",
@@ -270,12 +306,12 @@ register("price_factors", "Country:s base_year:i factor:9",
     "Country:s base_year:i adjusted:0",
     """SELECT n.n_name AS Country, year(o.o_orderdate) AS base_year, sum(o.o_totalprice * f.factor) AS adjusted
        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-       JOIN factors f ON f.Country = n.n_name AND f.base_year = year(o.o_orderdate)
-       WHERE f.factor IS NOT NULL GROUP BY 1, 2""",
+       LEFT JOIN factors f ON f.Country = n.n_name AND f.base_year = year(o.o_orderdate)
+       GROUP BY 1, 2""",
     {**_CPI, "factors": _CPI["factors"] + " -- cpi_sheet\n"},
 )
 def _(t):
-    factors = spending.price_factors(t.cpi, 1998).filter("factor IS NOT NULL")
+    factors = spending.price_factors(t.cpi, 1998)  # an unknown factor leaves the amount unknown
     place = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("Country")
     )
@@ -284,7 +320,7 @@ def _(t):
         priced.join(place, "o_custkey")
         .groupBy("Country", "base_year")
         .agg(F.sum("o_totalprice").alias("s"))
-        .join(factors, ["Country", "base_year"])
+        .join(factors, ["Country", "base_year"], "left")
         .select("Country", "base_year", (F.col("s") * F.col("factor")).alias("adjusted"))
     )
 

@@ -431,12 +431,11 @@ def _(t):
 
 @query("logit_side_by_side", "term:s " + " ".join(f"{n}:4" for n in ("full", "q1", "q2", "q3", "q4", "q5")))
 def _(t):
-    small = ModelSpec(("log_expenditures_hh",), tuple(f for f in full_spec().factors if f.column in TRANSFER_FACTORS))
-    frame = _logit_frame(t)
-    models = {"full": regression.logit(frame, "burden_decile", small)}
+    spec, frame = full_spec(), _logit_frame(t)
+    models = {"full": regression.logit(frame, "burden_decile", spec)}
     for q in range(1, 6):
         mine = frame.filter(F.col("Income_Group_5") == q)
-        models[f"q{q}"] = regression.logit(mine, "decile_within", small)
+        models[f"q{q}"] = regression.logit(mine, "decile_within", spec)
     return regression.compare_models(models, t.spark)
 
 

@@ -8,8 +8,10 @@ in all documents, except next to their ends. A window of 50 words therefore drop
 each round, what may have joined with a word outside (its end runs; a first symbol of
 the right class; a last one of the left class); the rest, its core, is the same wherever
 the window occurs. The highest round with a core (of at most `rounds`) supplies the
-window's anchor: the core's symbol with the smallest name. Symbols that several
-documents share reveal the repeats, which are then verified over all 50 words.
+window's anchor: the core's symbol with the smallest name. It is named together with
+the half of the window on its longer side (25 words before it or from it on). Symbols
+that several documents share, so named, reveal the repeats, which are then verified over
+all 50 words.
 
 Defined cases: a null text has no words; documents under 50 words keep all; rows that
 repeat an id with the same text are one document; a null doc_id comes last; further
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from levyscape.llm.common import mix
+from levyscape.llm.common import RangeNames, mix
 from levyscape.llm.repeats import Repeats, drop_repeats
 
 WIDTH, ROUNDS = 50, 4
@@ -80,7 +82,11 @@ def symbol_anchors(width: int, rounds: int):
             if ends.all():
                 break
             live, symbols, places, b, e = live[~ends], after[0], after[1], after[2][~ends], after[3][~ends]
-        return place, ids, names
+        # the window's half on the longer side of the anchor joins the name: a symbol of a few words alone recurs by chance
+        half = width // 2
+        late = place - s >= half
+        side = RangeNames(units).of(np.where(late, place - half, place), np.where(late, place, place + width - half))
+        return place, 2 * ids + late, mix(names, side)
 
     return anchors
 

@@ -18,6 +18,10 @@ from levyscape.functions.survey_codes import INDICATOR_PREFIXES, INDICATOR_WORDS
 from levyscape.operators.reshape import transpose_summary
 
 
+# The deepest tree that the learner grows: trees end by their smallest leaf, not by their depth.
+MAX_DEPTH = 30
+
+
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """Complete rows with their feature vector."""
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(
@@ -26,7 +30,7 @@ def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> D
 
 
 def forest(
-    df: DataFrame, y: str, columns: Sequence[str], mtry: int, trees: int = 500, depth: int = 12, seed: int = 1
+    df: DataFrame, y: str, columns: Sequence[str], mtry: int, trees: int = 500, depth: int = MAX_DEPTH, seed: int = 1
 ) -> RandomForestRegressionModel:
     """Regression forest trying ``mtry`` columns at each split."""
     learner = RandomForestRegressor(
@@ -48,7 +52,7 @@ def forest_cv(
     mtry: Sequence[int] = range(1, 11),
     folds: int = 10,
     trees: int = 500,
-    depth: int = 12,
+    depth: int = MAX_DEPTH,
     seed: int = 1,
     parallelism: int = 4,
 ) -> CrossValidatorModel:

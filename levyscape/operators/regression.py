@@ -161,7 +161,7 @@ def _logit_covariance(rows: DataFrame, terms: Sequence[Term], beta: Sequence[flo
     k = len(b)
 
     def information(x):
-        p = 1 / (1 + np.exp(-(x @ b)))
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -700, 700)))
         return x.T @ (x * (p * (1 - p))[:, None])
 
     return np.linalg.pinv(summed_matrix(rows, _columns(terms), information, (k, k)), hermitian=True)
@@ -188,12 +188,20 @@ def star_table(coefficients: DataFrame) -> DataFrame:
     )
 
 
+CONVERGED = "(converged)"
+
+
 def compare_models(models: Mapping[str, FittedModel], spark: SparkSession) -> DataFrame:
-    """Estimates side by side: one row per term, one column per model."""
-    stacked = None
+    """Estimates side by side: one row per term, one column per model.
+
+    A last row tells which fits converged (1) and which did not (0), as those of
+    separated data: their estimates are no more than the last iteration's.
+    """
+    rows = [(CONVERGED, float(m.fit.get("converged", True)), name) for name, m in models.items()]
+    stacked = spark.createDataFrame(rows, "term string, estimate double, model string")
     for name, m in models.items():
-        part = m.table(spark).withColumn("model", F.lit(name))
-        stacked = part if stacked is None else stacked.unionByName(part)
+        part = m.table(spark).select("term", "estimate", F.lit(name).alias("model"))
+        stacked = stacked.unionByName(part)
     return pivot_fill(stacked, ["term"], "model", "estimate", list(models), agg=F.max)
 
 

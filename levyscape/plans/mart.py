@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join, ratio
-from levyscape.operators.quality import ambiguous_codes, require
+from levyscape.operators.quality import ambiguous_codes, collapse_lines, has_infinite, require, unmatched_codes
 from levyscape.operators.reshape import first_per_key
 from levyscape.operators.weighted import weighted_bins
 from levyscape.plans.carbon import CARRIERS, OUTSIDE, PRICE, carbon_intensity, incidence
@@ -24,6 +24,10 @@ from levyscape.plans.spending import DELETED, NON_MARKET, clean_spending, exchan
 from levyscape.sources.staging import stage
 
 
+# Names of the gates.
+NO_SECTOR, NO_CATEGORY, TWICE = "no sector", "no category", "two sectors or categories"
+
+
 @dataclass(frozen=True)
 class Survey:
     """The landed tables of one survey."""
@@ -43,6 +47,8 @@ class Survey:
     kept_categories: Sequence[str]
     kept_fuels: Sequence[str]
     year: int = 2014
+    price_factor: Column | None = None  # carries the survey's prices to that year
+    collapse: bool = False  # several lines of a household on one item are one purchase
 
 
 def assemble(
@@ -122,23 +128,61 @@ def household_sums(cleaned: DataFrame, items: DataFrame, survey: Survey, rate: C
     )
 
 
+def survey_lines(survey: Survey) -> DataFrame:
+    """Item lines as the survey delivers them, or one per household and item."""
+    lines = item_spending(survey.items, survey.item_codes)
+    return collapse_lines(lines, ["hh_id", "item_code"], "expenditures_year") if survey.collapse else lines
+
+
+def gate_reports(survey: Survey, lines: DataFrame) -> DataFrame:
+    """(gate, item_code): items in use without a sector or a category, and items with two of either."""
+    attributes = natural_join(survey.sector_map, survey.categories, "full", ["item_code"])
+    reports = {
+        NO_SECTOR: unmatched_codes(lines, survey.sector_map.select("item_code").distinct(), "item_code"),
+        NO_CATEGORY: unmatched_codes(lines, survey.categories.select("item_code").distinct(), "item_code"),
+        TWICE: ambiguous_codes(attributes, "item_code").select("item_code"),
+    }
+    out = None
+    for gate, report in reports.items():
+        part = report.select(F.lit(gate).alias("gate"), "item_code")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def build_mart(
-    survey: Survey, price: float = PRICE, ks: Sequence[int] = (2, 3, 5, 10), check: bool = True
+    survey: Survey,
+    price: float = PRICE,
+    ks: Sequence[int] = (2, 3, 5, 10),
+    check: bool = True,
+    on_unmatched: str = "stop",
 ) -> DataFrame:
-    """The final mart, staged: every later table reads it several times."""
+    """The final mart, staged: every later table reads it several times.
+
+    An item with two sectors or categories stops the build, and so do an item in use
+    without a sector or a category (unless ``on_unmatched="drop"``, which leaves its
+    spending out of the totals) and infinite tonnes.
+    """
+    if on_unmatched not in ("stop", "drop"):
+        raise ValueError(on_unmatched)
     attributes = item_attributes(survey)
+    lines = survey_lines(survey)
     if check:
-        require(ambiguous_codes(attributes, "item_code"), "item with two sectors or two categories")
+        bad = gate_reports(survey, lines)
+        require(bad if on_unmatched == "stop" else bad.filter(F.col("gate") == TWICE), "item")
     house = first_per_key(survey.house, "hh_id", ["hh_id"])
     hh = household_frame(house, survey.persons, survey.assets)
-    lines = item_spending(survey.items, survey.item_codes)
     cleaned = clean_spending(lines, house)
     rate = exchange_rate(survey.fx, survey.country)
+    if survey.price_factor is not None:
+        rate = rate * survey.price_factor
     sums = household_sums(cleaned, attributes, survey, rate)
     basic = natural_join(sums, hh, "left", ["hh_id"], null_safe=False).withColumn(
         "hh_expenditures_pc", ratio("hh_expenditures", "hh_size")
     )
     # Bins cover every household with counted spending, emitting or not.
     staged = stage(basic.filter(F.col("hh_expenditures").isNotNull()))
+    if check:
+        tonnes = [f"CO2_t_{name}" for name in CARRIERS]
+        require(has_infinite(staged, tonnes).filter("infinite"), "infinite tonnes: check the intensities")
     binned = weighted_bins(staged, "hh_expenditures_pc", "hh_weights", ks, "Income_Group_")
     return incidence(binned.filter(F.col("_emitting") > 0), price, survey.year).drop("_emitting")

@@ -38,16 +38,16 @@ def _net_box(mart: DataFrame, gain: Column, label: str) -> DataFrame:
     return weighted_box(table, "_gain", "hh_weights", [BIN]).withColumn("category", F.lit(label))
 
 
-def lump_sum_gain(mart: DataFrame) -> DataFrame:
-    """Net gain of each household when all revenue returns per head."""
+def lump_sum_gain(mart: DataFrame, total: str = TOTAL) -> DataFrame:
+    """Net gain of each household, in shares of the total, when all revenue returns per head."""
     paid = mart.withColumn("_transfer", per_head_transfer(mart).scalar())
     net = F.col("exp_CO2_national") - F.col("_transfer") * F.col("hh_size")
-    return paid.withColumn("net_gain", -ratio(net, TOTAL)).drop("_transfer")
+    return paid.withColumn("net_gain", -ratio(net, total)).drop("_transfer")
 
 
-def carrier_gain(carrier: str = "electricity") -> Column:
+def carrier_gain(carrier: str = "electricity", total: str = TOTAL) -> Column:
     """Net gain when the carrier's cost is refunded in full."""
-    return -ratio(F.col("exp_CO2_national") - F.col(f"exp_CO2_{carrier}"), TOTAL)
+    return -ratio(F.col("exp_CO2_national") - F.col(f"exp_CO2_{carrier}"), total)
 
 
 def lump_sum(mart: DataFrame) -> DataFrame:
@@ -69,24 +69,24 @@ def no_recycling(mart: DataFrame) -> DataFrame:
     return _sign_turned(_net_box(mart, F.col("burden_CO2_national"), NONE))
 
 
-def _gains(mart: DataFrame) -> DataFrame:
+def _gains(mart: DataFrame, total: str = TOTAL) -> DataFrame:
     """Three columns per household, named by scheme; of no recycling, the burden itself."""
-    paid = lump_sum_gain(mart)
+    paid = lump_sum_gain(mart, total)
     return paid.select(
-        BIN, "hh_weights", F.col("net_gain").alias(LUMP_SUM), carrier_gain().alias(CARRIER), F.col("burden_CO2_national").alias(NONE)
+        BIN, "hh_weights", F.col("net_gain").alias(LUMP_SUM), carrier_gain("electricity", total).alias(CARRIER), F.col("burden_CO2_national").alias(NONE)
     )
 
 
-def all_schemes(mart: DataFrame) -> DataFrame:
+def all_schemes(mart: DataFrame, total: str = TOTAL) -> DataFrame:
     """Box of the net gain by quintile and scheme, all from one quantile run."""
-    long = _gains(mart).unpivot([BIN, "hh_weights"], [LUMP_SUM, CARRIER, NONE], "category", "_gain")
+    long = _gains(mart, total).unpivot([BIN, "hh_weights"], [LUMP_SUM, CARRIER, NONE], "category", "_gain")
     box = weighted_box(long, "_gain", "hh_weights", [BIN, "category"])
     return _sign_turned(box).select(BIN, *BOX_NAMES, "mean", "category")
 
 
-def compare_schemes(mart: DataFrame) -> DataFrame:
+def compare_schemes(mart: DataFrame, total: str = TOTAL) -> DataFrame:
     """Mean net gain, scheme by quintile: one aggregation."""
     schemes = (LUMP_SUM, CARRIER, NONE)
-    means = _gains(mart).groupBy(BIN).agg(*[wmean(s, "hh_weights").alias(s) for s in schemes])
+    means = _gains(mart, total).groupBy(BIN).agg(*[wmean(s, "hh_weights").alias(s) for s in schemes])
     turned = means.withColumn(NONE, -F.col(NONE)).unpivot([BIN], list(schemes), "category", "mean").filter("mean IS NOT NULL")
     return pivot_fill(turned, ["category"], BIN, "mean", range(1, 6), agg=F.max)

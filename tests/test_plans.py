@@ -169,4 +169,26 @@ def test_ambiguous_concordance_stops_the_mart(t):
 
     doubled = replace(t.survey, sector_map=t.sector_map.unionByName(t.sector_map))
     with pytest.raises(CheckFailed):
-        mart.build_mart(doubled)
+        mart.build_mart(doubled, on_unmatched="drop")
+
+
+def test_each_gate_stops_the_mart(t):
+    from dataclasses import replace
+
+    from levyscape.operators.quality import CheckFailed
+
+    used = t.lines.select("item_code").distinct()
+    everything = replace(
+        t.survey,
+        sector_map=used.withColumn("GTAP", F.lit("s1")),
+        categories=used.withColumn("category", F.lit("Food")),
+    )
+    assert mart.gate_reports(everything, t.lines).isEmpty()
+    one = F.col("item_code") != used.agg(F.min("item_code")).first()[0]
+    for broken, message in (
+        (replace(everything, sector_map=everything.sector_map.filter(one)), mart.NO_SECTOR),
+        (replace(everything, categories=everything.categories.filter(one)), mart.NO_CATEGORY),
+        (replace(everything, emissions=t.emissions.withColumn("Total_HH_Consumption_MUSD", F.lit(0.0))), "infinite"),
+    ):
+        with pytest.raises(CheckFailed, match=message):
+            mart.build_mart(broken)

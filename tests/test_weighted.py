@@ -147,3 +147,20 @@ def test_descriptions(spark):
     assert (six["mean"], six.n_missing) == (22.0, 1)
     bins = {r.bin: r.n for r in describe.histogram(df, "x", 3).collect()}
     assert bins == {0: 4, 2: 1}
+
+
+def test_quantiles_do_not_depend_on_partitions_or_cells(spark):
+    rows = spark.range(1000).select((F.col("id") * 1.5).alias("x"), F.lit(0.1).alias("w"), (F.col("id") % 3).alias("g"))
+    seen = set()
+    for parts in (1, 3, 7):
+        for cell in (10, 200, 100_000):
+            for by in ([], ["g"]):
+                out = w.weighted_stats(rows.repartition(parts), "x", "w", [0.5, 0.9, 1 / 3], ["a", "b", "c"], by, rows_per_cell=cell)
+                seen.add((len(by), tuple(sorted(tuple(r) for r in out.collect()))))
+    assert len(seen) == 2
+
+
+def test_nan_is_a_missing_value(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (float("nan"), 1.0), (None, 1.0)], "x double, w double")
+    assert w.weighted_stats(df, "x", "w", [0.5], ["m"], mean="mean").first().asDict() == {"m": 1.5, "mean": 1.5}
+    assert w.weighted_mean(df, "x", "w").first()[0] == 1.5

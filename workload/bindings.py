@@ -7,13 +7,14 @@ primes, so they are not functions of one another.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from levyscape.plans.households import item_spending
 from levyscape.plans.mart import Survey, build_mart
-from levyscape.plans.spending import clean_spending, load_concordance, load_sector_map
+from levyscape.plans.spending import clean_spending, load_concordance, load_sector_map, price_factor
 from levyscape.sources.readers import read_table
 from levyscape.sources.staging import stage
 
@@ -224,6 +225,12 @@ class Tables:
             kept_fuels=FUELS,
         )
 
+    @property
+    def survey_b(self) -> Survey:
+        """The same tables as a survey of other prices: lines collapsed, prices carried from 1996 to 2001."""
+        factor = price_factor(self.cpi, COUNTRY, 1996, 2001)
+        return replace(self.survey, collapse=True, price_factor=factor, year=2001)
+
     @property
     def mart(self) -> DataFrame:
         """The final mart, written once per session and data directory, then read.
@@ -233,7 +240,7 @@ class Tables:
         """
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _MARTS:
-            _MARTS[key] = stage(build_mart(self.survey))
+            _MARTS[key] = stage(build_mart(self.survey, on_unmatched="drop"))
         return _MARTS[key]
 
 

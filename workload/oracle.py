@@ -123,24 +123,22 @@ CTES |= {
 }
 
 
-def _uses(text: str) -> set[str]:
-    return {w for w in re.findall(r"\b[a-zA-Z_]\w*\b", text) if w in CTES and w not in RAW}
+def _uses(text: str, known: dict[str, str]) -> set[str]:
+    return {w for w in re.findall(r"\b[a-zA-Z_]\w*\b", text) if w in known and w not in RAW}
 
 
-def _ordered(names: set[str], done: list[str]) -> None:
+def _ordered(names: set[str], known: dict[str, str], done: list[str]) -> None:
     for n in sorted(names):
         if n not in done:
-            _ordered(_uses(CTES[n]) - {n}, done)
+            _ordered(_uses(known[n], known) - {n}, known, done)
             if n not in done:
                 done.append(n)
 
 
 def oracle(body: str, extra: dict[str, str] | None = None) -> str:
-    """``body`` with every binding it (transitively) needs in front."""
-    extra = extra or {}
-    order: list[str] = []
-    _ordered(_uses(" ".join([body, *extra.values()])), order)
+    """``body`` with every binding it (transitively) needs in front; extra ones add to or replace the shared."""
+    known, order = {**CTES, **(extra or {})}, []
+    _ordered(_uses(body, known) | set(extra or {}), known, order)
     # read several times and costly: compute once
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order if n not in extra]
-    parts += [f"{n} AS MATERIALIZED ({text})" for n, text in extra.items()]
+    parts = [f"{n} AS MATERIALIZED ({known[n]})" for n in order]
     return f"WITH {', '.join(parts)} {body}" if parts else body

@@ -355,7 +355,33 @@ register(
     "SELECT hh_id, item_code, expenditures FROM cleaned WHERE hh_id IN (SELECT hh_id FROM fp WHERE CO2_t_national > 700)",
 )
 _MART = f"hh_id:i hh_expenditures_USD_2014:3 {_TONNES} {_COST} Income_Group_5:i Income_Group_10:i {_SHARES} {_FUELS} hh_size:i hh_weights:2 province:i education_hhh:i own_stove:i"
-register("final_mart", _MART, lambda t: mart.build_mart(t.survey), "SELECT * FROM mart")
+register("final_mart", _MART, lambda t: mart.build_mart(t.survey, on_unmatched="drop"), "SELECT * FROM mart")
+# a second survey: several lines on one item are one purchase, prices are carried over the years
+_B_SURVEY = {
+    **_CPI,
+    "factors": _CPI["factors"].replace("1998", "2001") + " -- cpi_sheet\n",
+    "lines": "SELECT i.hh_id, c.item_code, sum(i.expenditures_year) AS expenditures_year FROM items i JOIN codes c USING (coicop) "
+    "WHERE i.expenditures_year IS NOT NULL AND i.hh_id IS NOT NULL AND c.item_code IS NOT NULL GROUP BY 1, 2",
+    "rate": f"SELECT TRY_CAST(exchange_rate AS DOUBLE) * (SELECT factor FROM factors WHERE Country = '{COUNTRY}' AND base_year = 1996) AS r "
+    f"FROM fx WHERE Country = '{COUNTRY}'",
+}
+register(
+    "final_mart_b",
+    _MART.replace("2014", "2001"),
+    lambda t: mart.build_mart(t.survey_b, on_unmatched="drop"),
+    "SELECT *, hh_expenditures_USD_2014 AS hh_expenditures_USD_2001 FROM mart",
+    _B_SURVEY,
+)
+register(
+    "gate_reports",
+    "gate:s item_code:s",
+    lambda t: mart.gate_reports(t.survey, t.lines),
+    """WITH used AS (SELECT DISTINCT item_code FROM lines)
+       SELECT 'no sector' AS gate, item_code FROM used WHERE item_code NOT IN (SELECT item_code FROM sector_map)
+       UNION ALL SELECT 'no category', item_code FROM used WHERE item_code NOT IN (SELECT item_code FROM categories)
+       UNION ALL SELECT 'two sectors or categories', item_code FROM
+         (SELECT item_code FROM sector_map FULL JOIN categories USING (item_code)) GROUP BY item_code HAVING count(*) > 1""",
+)
 
 
 @query("final_mart_assembled", _MART, "SELECT * FROM mart")
@@ -379,7 +405,7 @@ def _(t):
     "SELECT Income_Group_5, sum(hh_weights * burden_CO2_national) / sum(hh_weights) AS mean FROM mart GROUP BY 1",
 )
 def _(t):
-    return distribution.mean_by(mart.build_mart(t.survey), "burden_CO2_national", ["Income_Group_5"])
+    return distribution.mean_by(mart.build_mart(t.survey, on_unmatched="drop"), "burden_CO2_national", ["Income_Group_5"])
 
 
 @query(

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from levyscape.llm.common import as_row, name_words, of_row, slices, utf8_column, window_names, window_starts, word_spans
 
-WIDTH, BLOCK_BYTES, SLICE, BITS = 10, 16 << 20, 1 << 20, 20
+WIDTH, BLOCK_BYTES, SLICE, BITS = 10, 4 << 20, 1 << 20, 20
 
 LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
 IS_WORD = np.array([0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 for i in range(256)])
@@ -47,10 +47,12 @@ def _words(data: np.ndarray, offsets: np.ndarray):
 
 
 class Windows:
-    """Benchmark windows of one block: by width, sorted names and what they stand for."""
+    """Benchmark windows of one block: by width, sorted names and the item and first word each stands for."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        found: dict[int, dict[int, dict[tuple, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        self.ids: list[str | None] = []
+        self.words: list[list[bytes]] = []
+        names, owners, starts = defaultdict(list), defaultdict(list), defaultdict(list)
         for item, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             low, first, end, _ = _words(data, np.array([0, len(data)]))
@@ -59,19 +61,32 @@ class Windows:
             if not words:
                 continue
             w = min(width, len(words))
-            for i, name in enumerate(window_names(name_words(low, first, end), w).tolist()):
-                found[w][name][tuple(words[i : i + w])].add(item)
+            mine = window_names(name_words(low, first, end), w)
+            names[w].append(mine)
+            owners[w].append(np.full(len(mine), len(self.ids), np.int32))
+            starts[w].append(np.arange(len(mine), dtype=np.int32))
+            self.ids.append(item)
+            self.words.append(words)
         self.tables = {}
-        for w, names in found.items():
-            keys = np.array(sorted(names), np.uint64)
+        for w in names:
+            keys = np.concatenate(names[w])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             maybe = np.zeros(1 << BITS, bool)
             maybe[keys >> np.uint64(64 - BITS)] = True
-            self.tables[w] = (keys, maybe, {k: dict(v) for k, v in names.items()})
+            self.tables[w] = (keys, maybe, np.concatenate(owners[w])[order], np.concatenate(starts[w])[order])
+
+    def items_with(self, w: int, name: np.uint64, words: list[bytes]) -> set[str | None] | None:
+        """Ids of the items that hold these words; None if none does."""
+        keys, _, owner, start = self.tables[w]
+        a, b = np.searchsorted(keys, name, "left"), np.searchsorted(keys, name, "right")
+        found = [self.ids[i] for i, x in zip(owner[a:b].tolist(), start[a:b].tolist()) if self.words[i][x : x + w] == words]
+        return set(found) or None
 
 
 def _scan(windows, text_at: int, with_before: bool, keep: list[str]):
     def run(batches):
-        tables = windows.value.tables
+        known = windows.value
         for batch in batches:
             data, offsets = utf8_column(batch.column(text_at))
             counts, hits = np.zeros(batch.num_rows, np.int64), defaultdict(list)
@@ -80,7 +95,7 @@ def _scan(windows, text_at: int, with_before: bool, keep: list[str]):
                 low, first, end, rows = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 counts[a:b] = np.diff(rows)
                 names = name_words(low, first, end)
-                for w, (keys, maybe, meaning) in tables.items():
+                for w, (keys, maybe, _, _) in known.tables.items():
                     s = window_starts(rows, w)
                     if not len(s):
                         continue
@@ -90,8 +105,8 @@ def _scan(windows, text_at: int, with_before: bool, keep: list[str]):
                     row = np.searchsorted(rows, s[at], "right") - 1
                     for i, r in zip(at.tolist(), row.tolist()):
                         x = int(s[i])
-                        words = tuple(low[first[j] : end[j]].tobytes() for j in range(x, x + w))
-                        items = meaning[int(name[i])].get(words)
+                        words = [low[first[j] : end[j]].tobytes() for j in range(x, x + w)]
+                        items = known.items_with(w, name[i], words)
                         if items is not None:
                             from_ = x - int(rows[r])
                             start = int(offsets[a + r] - offsets[a])

@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """What stands at the path goes when the session's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write the frame as Parquet to the shared folder and read it back.
 
@@ -33,8 +39,7 @@ def stage(df: DataFrame) -> DataFrame:
     session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

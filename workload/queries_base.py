@@ -92,16 +92,12 @@ def _(t):
 
 @query(
     "drop_by_prefix",
-    "hh_id:i electricity_left:i columns_left:i",
-    "SELECT hh_id, 0 AS electricity_left, 13 AS columns_left FROM hh",
+    "hh_id:i hh_size:i hh_weights:2 province:i urban_1:i cookingsource:i lightingsource:i income:4 consumption:4",
+    "SELECT hh_id, hh_size, hh_weights, province, urban_1, cookingsource, lightingsource, income, consumption FROM hh",
 )
 def _(t):
-    left = reshape.drop_prefix(t.hh, "electricity")
-    return left.select(
-        "hh_id",
-        F.lit(len(reshape.with_prefix(left, "electricity"))).alias("electricity_left"),
-        F.lit(len(left.columns)).alias("columns_left"),
-    )
+    left = reshape.drop_prefix(reshape.drop_prefix(reshape.drop_prefix(t.hh, "electricity"), "heating"), "gender")
+    return left.drop("ethnicity_hhh")
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,39 +10,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levyscape.sources.staging import remove_at_end, shared_dir
+
 # Stands for a missing id, so that such rows have a place (the last) in every order.
 LAST_ID = 2**63 - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the one in spark.checkpoint.dir.
-
-    Only a session that runs wholly in this process (master local[...]) may go without.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="levyscape-llm-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later passes and retries start from there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def id_or_last(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 

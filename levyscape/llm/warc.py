@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levyscape.llm.common import fresh_path, stage
+from levyscape.sources.staging import remove_at_end
 
 CHUNK = 32 << 10
 VERSION = "WARC/1.1"
@@ -242,4 +243,5 @@ def payloads(records: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    remove_at_end(spark, path)
     return payloads(read_archives(spark, path))

@@ -7,8 +7,12 @@ score is the log-likelihood difference of the models by byte; it is accepted fro
 threshold on that is calibrated on a quarter of the rule rows, kept out of the counts,
 for the best mean of both classes' hit rates.
 
-All rule rows are counted. The counts of each order and class go into a table of 2^16
-slots (by hash), so what the tasks receive has a fixed size.
+All rule rows are counted, and the counts are exact: a table of grams (a byte and the
+`ORDER` before it) that grows with the URLs and never leaves Spark. URLs are scored in
+batches of about `BATCH_BYTES`. A batch asks once for each gram it holds, so a gram that
+every URL has (`http://`) is asked for once a batch; the log ratios are worked out order
+by order in joins, in which no key has more than 256 rows a side, and go back to the
+batches.
 
 Defined cases: a null url, or one without "://", has empty host and path, no rule, and
 is judged by the models as it is (null: the empty string); if one class has no row, or
@@ -23,14 +27,15 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscape.llm.common import as_row, byte_names, row_type, slices, utf8_column, window_names
+from levyscape.llm.common import as_row, int64_column, row_type, slices, stage, utf8_column
 
 # (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-ORDER, SLOT_BITS, STRENGTH, BIN = 5, 16, 2.0, 0.01
+ORDER, STRENGTH, BIN, BATCH_BYTES = 5, 2.0, 0.01, 1 << 19
 START, STOP = 2, 3
 
 
@@ -50,84 +55,115 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(column):
-    """Per slice of rows: first row, bytes of the rows with ORDER start marks before and a stop mark after, row of each byte scored, its place."""
-    data, offsets = utf8_column(column)
-    for a, b in slices(offsets, 1 << 20):
-        part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        n = np.diff(offs)
-        row = np.repeat(np.arange(b - a), n + ORDER + 1)
-        starts = np.cumsum(n + ORDER + 1) - (n + ORDER + 1)
-        at = np.arange(len(row)) - starts[row]
-        padded = np.full(len(row), START, np.uint8)
-        text = (at >= ORDER) & (at < ORDER + n[row])
-        padded[text] = part
-        padded[at == ORDER + n[row]] = STOP
-        place = np.flatnonzero(at >= ORDER)
-        yield a, byte_names()[padded], row[place], place
+def _grams(urls) -> tuple[np.ndarray, np.ndarray]:
+    """Row and gram of every byte of the urls and of the stop mark after each.
 
+    A gram is the byte (lowest) and the ORDER before it as one number, start marks before the first.
+    """
+    data, offsets = utf8_column(urls)
+    n = np.diff(offsets)
+    row = np.repeat(np.arange(len(n)), n + ORDER + 1)
+    starts = np.cumsum(n + ORDER + 1) - (n + ORDER + 1)
+    at = np.arange(len(row)) - starts[row]
+    padded = np.full(len(row), START, np.uint8)
+    padded[(at >= ORDER) & (at < ORDER + n[row])] = data
+    padded[at == ORDER + n[row]] = STOP
+    place = np.flatnonzero(at >= ORDER)
+    gram = np.zeros(len(place), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << 8 | padded[place - k]
+    return row[place], gram
 
-def _slots(units: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """Slot of the k + 1 bytes that end at each place."""
-    return (window_names(units, k + 1)[place - k] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-
-def _tables(k: int, cls: int) -> tuple[int, int]:
-    """Numbers of the tables of grams and of contexts of an order and class."""
-    return 4 * k + 2 * cls, 4 * k + 2 * cls + 1
+def _portions(urls):
+    """Ranges of rows of bounded size."""
+    return slices(utf8_column(urls)[1], BATCH_BYTES)
 
 
 def _count(batches):
-    counts = np.zeros((4 * (ORDER + 1), 1 << SLOT_BITS), np.int64)
     for batch in batches:
         accepted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        for first, units, row, place in _grams(batch.column(0)):
-            mine = accepted[row + first]
-            for cls in (0, 1):
-                at = place[mine == cls]
-                for k in range(ORDER + 1):
-                    grams, contexts = _tables(k, cls)
-                    counts[grams] += np.bincount(_slots(units, at, k), minlength=1 << SLOT_BITS)
-                    counts[contexts] += np.bincount(_slots(units, at - 1, k - 1) if k else np.zeros(len(at), np.int64), minlength=1 << SLOT_BITS)
-    table, slot = np.nonzero(counts)
-    if len(table):
-        yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(slot), pa.array(counts[table, slot])], ["t", "slot", "n"])
-
-
-def _score(model: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for first, units, row, place in _grams(batch.column(1)):
-                logs = []
-                for cls in (0, 1):
-                    p = np.full(len(place), 1 / 256)
-                    for k in range(ORDER + 1):
-                        grams, contexts = (model[t] for t in _tables(k, cls))
-                        ctx = contexts[_slots(units, place - 1, k - 1) if k else np.zeros(len(place), np.int64)]
-                        p = (np.minimum(grams[_slots(units, place, k)], ctx) + STRENGTH * p) / (ctx + STRENGTH)
-                    logs.append(np.log(p))
-                n = int(row[-1]) + 1
-                out[first : first + n] = np.bincount(row, weights=logs[1] - logs[0], minlength=n) / np.bincount(row, minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "score"])
-
-    return run
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counts of all rows of labelled (url, accepted), as tables by order and class."""
-    parts = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "accepted").mapInArrow(_count, "t long, slot long, n long")
-    rows = parts.groupBy("t", "slot").agg(F.sum("n").alias("n")).groupBy("t").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
-    model = np.zeros((4 * (ORDER + 1), 1 << SLOT_BITS))
-    for r in rows.toLocalIterator():
-        model[r["t"], r["slots"]] = r["counts"]
-    return model
-
-
-def scored(df: DataFrame, model: np.ndarray) -> DataFrame:
+        for a, b in _portions(batch.column(0)):
+            row, gram = _grams(batch.column(0).slice(a, b - a))
+            kinds, at = np.unique(gram, return_inverse=True)
+            good = np.bincount(at[accepted[a:b][row]], minlength=len(kinds))
+            both = np.bincount(at, minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(good), pa.array(both - good)], ["gram", "accepted", "rejected"])
+
+
+def _sums(counts: DataFrame, gram: Column) -> DataFrame:
+    return counts.groupBy(gram.alias("gram")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+def train(labelled: DataFrame) -> DataFrame:
+    """gram, accepted, rejected: how often all rows of labelled (url, accepted) have each gram."""
+    counts = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "accepted").mapInArrow(_count, "gram long, accepted long, rejected long")
+    return stage(_sums(counts, F.col("gram")), "counts")
+
+
+def log_ratios(model: DataFrame, grams: DataFrame) -> DataFrame:
+    """gram and ratio, the log of its last byte's chance among the accepted over that among the rejected."""
+    asked = grams.select("gram", F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
+    every = stage(_sums(model.unionByName(asked), F.col("gram")), "grams")
+    chances = None
+    for k in range(ORDER + 1):
+        counts = _sums(every, F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)))
+        if chances is None:
+            known = counts.withColumns({"p_accepted": F.lit(1 / 256), "p_rejected": F.lit(1 / 256)})
+        else:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            known = counts.withColumn("shorter", shorter).join(chances.withColumnRenamed("gram", "shorter"), "shorter")
+        context = Window.partitionBy(F.shiftright("gram", 8))  # a row for each byte after it
+        chances = known.select(
+            "gram",
+            *[
+                ((F.col(c) + STRENGTH * F.col(f"p_{c}")) / (F.sum(c).over(context) + STRENGTH)).alias(f"p_{c}")
+                for c in ("accepted", "rejected")
+            ],
+        )
+    return chances.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
+
+
+def _pack(batches):
+    """Rows (row, text) as one row per batch, with a number of its own."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for a, b in _portions(batch.column(1)):
+            part = batch.slice(a, b - a)
+            rows = pa.StructArray.from_arrays([part.column(0), part.column(1)], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays([0, b - a], rows)], ["batch", "rows"])
+            number += 1
+
+
+def _ask(batches):
+    for batch in batches:
+        for i, number in enumerate(int64_column(batch.column(0)).tolist()):
+            kinds = np.unique(_grams(batch.column(1).slice(i, 1).flatten().field(1))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), number)), pa.array(kinds)], ["batch", "gram"])
+
+
+def _score(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows, answers = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
+            grams, ratios = int64_column(answers.field(0)), answers.field(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(grams)
+            row, gram = _grams(rows.field(1))
+            found = ratios[order][np.searchsorted(grams[order], gram)]
+            score = np.bincount(row, weights=found, minlength=len(rows)) / np.bincount(row, minlength=len(rows))
+            yield pa.RecordBatch.from_arrays([rows.field(0), pa.array(score)], ["row", "score"])
+
+
+def scored(df: DataFrame, model: DataFrame) -> DataFrame:
     """row (the columns of df, url among them) and score, the log-likelihood difference by byte of the url."""
     row = as_row(df)
-    return df.select(row, F.col("url").alias("text")).mapInArrow(_score(model), f"row {row_type(df, row)}, score double")
+    kind = row_type(df, row)
+    texts = df.select(row, F.coalesce("url", F.lit("")).alias("text"))
+    packed = stage(texts.mapInArrow(_pack, f"batch long, rows array<struct<row: {kind}, text: string>>"), "urls")
+    asked = stage(packed.mapInArrow(_ask, "batch long, gram long"), "asked")
+    # no more answers than a batch has bytes
+    answers = asked.join(log_ratios(model, asked), "gram").groupBy("batch").agg(F.collect_list(F.struct("gram", "ratio")).alias("answers"))
+    return packed.join(answers, "batch").select("rows", "answers").mapInArrow(_score, f"row {kind}, score double")
 
 
 def threshold(calibration: DataFrame) -> float:
@@ -151,11 +187,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     base = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     ruled = base.withColumn("rule", rule).withColumn("ruled", verdict)
-    labelled = ruled.filter(F.col("ruled").isNotNull()).select("url", (F.col("ruled") == "allow").alias("accepted"))
-    kept_out = F.pmod(F.crc32("url"), F.lit(4)) == 3
-    model = train(labelled.filter(~kept_out))
-    least = threshold(scored(labelled.filter(kept_out), model))
-    judged = scored(ruled, model).select("row.*", "score")
+    ruled = ruled.withColumn("accepted", F.col("ruled") == "allow")
+    kept_out = F.col("ruled").isNotNull() & (F.pmod(F.crc32("url"), F.lit(4)) == 3)
+    ruled = ruled.withColumn("kept_out", F.coalesce(kept_out, F.lit(False)))
+    model = train(ruled.filter("ruled is not null and not kept_out"))
+    judged = stage(scored(ruled, model), "scored")
+    least = threshold(judged.filter("row.kept_out"))
+    judged = judged.select("row.*", "score")
     by_model = F.when(F.col("score") >= least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
 

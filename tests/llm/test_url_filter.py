@@ -1,7 +1,13 @@
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from levyscape.llm import url_filter
 
+from .helpers import rows
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -57,4 +63,45 @@ def test_models_tell_held_out_urls_apart(spark):
     right = sum((r.score >= least) == r.row.accepted for r in out.collect())
     assert right / 200 >= 0.97
     again = url_filter.train(taught.repartition(5))
-    assert (again == model).all()
+    assert rows(again) == rows(model)
+
+
+def plain_scores(taught, urls):
+    """Log-likelihood difference by byte, from counts in dictionaries."""
+    order, strength = url_filter.ORDER, url_filter.STRENGTH
+    counts = {True: Counter(), False: Counter()}
+
+    def padded(url):
+        return bytes([url_filter.START]) * order + (url or "").encode() + bytes([url_filter.STOP])
+
+    for url, accepted in taught:
+        p = padded(url)
+        for i in range(order, len(p)):
+            for k in range(order + 1):
+                counts[accepted][p[i - k : i + 1]] += 1
+                counts[accepted]["before", p[i - k : i]] += 1
+
+    def chance(cls, p, i):
+        x = 1 / 256
+        for k in range(order + 1):
+            x = (counts[cls][p[i - k : i + 1]] + strength * x) / (counts[cls]["before", p[i - k : i]] + strength)
+        return x
+
+    out = []
+    for url in urls:
+        p = padded(url)
+        logs = [math.log(chance(True, p, i)) - math.log(chance(False, p, i)) for i in range(order, len(p))]
+        out.append(sum(logs) / len(logs))
+    return out
+
+
+def test_scores_are_those_of_plain_counts(spark):
+    table = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    taught = [(u, i % 3 == 0) for i, u in enumerate(table + URLS)]
+    urls = URLS + table[:60] + table[:5]
+    model = url_filter.train(spark.createDataFrame(taught, "url string, accepted boolean"))
+    df = spark.createDataFrame(list(enumerate(urls)), "n long, url string").repartition(3)
+    got = {r.row.n: r.score for r in url_filter.scored(df, model).collect()}
+    assert len(got) == len(urls)
+    for n, x in enumerate(plain_scores(taught, urls)):
+        assert got[n] == pytest.approx(x, rel=1e-9, abs=1e-12)

@@ -154,14 +154,17 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the number of the copy (from 1) as `copy`."""
     plan = mix_sources(docs, **options)
     key = ["id", "source", "mark"]
-    per_key = plan.select(F.col("doc_id").cast("string").alias("id"), "source", "mark", "copies").groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    alike = plan.select(F.col("doc_id").cast("string").alias("id"), "source", "mark", "copies").groupBy(*key)
+    # documents of a source differ by one copy at most
+    per_key = alike.agg(F.min("copies").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
     rows = docs.select(
         as_row(docs), F.col("doc_id").cast("string").alias("of_id"), F.col("source").cast("string").alias("of_source"), F.xxhash64("text").alias("of_mark")
     )
     same = F.col("of_id").eqNullSafe(F.col("id")) & F.col("of_source").eqNullSafe(F.col("source")) & (F.col("of_mark") == F.col("mark"))
-    # rows that are alike in all three take the numbers of copies in turn
+    # of rows that are alike in all three, the first ones are taken once more
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    taken = rows.join(per_key.hint("shuffle_hash"), same).withColumn("times", F.element_at("copies", nth)).filter("times > 0")
+    times = F.col("least") + F.when(nth <= F.col("more"), 1).otherwise(0)
+    taken = rows.join(per_key.hint("shuffle_hash"), same).withColumn("times", times).filter("times > 0")
     names = [c for c in docs.columns if c != "copy"]
     return taken.select(*of_row(names), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
 

@@ -4,7 +4,9 @@ The benchmark's windows of 10 normalised words (a shorter item is one window) ar
 by 64-bit hashes, in blocks of at most `BLOCK_BYTES` of benchmark text. Each block is
 broadcast and every document's word windows are looked up in it; what is found is
 verified word by word. A larger benchmark means more blocks, one after the other over
-the same rows, never a larger broadcast. No shuffle takes place.
+the same rows, never a larger broadcast. After each `CHAIN` blocks the rows are written
+with what was found so far, so that a task never runs more scans, nor holds more blocks,
+at a time. No shuffle takes place.
 
 Defined cases: a null text has no words; an item without words has no window; an item
 without an id marks words but is neither listed nor counted; items that repeat an id
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levyscape.llm.common import as_row, name_words, of_row, slices, utf8_column, window_names, window_starts, word_spans
+from levyscape.llm.common import as_row, name_words, of_row, slices, stage, utf8_column, window_names, window_starts, word_spans
 
-WIDTH, BLOCK_BYTES, SLICE, BITS = 10, 4 << 20, 1 << 20, 20
+WIDTH, BLOCK_BYTES, CHAIN, SLICE, BITS = 10, 4 << 20, 4, 1 << 20, 20
 
 LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
 IS_WORD = np.array([0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 for i in range(256)])
@@ -158,6 +160,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
         kept = keep if last else list(dict.fromkeys([*keep, "text"]))
         schema = T.StructType([docs.schema[c] for c in kept] + NEW.fields)
         out = out.mapInArrow(_scan(windows, out.columns.index("text"), block > 0, kept), schema)
+        if not last and (block + 1) % CHAIN == 0:
+            out = stage(out, "scanned")
     return out
 
 

@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levyscape.functions.codebook import CategorySpec, label_of, ordinal, recoded, within
+from levyscape.functions.codebook import CategorySpec, label_of, ordinal, recode, recoded, within
 from levyscape.functions.nulls import natural_join
 from levyscape.functions.scalars import first_match
-from levyscape.functions.survey_codes import ELECTRICITY_LEVELS, MIX_SPECS, PROVINCE, PROVINCE_LEVELS
+from levyscape.functions.survey_codes import (
+    ELECTRICITY_LEVELS,
+    MIX_SPECS,
+    MODEL_SPECS,
+    PROVINCE,
+    PROVINCE_LEVELS,
+    TRANSFER_FACTORS,
+    TRANSFER_MAINS_LEVELS,
+)
 from levyscape.operators.reshape import share_of, surrogate_join
 from levyscape.operators.ranking import surrogate_index
 
@@ -75,6 +83,17 @@ def harmonise(df: DataFrame, survey: str, ordinals: bool = False) -> DataFrame:
     return out
 
 
+def transfer_factors(df: DataFrame, survey: str) -> DataFrame:
+    """The factors that surveys A and B share, under one set of labels.
+
+    B does not ask for mains: its connection to electricity stands for it.
+    """
+    mains = F.col({"A": "electricitymains", "B": "electricitycon"}[survey])
+    yes, no = TRANSFER_MAINS_LEVELS
+    out = df.withColumn("electricitymains", F.when(mains == 1, yes).when(mains > 1, no))
+    return recode(out, [s for s in MODEL_SPECS if s.column in TRANSFER_FACTORS])
+
+
 def renumber(df: DataFrame, key: str = "hh_id") -> DataFrame:
     """Replace household ids by 1..n."""
     keys = surrogate_index(df, key, "hh_id_new")

@@ -265,6 +265,20 @@ def _frame(t):
     return household_frame(t.hh, t.persons, t.assets)
 
 
+register(
+    "harmonise_b",
+    "hh_id:i survey:s electricitymains:s province:s urban_1:s gender_hhh:s ethnicity_hhh:s",
+    lambda t: energy.transfer_factors(_frame(t).drop("electricitymains"), "B").withColumn("survey", F.lit("B"))
+    .unionByName(energy.transfer_factors(_frame(t), "A").withColumn("survey", F.lit("A")), allowMissingColumns=True),
+    " UNION ALL ".join(
+        f"""SELECT hh_id, '{s}' AS survey, CASE WHEN {c} = 1 THEN 'Mains' WHEN {c} > 1 THEN 'Other' END AS electricitymains, {_PROV} AS province,
+  CASE urban_1 WHEN 1 THEN 'Urban formal' WHEN 2 THEN 'Urban informal' WHEN 4 THEN 'Traditional area' WHEN 5 THEN 'Rural formal' END AS urban_1,
+  CASE gender_hhh WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' END AS gender_hhh,
+  CASE ethnicity_hhh WHEN 1 THEN 'African Black' WHEN 2 THEN 'Coloured' WHEN 3 THEN 'Indian/Asian' WHEN 4 THEN 'White' END AS ethnicity_hhh
+  FROM frame"""
+        for s, c in (("A", "electricitymains"), ("B", "electricitycon"))
+    ),
+)
 register(
     "recode_factors",
     "hh_id:i " + " ".join(f"{c}:s" for c in _RC),
@@ -454,15 +468,13 @@ def _transfer_spec() -> ModelSpec:
 
 @query("transfer_full", "sample:s mse:8 mae:8 r2_refit:6 r2_predictive:6")
 def _(t):
-    frame = model_frame(t).withColumn(
-        "electricitymains",
-        F.when(F.col("electricitymains") == 1, "Mains").when(F.col("electricitymains") > 1, "Other"),
-    )
-    frame = stage(splits.hash_split(frame, "hh_id", out="first"))
-    split = stage(splits.stratified_split(frame.filter("first"), _B, "hh_id"))
+    mart = t.mart.withColumn("log_expenditures_hh", F.ln("hh_expenditures_USD_2014"))
+    people = stage(splits.hash_split(mart, "hh_id", out="first"))
+    first = energy.transfer_factors(people.filter("first"), "A")
+    split = stage(splits.stratified_split(first, _B, "hh_id"))
     model = regression.ols(split.filter("train"), _B, _transfer_spec())
     held_out = regression.transfer_quality(model, split.filter("NOT train"))
-    second = regression.transfer_quality(model, frame.filter("NOT first"))
+    second = regression.transfer_quality(model, energy.transfer_factors(people.filter("NOT first"), "B"))
     return held_out.withColumn("sample", F.lit("held out")).unionByName(
         second.withColumn("sample", F.lit("second survey"))
     )

@@ -1,14 +1,14 @@
 """Line dedup by pairwise alignment.
 
 A line is known by the hash of its text without blanks at the ends; one of at least
-`MIN_CHARS` characters can show that documents overlap. A line that 2 to `RARE`
-documents hold is rare: each later holder becomes a partner of the earliest one. Every
-such pair is aligned by patience diff over all its lines (common head and tail, then the
-longest increasing chain of lines that occur once in both, then the gaps between them),
-and common blocks (runs of aligned neighbours) with such a line are deleted from the
-later document. A line that more than `RARE` documents hold needs no alignment to be
-placed: it is a block of its own with its earliest holder, and goes from all others. So
+`MIN_CHARS` characters can show that documents overlap. Each later holder of such a line,
+however many there are, becomes a partner of the earliest one. Every such pair is aligned
+by patience diff over all its lines (common head and tail, then the longest increasing
+chain of lines that occur once in both, then the gaps between them), and common blocks
+(runs of aligned neighbours) with such a line are deleted from the later document. So
 pairs grow with the lines (each has one earliest holder), never with the square of a group.
+A caller may set `rare`: lines of more holders are then not aligned, but go singly from all
+but the earliest. The query and the pipeline set none.
 
 Documents are ordered by id, null last, then by a hash of the text. Rows that repeat
 both are one document and return the same. Defined cases: a null text has no lines and
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 
 from levyscape.llm.common import as_row, id_or_last, of_row, row_type, stage
 
-MIN_CHARS, RARE = 20, 50
+# no number of holders is beyond RARE: every line is aligned
+MIN_CHARS, RARE = 20, 2**63 - 1
+# holders of a line for which one copy of its earliest document is made
+DEALT = 1_000
 
 
 def line_names(text: str, min_chars: int) -> list[int]:
@@ -139,10 +142,14 @@ def common_lines_gone(docs: DataFrame, keep: list[str], min_chars: int = MIN_CHA
     holders = lines.groupBy("h").agg(F.min(F.struct("k", "tag")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     held = stage(lines.join(holders, "h").filter("struct(k, tag) <> first"), "held")
 
-    pairs = held.filter(F.col("n") <= rare).select("k", "tag", F.col("first.k").alias("first_k"), F.col("first.tag").alias("first_tag")).distinct()
+    pairs = held.filter(F.col("n") <= rare).select("k", "tag", F.col("first.k").alias("first_k"), F.col("first.tag").alias("first_tag"), "n")
+    # the later holders of a common line are dealt over copies of the earliest, so that no task reads all of them
+    pairs = pairs.groupBy("k", "tag", "first_k", "first_tag").agg(F.max("n").alias("n"))
+    pairs = pairs.select("k", "tag", "first_k", "first_tag", F.pmod(F.xxhash64("k", "tag"), F.ceil(F.col("n") / DEALT)).alias("copy"))
     one_each = sequences.groupBy("k", "tag").agg(F.first("lines").alias("lines"))
     earlier = one_each.select(F.col("k").alias("first_k"), F.col("tag").alias("first_tag"), F.col("lines").alias("earlier"))
-    aligned = pairs.join(earlier, ["first_k", "first_tag"]).join(one_each, ["k", "tag"]).select("k", "tag", "earlier", "lines").mapInArrow(_align, "k long, tag long, gone array<long>")
+    copies = pairs.select("first_k", "first_tag", "copy").distinct().join(earlier, ["first_k", "first_tag"])
+    aligned = pairs.join(one_each, ["k", "tag"]).join(copies, ["first_k", "first_tag", "copy"]).select("k", "tag", "earlier", "lines").mapInArrow(_align, "k long, tag long, gone array<long>")
     gone = aligned.groupBy("k", "tag").agg(F.collect_list("gone").alias("gone"))
     common = held.filter(F.col("n") > rare).groupBy("k", "tag").agg(F.collect_list("h").alias("common"))
     edits = gone.join(common, ["k", "tag"], "full")

@@ -124,3 +124,12 @@ def test_alignment_orders_equal_the_plain_one():
         assert all(a[i] == b[j] for i, j in got) and got == sorted(set(got))
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got[:-1], got[1:]))
         assert len(got) == len(plain_align(a, b))
+
+
+def test_a_block_is_treated_alike_with_50_and_51_holders(spark):
+    text = "\n".join([L[0], "x", "", L[1]])
+    for n in (50, 51):
+        rows = [(i, text) for i in range(n)] + [(n, "\n".join([L[1], L[5], L[0], "x", "", L[6]]))]
+        got = found(line_dedup.common_lines_gone(docs(spark, rows), ["doc_id"]))
+        assert got == plain(rows, n + 1)
+        assert [m for _, _, m, _ in got] == [0] + [4] * (n - 1) + [3]

@@ -16,9 +16,9 @@ inside it that depends on the window's units alone, and share the rest:
 4. The spans found go back to the documents.
 
 Names are 64-bit hashes; equal windows are confirmed with a second, independent one.
-A document is the pair (id, 13 bits of its text's hash): rows that repeat an id with
-the same text count as one document, and each returns its result. A missing id comes
-last. No row, window or partner is left out.
+A document is the pair (id, 64-bit hash of its text), `k` and `tag`: rows that repeat an
+id with the same text count as one document, and each returns its result. A missing id
+comes last. No row, window or partner is left out.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ HOT = 20_000
 # Rows of a task that are looked at together before they travel.
 TOGETHER = 400_000
 
-# loc: 13 bits of the text's hash, 36 of the first window's start, 7 of the anchor's offset, 7 of the windows after the first
-_TAG, _LO, _DA = 50, 14, 7
+# loc: the first window's start, 7 bits of the anchor's offset, 7 of the windows after the first
+_LO, _DA = 14, 7
 
 # every word separator as a space
 SPACES = bytes(0x20 if 0x09 <= i <= 0x0D else i for i in range(256))
@@ -106,22 +106,22 @@ def _anchor_rows(spec: Repeats):
 
 def _settled_here(spec: Repeats, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Rows of one task: those whose context the task has seen earlier are settled and no longer travel by `g`."""
-    g, c, k, loc = (np.concatenate(x) for x in zip(*held))
+    g, c, k, tag, loc = (np.concatenate(x) for x in zip(*held))
     key = mix(g.view(np.uint64), c.view(np.uint64))
-    order = np.lexsort((loc, k, key))
-    g, c, k, loc, key = g[order], c[order], k[order], loc[order], key[order]
+    order = np.lexsort((loc, tag, k, key))
+    g, c, k, tag, loc, key = g[order], c[order], k[order], tag[order], loc[order], key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    done = _earlier(spec, head, k, loc) & (g == g[head]) & (c == c[head])
-    spread = mix(k.view(np.uint64), loc.view(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(done, spread, g), np.where(done, 0, c), k, loc, done)], ["g", "c", "k", "loc", "done"])
+    done = _earlier(spec, head, k, tag, loc) & (g == g[head]) & (c == c[head])
+    spread = mix(mix(k.view(np.uint64), tag.view(np.uint64)), loc.view(np.uint64)).view(np.int64)
+    columns = (np.where(done, spread, g), np.where(done, 0, c), k, tag, loc, done)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "c", "k", "tag", "loc", "done"])
 
 
-def _earlier(spec: Repeats, head: np.ndarray, k: np.ndarray, loc: np.ndarray) -> np.ndarray:
+def _earlier(spec: Repeats, head: np.ndarray, k: np.ndarray, tag: np.ndarray, loc: np.ndarray) -> np.ndarray:
     """Whether the row at head, the first of the same windows, makes each row a repeat."""
-    if spec.within_document:
-        return (k != k[head]) | (loc != loc[head])
-    return (k != k[head]) | ((loc >> _TAG) != (loc[head] >> _TAG))
+    other = (k != k[head]) | (tag != tag[head])
+    return other | (loc != loc[head]) if spec.within_document else other
 
 
 def _found_anchors(spec: Repeats, batches) -> Iterator[tuple[np.ndarray, ...]]:
@@ -146,29 +146,30 @@ def _found_anchors(spec: Repeats, batches) -> Iterator[tuple[np.ndarray, ...]]:
                 row = np.searchsorted(part, lo, "right") - 1
                 da, dw = place[cut] - lo, hi - lo
                 c = mix(RangeNames(some).of(lo, hi + spec.width), (da * 128 + dw).astype(np.uint64))
-                loc = (tags[row + first] << _TAG) | ((lo - part[row] + begin) << _LO) | (da << _DA) | dw
-                yield g[cut].view(np.int64), c.view(np.int64), ids[row + first], loc
+                loc = ((lo - part[row] + begin) << _LO) | (da << _DA) | dw
+                yield g[cut].view(np.int64), c.view(np.int64), ids[row + first], tags[row + first], loc
 
 
 def _sort_out(spec: Repeats):
-    """Rows sorted by g, c, k, loc: which are covered, which are open, which drop out."""
+    """Rows sorted by g, c, k, tag, loc: which are covered, which are open, which drop out."""
 
     def run(batches):
         for table in whole_buckets(batches, 100_000):
             done = table.column("done").to_numpy()
-            g, c, k, loc = (int64_column(table.column(x)) for x in ("g", "c", "k", "loc"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[done], loc[done], g[done], np.zeros(done.sum(), np.int64))], ["k", "loc", "g", "kind"])
-            g, c, k, loc = g[~done], c[~done], k[~done], loc[~done]
+            g, c, k, tag, loc = (int64_column(table.column(x)) for x in ("g", "c", "k", "tag", "loc"))
+            settled = (k[done], tag[done], loc[done], g[done], np.zeros(done.sum(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settled], ["k", "tag", "loc", "g", "kind"])
+            g, c, k, tag, loc = g[~done], c[~done], k[~done], tag[~done], loc[~done]
             if not len(g):
                 continue
             new_g = np.concatenate(([True], g[1:] != g[:-1]))
             new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
             bucket, context = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
-            covered = _earlier(spec, np.flatnonzero(new_c)[context], k, loc)
+            covered = _earlier(spec, np.flatnonzero(new_c)[context], k, tag, loc)
             contexts = np.bincount(bucket, weights=new_c).astype(np.int64)[bucket]
             kind = np.where(covered, 0, np.where(contexts > HOT, 2, 1))
             keep = covered | (contexts > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, loc, g, kind)], ["k", "loc", "g", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, tag, loc, g, kind)], ["k", "tag", "loc", "g", "kind"])
 
     return run
 
@@ -178,6 +179,7 @@ def _contexts(spec: Repeats):
         for batch in batches:
             data, offsets = utf8_column(batch.column(batch.schema.get_field_index("text")))
             ids = int64_column(batch.column(batch.schema.get_field_index("k")))
+            tags = int64_column(batch.column(batch.schema.get_field_index("tag")))
             lists = batch.column(batch.schema.get_field_index("open"))
             flat = lists.flatten()
             per_row = np.diff(lists.offsets.to_numpy())
@@ -185,7 +187,7 @@ def _contexts(spec: Repeats):
             ends = np.cumsum(per_row)
             for row, (a, b) in enumerate(zip(ends - per_row, ends)):
                 text = data[offsets[row] : offsets[row + 1]]
-                lo = (loc[a:b] >> _LO) & ((1 << (_TAG - _LO)) - 1)
+                lo = loc[a:b] >> _LO
                 hi = lo + (loc[a:b] & 127) + spec.width
                 if spec.unit == "byte":
                     first, end = lo, hi
@@ -201,11 +203,12 @@ def _contexts(spec: Repeats):
                     [
                         pa.array(out_g),
                         pa.array(np.full(len(out_g), ids[row])),
+                        pa.array(np.full(len(out_g), tags[row])),
                         pa.array(out_loc),
                         pa.array(out_kind),
                         pa.array(out_context, pa.binary()),
                     ],
-                    ["g", "k", "loc", "kind", "context"],
+                    ["g", "k", "tag", "loc", "kind", "context"],
                 )
 
     return run
@@ -217,9 +220,9 @@ def _single_windows(spec: Repeats, g, loc, kind, context):
     for i in np.flatnonzero(kind == 2).tolist():
         units, _ = context_units(spec, [context[i]])
         names = window_names(units, spec.width).view(np.int64)
-        start = ((loc[i] >> _LO) & ((1 << (_TAG - _LO)) - 1)) + np.arange(len(names))
+        start = (loc[i] >> _LO) + np.arange(len(names))
         gs.append(names)
-        locs.append((loc[i] >> _TAG << _TAG) | start << _LO)
+        locs.append(start << _LO)
         kinds.append(np.full(len(names), 2))
         contexts += [b""] * len(names)
     return np.concatenate(gs), np.concatenate(locs), np.concatenate(kinds), contexts
@@ -234,11 +237,11 @@ def context_units(spec: Repeats, contexts: list[bytes]) -> tuple[np.ndarray, np.
 
 
 def _compare(spec: Repeats):
-    """Rows sorted by g, k, loc: spans of windows that start earlier."""
+    """Rows sorted by g, k, tag, loc: spans of windows that start earlier."""
 
     def run(batches):
         for table in whole_buckets(batches, 10_000):
-            k, loc, kind, g = (int64_column(table.column(x)) for x in ("k", "loc", "kind", "g"))
+            k, tags, loc, kind, g = (int64_column(table.column(x)) for x in ("k", "tag", "loc", "kind", "g"))
             units, offsets = context_units(spec, table.column("context").to_pylist())
             names = window_names(units, spec.width) if len(units) >= spec.width else np.zeros(0, np.uint64)
             ranges = RangeNames(units)
@@ -255,7 +258,7 @@ def _compare(spec: Repeats):
             head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             first = np.empty(len(row), np.int64)
             first[order] = head
-            doc, tag, start = k[row], loc[row] >> _TAG, ((loc[row] >> _LO) & ((1 << (_TAG - _LO)) - 1)) + j
+            doc, tag, start = k[row], tags[row], (loc[row] >> _LO) + j
             covered = (doc != doc[first]) | (tag != tag[first])
             if spec.within_document:
                 covered |= start != start[first]
@@ -310,23 +313,23 @@ def drop_repeats(docs: DataFrame, spec: Repeats, with_rest: bool = True) -> Data
     Columns doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_sha256 and
     kept (binary: bytes, or words joined by one space; only if with_rest).
     """
-    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(8191)).alias("tag")
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last("doc_id").alias("k"), tag, "text")
-    rows = keyed.select("k", "tag", "text").mapInArrow(_anchor_rows(spec), "g long, c long, k long, loc long, done boolean")
+    rows = keyed.select("k", "tag", "text").mapInArrow(_anchor_rows(spec), "g long, c long, k long, tag long, loc long, done boolean")
     found = stage(
-        rows.repartition("g").sortWithinPartitions("g", "c", "k", "loc").mapInArrow(_sort_out(spec), "k long, loc long, g long, kind long"), "repeats"
+        rows.repartition("g").sortWithinPartitions("g", "c", "k", "tag", "loc").mapInArrow(_sort_out(spec), "k long, tag long, loc long, g long, kind long"),
+        "repeats",
     )
-    doc = ("k", F.shiftright("loc", _TAG).alias("tag"))
-    open_rows = found.filter("kind > 0").select(*doc, F.struct("loc", "g", "kind").alias("row")).groupBy("k", "tag").agg(F.collect_list("row").alias("open"))
+    open_rows = found.filter("kind > 0").select("k", "tag", F.struct("loc", "g", "kind").alias("row")).groupBy("k", "tag").agg(F.collect_list("row").alias("open"))
     # one shuffle of the texts serves both joins
     contexts = (
         keyed.join(open_rows.hint("shuffle_hash"), ["k", "tag"])
-        .select("doc_id", "k", "text", "open")
-        .mapInArrow(_contexts(spec), "g long, k long, loc long, kind long, context binary")
+        .select("k", "tag", "text", "open")
+        .mapInArrow(_contexts(spec), "g long, k long, tag long, loc long, kind long, context binary")
     )
-    late = contexts.repartition("g").sortWithinPartitions("g", "k", "loc").mapInArrow(_compare(spec), "k long, tag long, first long, end long")
-    lo = F.shiftright("loc", _LO).bitwiseAND(F.lit((1 << (_TAG - _LO)) - 1))
-    early = found.filter("kind = 0").select(*doc, lo.alias("first"), (lo + F.col("loc").bitwiseAND(F.lit(127)) + spec.width).alias("end"))
+    late = contexts.repartition("g").sortWithinPartitions("g", "k", "tag", "loc").mapInArrow(_compare(spec), "k long, tag long, first long, end long")
+    lo = F.shiftright("loc", _LO)
+    early = found.filter("kind = 0").select("k", "tag", lo.alias("first"), (lo + F.col("loc").bitwiseAND(F.lit(127)) + spec.width).alias("end"))
     spans = early.unionByName(late).groupBy("k", "tag").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     done = keyed.join(spans.hint("shuffle_hash"), ["k", "tag"], "left").select("doc_id", "text", "spans")
     out = done.mapInArrow(_kept(spec, with_rest), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -112,3 +112,19 @@ def test_cores_depend_on_the_window_alone():
             place, _, name = anchors(text, np.array([len(before)]))
             seen.add((int(place[0]) - len(before), int(name[0])))
         assert len(seen) == 1, trial
+
+
+@pytest.mark.parametrize("op,brute_", [(suffix_dedup.remove_repeated_bytes, as_bytes), (recompress_dedup.remove_repeated_words, as_words)])
+def test_texts_under_one_missing_id_stay_apart_when_13_bits_of_their_hashes_agree(spark, op, brute_):
+    def hashes(texts):
+        table = spark.createDataFrame([(t,) for t in texts], "text string")
+        return {r.text: r.h for r in table.selectExpr("text", "xxhash64(text) h").collect()}
+
+    long_ = PASSAGE + " " + OTHER
+    meets = hashes([f"{PASSAGE[:-1]} {i}" for i in range(60_000)])
+    [want] = hashes([long_]).values()
+    short = min(t for t, h in meets.items() if h % 8191 == want % 8191)
+    texts = sorted([long_, short], key=(meets | {long_: want}).get)
+    out = op(docs(spark, [(1, prose(9, 60)), *((None, t) for t in texts)]).repartition(2)).collect()
+    got = sorted(tuple(r)[1:5] for r in out)
+    assert got == sorted(r[1:] for r in brute_([(1, prose(9, 60)), (2, texts[0]), (3, texts[1])], 100 if op is suffix_dedup.remove_repeated_bytes else 50))

@@ -1,12 +1,13 @@
-"""Substring dedup by bucket-pointer refinement of suffixes.
+"""Substring dedup by buckets of suffixes and names of windows.
 
 Method: the first 20 bytes of a suffix name its initial bucket. Of each window of 100
 bytes only one suffix is put into buckets, the one whose initial bucket has the
 smallest name among the 81 that fit (the leftmost, if several): equal windows choose
-the same one. Buckets of one suffix are done. The others are refined: the name of the
-first 40, 80, 100 bytes is made of the names already found at the later offsets, so
-every refinement reuses the one before (`common.window_names`), and sorting on the last
-names leaves windows that are equal. The first in document order stays, the rest go.
+the same one. Buckets of one suffix are done. In the others, runs of windows whose whole
+context has one hash are settled at once, and what is left by the names of its windows:
+64-bit names of 100 bytes, made by doubling from single bytes (`common.window_names`).
+Both take the place of refining buckets round by round with the bucket names of later
+offsets. The first in document order stays, the rest go.
 
 Defined cases: a null text is empty; documents under 100 bytes keep all; repeated rows
 count as one document and return the same row; a null doc_id comes last; further

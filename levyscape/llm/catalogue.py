@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from levyscape.llm import block_join, cube, decontaminate, language, line_dedup, recompress_dedup, simhash, suffix_dedup, url_filter, warc
+from levyscape.llm import block_join, cube, decontaminate, language, line_dedup, minhash, phrases, recompress_dedup, residue_join, simhash, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_simhash_ball": simhash.query,
     "op9_url_filter": url_filter.query,
     "op10_block_join": block_join.query,
+    "op11_residue_join": residue_join.query,
+    "op12_phrases": phrases.query,
+    "op13_minhash": minhash.query,
 }
 
 # the others train, hash, align, name components or choose at random: tested against brute force instead
-ORACLES = {"op10_block_join": block_join.SQL}
+ORACLES = {"op10_block_join": block_join.SQL, "op11_residue_join": residue_join.SQL, "op12_phrases": phrases.SQL}

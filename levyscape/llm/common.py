@@ -218,3 +218,33 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, reach = first[order], np.maximum.accumulate(end[order])
     new = np.concatenate(([True], first[1:] > reach[:-1]))
     return first[new], reach[np.concatenate((np.flatnonzero(new)[1:], [len(first)])) - 1]
+
+
+def lower_case() -> np.ndarray:
+    """Each byte, A-Z lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[0x41:0x5B] += 0x20
+    return table
+
+
+SIEVE_BITS = 25
+
+
+def sieve(names: DataFrame, name: Column) -> np.ndarray:
+    """Bitmap of the names' leading bits, of 4 MB whatever the number of names.
+
+    A name that is not in it is certainly not among them, so it may hold back rows before
+    a shuffle; one that is in it may or may not be, so the shuffle still decides. With
+    very many names it fills up and holds back less, at no cost to the result.
+    """
+    slot = F.shiftrightunsigned(name, 64 - SIEVE_BITS)
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    cells = names.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    out[int64_column(cells.column("cell"))] = int64_column(cells.column("bits")).view(np.uint64)
+    return out
+
+
+def in_sieve(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
+    slot = names >> np.uint64(64 - SIEVE_BITS)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -23,6 +23,8 @@ further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,8 @@ from levyscape.llm.common import in_sieve, lower_case, mix, name_words, sieve, s
 LONGEST, LEAST, BEST = 5, 100, 2000
 # bytes of text whose phrases a task holds at a time
 SLICE = 8 << 20
+# phrases of one length that a task counts before it hands them on
+HELD = 1 << 20
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -62,6 +66,11 @@ class Words:
         at = np.flatnonzero(inside)
         return at, window_names(self.names, width)[at]
 
+    def spelled(self, at: np.ndarray, width: int, code: np.ndarray, langs: list[str]) -> tuple[list[str], list[str]]:
+        """Languages and words of the phrases that start at these words."""
+        words = [b" ".join(self.data[self.first[i] : self.end[i]].tobytes() for i in range(a, a + width)).decode() for a in at.tolist()]
+        return [langs[c] for c in code[self.row[at]].tolist()], words
+
 
 def _texts(batch):
     """Words of a batch (text, lang), slice by slice, and the languages of its rows."""
@@ -83,13 +92,47 @@ def _named(width: int, parts):
     return run
 
 
+class Tally:
+    """Counts of the phrases of one length that a task has met, each spelled once."""
+
+    def __init__(self):
+        self.names = self.second = np.zeros(0, np.uint64)
+        self.place = self.n = np.zeros(0, np.int64)
+        self.langs, self.phrases = [], []
+
+    def add(self, names, second, n, spell) -> None:
+        """names in order; spell: languages and words of some of them, by number."""
+        at = np.searchsorted(self.names, names)
+        known = at < len(self.names)
+        known[known] = (self.names[at[known]] == names[known]) & (self.second[at[known]] == second[known])
+        self.n[self.place[at[known]]] += n[known]
+        new = np.flatnonzero(~known)
+        langs, phrases = spell(new)
+        place = np.arange(len(self.n), len(self.n) + len(new))
+        self.langs += langs
+        self.phrases += phrases
+        self.n = np.concatenate((self.n, n[new]))
+        every = np.concatenate((self.names, names[new]))
+        order = np.argsort(every, kind="stable")
+        self.names, self.second, self.place = every[order], np.concatenate((self.second, second[new]))[order], np.concatenate((self.place, place))[order]
+
+    def rows(self, size: int) -> pa.RecordBatch:
+        return _rows(self.langs, size, self.phrases, self.n)
+
+
+def _rows(langs, size: int, phrases, n) -> pa.RecordBatch:
+    columns = [pa.array(langs, pa.string()), pa.array([size] * len(langs), pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+
+
 def _spelled(sieves):
     def run(batches):
+        held, totals = [Tally() for _ in sieves], Counter()
         for batch in batches:
             for words, code, langs in _texts(batch):
+                langs = langs.to_pylist()
+                totals.update(dict(zip(langs, np.bincount(code[words.row], minlength=len(langs)).tolist())))
                 other = mix(name_words(words.data ^ np.uint8(0x5A), words.first, words.end), words.names)
-                totals = np.bincount(code[words.row], minlength=len(langs))
-                yield _rows(langs, np.arange(len(langs)), 0, [""] * len(langs), totals)
                 for width in range(1, len(sieves) + 1):
                     at, names = words.windows(width, sieves[width - 2].value if width > 1 else None)
                     wanted = in_sieve(sieves[width - 1].value, names)
@@ -102,18 +145,18 @@ def _spelled(sieves):
                     new[1:] = (names[1:] != names[:-1]) | (second[1:] != second[:-1])
                     head = np.flatnonzero(new)
                     n = np.diff(np.concatenate((head, [len(at)])))
-                    at = at[head]
-                    spelled = [b" ".join(words.data[words.first[i] : words.end[i]].tobytes() for i in range(a, a + width)).decode() for a in at.tolist()]
-                    yield _rows(langs, code[words.row[at]], width, spelled, n)
+                    tally = held[width - 1]
+                    tally.add(names[head], second[head], n, lambda new: words.spelled(at[head[new]], width, code, langs))
+                    if len(tally.n) > HELD:
+                        yield tally.rows(width)
+                        held[width - 1] = Tally()
+        for width, tally in enumerate(held, 1):
+            yield tally.rows(width)
+        yield _rows(list(totals), 0, [""] * len(totals), list(totals.values()))
 
     return run
 
 
-def _rows(langs, code, size: int, phrases: list[str], n) -> pa.RecordBatch:
-    columns = [langs.take(pa.array(code)).cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
-
-
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """Counts of the frequent phrases of 1 to `longest` words (lang, size, phrase, f); of all words at size 0, phrase empty."""
     spark = docs.sparkSession

@@ -32,10 +32,10 @@ def plain(table, best=2000, longest=5, least=100):
 
 def corpus(seed=3):
     rng = random.Random(seed)
-    common = [w.capitalize() if i % 5 == 0 else w for i, w in enumerate(prose(1, 12).split())]
+    common = [w.capitalize() if i % 5 == 0 else w for i, w in enumerate(prose(1, 7).split())]
     table = []
-    for i in range(60):
-        w = [rng.choice(common) + rng.choice(["", "", "", "", ",", ".", "\t", "\n", "\x0b"]) for _ in range(150)]
+    for i in range(90):
+        w = [rng.choice(common) + rng.choice(["", "", "", "", ",", ".", "\t", "\n", "\x0b"]) for _ in range(400)]
         w += ["the quick brown fox jumps over"] * rng.randint(0, 5) + ["a a a a a a a"] + [f"rare{rng.random()}"]
         table.append((i, " ".join(w), rng.choice(["en", "de", None])))
     table += [(90, None, "en"), (91, "", "en"), (92, " \n.,", "xx"), (93, "só été. " * 120, "fr"), (94, "zé\x01q zé " * 101 + "ÀB ab", "fr"), (95, "zé x und" * 120, "und")]
@@ -45,11 +45,12 @@ def corpus(seed=3):
 def test_against_brute_force(spark):
     table = corpus()
     want = plain(table)
-    assert len(want) > 200 and rows(phrases.collocations(docs(spark, table, ["size", "phrase", "n", "rank"]))) == want
+    assert len(want) > 100 and rows(phrases.collocations(docs(spark, table, ["size", "phrase", "n", "rank"]))) == want
 
 
 def test_small_slices_other_limits_and_ties(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 500)
+    monkeypatch.setattr(phrases, "HELD", 40)
     table = corpus(8)[:40] * 2
     assert rows(phrases.collocations(docs(spark, table), best=7, longest=3, least=30)) == plain(table, 7, 3, 30)
 

@@ -9,12 +9,16 @@ with probability 3e-7.
 
 Documents with equal sets are one vertex. A key's bucket gives star-shaped candidates:
 its smallest vertex with each other one, so that pairs grow with the bucket's size, not
-its square. All candidates are verified on the full sets. A star alone may lose a link
-between two of its points, so what it left apart goes on: each point not yet joined to
-the centre's component meets a growing slice of its bucket (4, 16, 64, ... vertices),
-as far as these are of another component. After a slice that covers the bucket every
-pair of it has been compared or lies in one component already. Points join quickly, so
-few are left for the long slices; nothing is capped.
+its square. A star alone may lose a link between two of its points, so what it left apart
+goes on: each point not yet joined to the centre's component meets a growing slice of its
+bucket (8, 256, 8,192, ... vertices), as far as these are of another component. After a
+slice that covers the bucket every pair of it has been compared or lies in one component
+already. Points join quickly, so few are left for the long slices; nothing is capped.
+
+Two that meet become a candidate pair if their sizes and odd sketches allow a link: a set's
+sketch has the parities of the numbers of its shingles in 1,024 cells, and sets that differ
+in d shingles differ in d parities at most, so no link is lost there. All candidates are
+verified on the full sets.
 
 Defined cases: a text without words (null, empty, only blanks) has an empty set, no
 links and itself as component; fewer than five words are one shingle; rows that repeat
@@ -52,8 +56,12 @@ from levyscape.llm.components import components
 SHINGLE, SHARE, OF = 5, 85, 100
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-# bytes of text whose shingles a task holds at a time
-SLICE = 2 << 20
+# cells of an odd sketch, in longs
+CELLS = 16
+# bytes of text, and rows, whose shingles a task holds at a time
+SLICE, MOST = 2 << 20, 4096
+# vertices of a bucket that all its points meet after the star, and how the number grows
+FIRST, GROWTH = 8, 32
 # attempts before an empty bin takes the first full one; a single full bin is hit within them but once in e^21
 ATTEMPTS = 4096
 
@@ -111,6 +119,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
+def odd_sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in each cell, as longs."""
+    n = len(at) - 1
+    cell = np.repeat(np.arange(n), np.diff(at)) * (64 * CELLS) + (h % np.uint64(64 * CELLS)).astype(np.int64)
+    odd = np.bincount(cell, minlength=n * 64 * CELLS).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd.reshape(n, -1), axis=1, bitorder="little").view(np.int64)
+
+
 def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for each row's set."""
     out = []
@@ -123,8 +139,10 @@ def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sets(column, width: int):
     """(rows from, to, names, where each row's begin) of a text column, slice by slice."""
     data, offsets = utf8_column(column)
-    for i, j in slices(offsets, SLICE):
-        yield i, j, *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+    for first, last in slices(offsets, SLICE):
+        for i in range(first, last, MOST):
+            j = min(i + MOST, last)
+            yield i, j, *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
 
 
 def _sketch(width: int):
@@ -132,17 +150,16 @@ def _sketch(width: int):
         for batch in batches:
             for i, j, h, at in _sets(batch.column(1), width):
                 keys = band_keys(signatures(h, at))
-                some = np.diff(at) > 0
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)), pa.array(keys[some].ravel().view(np.int64)))
+                bands, odd = (pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys.view(np.int64), odd_sketches(h, at)))
                 h1, h2 = digests(h, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), bands], ["doc_id", "n", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), bands, odd], ["doc_id", "n", "h1", "h2", "bands", "odd"])
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n (size of the set), h1 and h2 (its digest), bands (keys)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width), "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    """Per row of docs (doc_id, text): doc_id, n (size of the set), h1 and h2 (its digest), bands (keys), odd (sketch)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width), "doc_id long, n long, h1 long, h2 long, bands array<long>, odd array<long>")
 
 
 def _wanted(width: int, bitmap):
@@ -199,33 +216,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE, of: int = O
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(share, of), "a long, b long")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def may_link(share: int, of: int):
+    """Whether sets of n and m shingles with odd sketches odd and its_odd may be similar enough."""
+    differ = F.expr(" + ".join(f"bit_count(odd[{i}] ^ its_odd[{i}])" for i in range(CELLS)))
+    return F.greatest(F.abs(F.col("n") - F.col("m")), differ) * (of + share) <= (F.col("n") + F.col("m")) * (of - share)
 
 
 def linked(members: DataFrame, sets: DataFrame, share: int = SHARE, of: int = OF) -> DataFrame:
     """(a, root) of every vertex but the smallest of each component.
 
-    members: key, node, n, size (of the bucket), centre (its smallest vertex), written.
+    members: key, node, n, odd, size (of the bucket), centre (its smallest vertex), written.
     """
-    pairs = stage(members.filter("node <> centre").select(*_pair("node", "centre")).distinct(), "pairs")
-    tested, roots = pairs, components(confirmed(pairs, sets, share, of))
+
+    def candidates(one: DataFrame, other: DataFrame, also) -> DataFrame:
+        other = other.select("key", F.col("node").alias("its"), F.col("n").alias("m"), F.col("odd").alias("its_odd"), F.col("root").alias("its_root"))
+        met = one.join(other, "key").filter(also & may_link(share, of))
+        return stage(met.select(F.least("node", "its").alias("a"), F.greatest("node", "its").alias("b")).distinct(), "pairs")
+
+    at = members.withColumn("root", F.col("node"))
+    roots = components(confirmed(candidates(at.filter("node <> centre"), at.filter("node = centre"), F.lit(True)), sets, share, of))
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 28)) * F.col("size")
-    covered, step = 0, 4
+    covered, step = 0, FIRST
     while True:
         # what is left apart from the centre's component, in buckets not yet covered
-        at = members.join(roots.select(F.col("a").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        at = members.filter(F.col("size") > max(covered, 2)).join(roots.select(F.col("a").alias("node"), "root"), "node", "left")
+        at = stage(at.withColumn("root", F.coalesce("root", "node")), "at")
         middle = at.filter("node = centre").select("key", F.col("root").alias("middle"))
-        apart = stage(at.filter(F.col("size") > max(covered, 2)).join(middle, "key").filter("root <> middle").select("key", "node", "n", "root"), "apart")
+        apart = at.join(middle, "key").filter("root <> middle").drop("middle")
         if apart.isEmpty():
             return roots
-        members = stage(members.join(apart.select("key").distinct(), "key", "left_semi"), "members")
-        part = at.filter("node <> centre").filter((place >= covered << 28) & (place < step << 28)).select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
-        met = apart.join(part, "key").filter((F.col("root") != F.col("its")) & (F.least("n", "m") * of >= F.greatest("n", "m") * share))
-        pairs = stage(met.select(*_pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        roots = components(roots.select("a", F.col("root").alias("b")).unionByName(confirmed(pairs, sets, share, of)))
-        covered, step = step, 4 * step
+        part = at.filter("node <> centre").filter((place >= covered << 28) & (place < step << 28))
+        pairs = candidates(apart, part, F.col("root") != F.col("its_root"))
+        if not pairs.isEmpty():
+            roots = components(roots.select("a", F.col("root").alias("b")).unionByName(confirmed(pairs, sets, share, of)))
+        covered, step = step, GROWTH * step
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE, of: int = OF) -> DataFrame:
@@ -234,11 +258,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, share: int = SHARE, o
     sketch = stage(sketches(docs, width), "sketches")
     keyed = sketch.withColumn("k", id_or_last("doc_id"))
     # one vertex for each different set; the numbers are fixed by the written table
-    sets = keyed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
+    sets = keyed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("k").alias("k"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    every = sets.select("node", "n", F.explode("bands").alias("key"))
+    every = sets.select("node", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
     members = stage(every.join(shared, "key"), "members")
+    members = stage(members.join(sets.select("node", "n", "odd"), "node"), "members")
     wanted = sets.select("node", "k", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi")
     full = stage(full_sets(docs, wanted, width), "full")
     roots = linked(members, full, share, of)

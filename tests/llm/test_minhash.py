@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from levyscape.llm import minhash
 from levyscape.llm.common import in_sieve, mix, sieve
@@ -86,14 +87,31 @@ def test_slices_finish_what_stars_leave(spark):
     for i, t in table:
         data = np.frombuffer(t.encode(), np.uint8)
         h, at = minhash.shingle_sets(data, np.array([0, len(data)]))
-        names.append((i, bytearray(h.tobytes()), len(h)))
-    full = spark.createDataFrame([(i, b) for i, b, _ in names], "node long, set binary")
-    members = spark.createDataFrame([(1, i, n, len(names), 0) for i, _, n in names], "key long, node long, n long, size long, centre long")
+        names.append((i, bytearray(h.tobytes()), len(h), minhash.odd_sketches(h, at)[0].tolist()))
+    full = spark.createDataFrame([r[:2] for r in names], "node long, set binary")
+    members = spark.createDataFrame([(1, i, n, odd, len(names), 0) for i, _, n, odd in names], "key long, node long, n long, odd array<long>, size long, centre long")
     roots = {r["a"]: r["root"] for r in minhash.linked(members, full).collect()}
     want = {r[0]: r[2] for r in plain(table)}
     assert {i: roots.get(i, i) for i in want} == want and len(set(want.values())) > 5
 
 
+def test_odd_sketches_never_part_a_link(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in (3, 30, 300, 3000):
+        for _ in range(40):
+            pool = np.unique(rng.integers(0, 2**63, n + n // 5 + 1, dtype=np.uint64))
+            cut = rng.integers(0, n // 5 + 1)
+            x, y = pool[: len(pool) - cut], pool[cut:]
+            (u, v) = (minhash.odd_sketches(z, np.array([0, len(z)]))[0].tolist() for z in (x, y))
+            both = len(np.intersect1d(x, y))
+            rows.append((len(x), len(y), u, v, 100 * both >= 85 * (len(x) + len(y) - both)))
+    df = spark.createDataFrame(rows, "n long, m long, odd array<long>, its_odd array<long>, link boolean")
+    got = df.groupBy("link").agg(F.count_if(minhash.may_link(85, 100)).alias("kept"), F.count("*").alias("n")).collect()
+    got = {r["link"]: (r["kept"], r["n"]) for r in got}
+    assert got[True][0] == got[True][1] and got[False][0] < got[False][1] / 2
+
+
 def test_densified_bins_agree_like_the_sets():
     """Share of equal bins estimates the similarity, also where most bins are empty."""
     rng = np.random.default_rng(1)

@@ -1,12 +1,14 @@
 """Exact global order statistics without a global sort in one task.
 
-A value is placed in one of a fixed number of cells by comparing it with bounds
-from one mergeable sketch. The cell is a pure function of the value, so it is
-the same on every retry. Sums per cell are tiny, their running total gives each
-cell its offset, and only rows of the same cell are ever ordered together. The
-bounds follow the data, so a cell holds about 2,000 rows, or 1/4096 of the rows
-of the *whole* table if that is more, whatever the grouping: a hot group is
-spread over many cells.
+Row numbers: rows are dealt to ranges of (group, order, tie), ordered there and written;
+the counts of ranges and groups give the offsets. The keys may be of any type that sorts,
+and neither a hot group nor a mass of nulls or ties stays in one range.
+
+Quantiles (``weighted``): a value is placed in one of a fixed number of cells by
+comparing it with bounds from one mergeable sketch. The cell is a pure function of the
+value, so it is the same on every retry. The bounds follow the data, so a cell holds
+about 2,000 rows, or 1/4096 of the rows of the *whole* table if that is more, whatever
+the grouping: a hot group is spread over many cells.
 """
 
 from __future__ import annotations
@@ -16,13 +18,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from levyscape.functions.nulls import natural_join
 from levyscape.sources.staging import stage
 
 MAX_CELLS = 4096
-MAX_TIE_CELLS = 256
 ROWS_PER_CELL = 2_000
 # Rank error of a bound is at most 1/ACCURACY of the rows, less than half a cell.
 ACCURACY = 10_000
@@ -60,6 +60,56 @@ def with_cell(df: DataFrame, column: str, bounds: Sequence[float], out: str) ->
     return binner.transform(df.withColumn("_value", F.col(column).cast("double"))).drop("_value").withColumn(out, cell)
 
 
+def dealt_by_range(df: DataFrame, keys: Sequence[str], rows_per_cell: int | None = None) -> DataFrame:
+    """df written in ranges of ``keys``, each ordered: `_part` is a row's range, `_at` its place there.
+
+    The bounds come from a sample of whole keys, of any types that sort, so a point mass
+    or the nulls of one key are divided by the keys behind it; a hash of the whole row
+    comes last, so that only equal rows cannot be told apart. The number of ranges is the
+    session's number of shuffle partitions, or follows ``rows_per_cell``.
+    """
+    last = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _is_map(df, c)])
+    order = [*[F.col(f"`{k}`") for k in dict.fromkeys(keys)], F.col("_last")]
+    dealt = df.withColumn("_last", last)
+    if rows_per_cell is None:
+        dealt = dealt.repartitionByRange(*order)
+    else:
+        dealt = dealt.repartitionByRange(max(1, -(-df.count() // rows_per_cell)), *order)
+    # the number of a row is its range's number and its place in the range
+    numbered = dealt.sortWithinPartitions(*order).drop("_last").withColumn("_id", F.monotonically_increasing_id())
+    return stage(numbered.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+
+
+def _is_map(df: DataFrame, column: str) -> bool:
+    return "map<" in df.schema[column].dataType.simpleString()
+
+
+def placed(df: DataFrame, order: str, tie: str, by: Sequence[str] = (), rows_per_cell: int | None = None) -> DataFrame:
+    """df with each row's number by ``(order, tie)``, nulls first: `_rn`, of `_n`, the first `_nulls` without ``order``.
+
+    Numbers are overall or within ``by``. The rows move once, to their range; what each
+    range and each group holds gives the offsets.
+    """
+    by = list(by)
+    dealt = dealt_by_range(df, [*by, order, tie], rows_per_cell)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range and group in it: without groups as many as there are ranges
+    cells = (
+        dealt.groupBy("_part", *by)
+        .agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(order).isNull()).alias("_z"), F.min("_at").alias("_first"))
+        .select(
+            "_part",
+            *by,
+            (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"),
+            F.sum("_c").over(group).alias("_n"),
+            F.sum("_z").over(group).alias("_nulls"),
+        )
+    )
+    joined = natural_join(dealt, cells, "inner", ["_part", *by], null_safe=bool(by))
+    return joined.withColumn("_rn", F.col("_at") + F.col("_off")).drop("_part", "_at", "_off")
+
+
 def ranked(
     df: DataFrame,
     order: str,
@@ -67,54 +117,11 @@ def ranked(
     by: Sequence[str] = (),
     rn: str = "rn",
     n: str = "n",
-    rows_per_cell: int = ROWS_PER_CELL,
+    rows_per_cell: int | None = None,
 ) -> DataFrame:
-    """Row number by ``(order, tie)``, nulls first, and row count, overall or within ``by``.
-
-    A value so frequent that it is itself a bound gets cells of its own, divided
-    again by the tie-break, so a point mass does not end up in one task.
-    """
-    by = list(by)
-    bounds = cell_bounds(df, {order: MAX_CELLS, tie: MAX_TIE_CELLS}, rows_per_cell)
-    placed = with_cell(with_cell(df, order, bounds[order], "_i"), tie, bounds[tie], "_t")
-    on_bound = F.coalesce(
-        F.get(F.lit(bounds[order]), F.col("_i") - 1) == F.col(order).cast("double"), F.lit(False)
-    )
-    placed = (
-        placed.withColumn("_on", on_bound)
-        .withColumns(
-            {
-                # the bound's own value comes first in its cell, in cells of its own
-                "_cell": F.col("_i") * 2 + F.when(F.col("_on"), 0).otherwise(1),
-                "_sub": F.when(F.col("_on"), F.col("_t")).otherwise(0),
-            }
-        )
-        .drop("_on", "_i", "_t")
-    )
-    groups = by or [F.lit(0)]
-    before = (
-        Window.partitionBy(*groups)
-        .orderBy("_cell", "_sub")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        placed.groupBy(*by, "_cell", "_sub")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(
-            *by,
-            "_cell",
-            "_sub",
-            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-            F.sum("_c").over(Window.partitionBy(*groups)).alias(n),
-        )
-    )
-    inside = Window.partitionBy(*by, "_cell", "_sub").orderBy(F.col(order), F.col(tie))
-    numbered = placed.withColumn(rn, F.row_number().over(inside))
-    return (
-        natural_join(numbered, offsets, "inner", [*by, "_cell", "_sub"], null_safe=bool(by))
-        .withColumn(rn, (F.col(rn) + F.col("_off")).cast("long"))
-        .drop("_cell", "_sub", "_off")
-    )
+    """Row number by ``(order, tie)``, nulls first, and row count, overall or within ``by``; keys of any type that sorts."""
+    out = placed(df, order, tie, by, rows_per_cell)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_n").alias(n), F.col("_rn").alias(rn))
 
 
 def ntile_of(rn: Column, n: Column, k: int) -> Column:
@@ -126,27 +133,16 @@ def ntile_of(rn: Column, n: Column, k: int) -> Column:
     ).cast("int")
 
 
-def ntile(df: DataFrame, value: str, k: int, tie: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+def ntile(
+    df: DataFrame, value: str, k: int, tie: str, out: str, by: Sequence[str] = (), rows_per_cell: int | None = None
+) -> DataFrame:
     """Equal-count buckets; a null value has no bucket."""
-    present = df.filter(F.col(value).isNotNull())
-    tiled = (
-        ranked(present, value, tie, by, "_rn", "_n")
-        .withColumn(out, ntile_of(F.col("_rn"), F.col("_n"), k))
-        .drop("_rn", "_n")
-    )
-    absent = df.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("int"))
-    return tiled.unionByName(absent)
+    at = placed(df, value, tie, by, rows_per_cell)
+    # nulls come first: the others are numbered behind them
+    bucket = ntile_of(F.col("_rn") - F.col("_nulls"), F.col("_n") - F.col("_nulls"), k)
+    return at.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col("_rn") > F.col("_nulls"), bucket).alias(out))
 
 
 def surrogate_index(df: DataFrame, key: str, out: str) -> DataFrame:
     """Distinct keys of any type that sorts, numbered 1..n in key order, a null first."""
-    keys = df.select(key).distinct()
-    if isinstance(df.schema[key].dataType, NumericType):
-        return ranked(keys, key, key, rn=out, n="_n").drop("_n")
-    # dealt by range and written, so that the ranges are the same for both passes
-    dealt = stage(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    numbered = dealt.withColumn("_rn", inside).join(offsets, "_part")
-    return numbered.select(key, (F.col("_rn") + F.col("_off")).cast("long").alias(out))
+    return ranked(df.select(key).distinct(), key, key, rn=out, n="_n").drop("_n")

@@ -98,7 +98,7 @@ def surrogate_join(df: DataFrame, keys: DataFrame, key: str, new: str) -> DataFr
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: str, out: str = "index") -> DataFrame:
-    """Row number within the group in the order of a numeric ordinal column."""
+    """Row number within the group in the order of an ordinal column of any type that sorts."""
     return ranked(df, order, order, by, out, "_n").drop("_n")
 
 

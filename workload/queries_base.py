@@ -426,6 +426,24 @@ def _(t):
     )
 
 
+@query(
+    "ntile_text",
+    "c_name:s decile:i",
+    "SELECT c_name, ntile(10) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_name) AS decile FROM customer",
+)
+def _(t):
+    return ranking.ntile(t.customer, "c_nationkey", 10, "c_name", "decile", ["c_mktsegment"])
+
+
+@query(
+    "row_index_text",
+    "c_name:s index:i",
+    "SELECT c_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) AS index FROM customer",
+)
+def _(t):
+    return reshape.row_index(t.customer, ["c_mktsegment"], "c_name")
+
+
 @query(
     "row_index_in_group",
     "c_custkey:i index:i",
@@ -643,6 +661,17 @@ def _(t):
     return splits.stratified_split(t.customer, "c_acctbal", "c_custkey")
 
 
+@query(
+    "stratified_split_text",
+    "c_name:s train:b",
+    """SELECT c_name, row_number() OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT), c_name)
+         <= ceil(count(*) OVER (PARTITION BY s) * 7e-1) AS train
+       FROM (SELECT c_name, ntile(5) OVER (ORDER BY c_nationkey, c_name) AS s FROM customer)""",
+)
+def _(t):
+    return splits.stratified_split(t.customer, "c_nationkey", "c_name")
+
+
 register(
     "histogram",
     "bin:i n:i",

@@ -1,9 +1,10 @@
 """Exact survey-weighted distribution statistics.
 
-Definition: rows with a null or zero weight, or a value that is null or NaN, are left
-out. Weights are summed as decimals (`WEIGHT_SCALE` places; a sum that does not fit is
-an error), so the sums, and with them every rank, do not depend on the order of the
-rows, on partitions or on cells. With
+Definition: rows whose weight is null, NaN, infinite, zero or negative, or whose value is
+null or NaN, are left out, of quantiles and means alike. Weights are summed as pairs of
+whole numbers (``Limbs``: 14 decimal places below the largest weight, whatever its
+magnitude; a sum that does not fit is an error), so the sums, and with them every rank,
+do not depend on the order of the rows, on partitions or on cells. With
 ``n`` the weight total and ``h = 1 + (n-1)p``, the quantile lies between the
 smallest value whose running weight reaches ``max(floor(h), 1)`` and the one
 reaching one more (at most ``n``), at the fraction ``frac(h)``.
@@ -17,6 +18,7 @@ yield the bounds and a checked size); the last pass is lazy.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,13 +28,49 @@ from levyscape.functions.nulls import natural_join
 from levyscape.operators.ranking import MAX_CELLS, ROWS_PER_CELL, cell_bounds, with_cell
 from levyscape.sources.staging import stage
 
-# Places of a weight that count: 20 digits before the point remain for the sums.
-WEIGHT_SCALE = 9
-
 BOX_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 BOX_NAMES = ("y5", "y25", "y50", "y75", "y95")
 
 
+class Limbs:
+    """Weights as ``high`` and ``low`` whole numbers, in units that follow the largest weight.
+
+    The largest has six digits in ``high``; ``low`` counts 1e-8 of a unit. Weights with
+    so many decimal places are exact, and whole totals come out as whole numbers. Sums
+    fit for 9e10 rows of a cell and 9e12 of a group.
+    """
+
+    HIGH, LOW = 6, 8
+
+    def __init__(self, largest: float):
+        self.places = self.HIGH - math.ceil(math.log10(largest))
+
+    def split(self, w: Column) -> tuple[Column, Column]:
+        s = self._scaled(w, self.places)
+        high = F.floor(s)
+        return high, F.round((s - high) * 10.0**self.LOW).cast("long")
+
+    def carried(self, high: Column, low: Column) -> tuple[Column, Column]:
+        """The same total with ``low`` under one unit."""
+        unit = F.lit(10**self.LOW)
+        return high + F.floor(low / unit), low % unit
+
+    def number(self, high: Column, low: Column) -> Column:
+        """The total as a double: the whole part exactly, then the rest of it."""
+        high, low = self.carried(high, low)
+        part = low / F.lit(10.0**self.LOW)
+        if self.places <= 0:
+            return self._scaled(high.cast("double"), -self.places) + self._scaled(part, -self.places)
+        if self.places > 18:
+            return self._scaled(high + part, -self.places)
+        unit = F.lit(10**self.places)
+        return F.floor(high / unit) + self._scaled(high % unit + part, -self.places)
+
+    @staticmethod
+    def _scaled(x: Column, places: int) -> Column:
+        return x * 10.0**places if places >= 0 else x / 10.0**-places
+
+
 def _hits(probs: Sequence[float]) -> Column:
     """The wanted ranks that fall into a cell, as {i, v}.
 
@@ -40,14 +78,13 @@ def _hits(probs: Sequence[float]) -> Column:
     """
     parts = []
     for j, p in enumerate(probs):
-        low = f"greatest(CAST(floor(1 + (CAST(_n AS DOUBLE) - 1) * {float(p)!r}D) AS DOUBLE), 1D)"
-        parts += [f"struct({2 * j} AS i, {low} AS v)", f"struct({2 * j + 1} AS i, least({low} + 1, CAST(_n AS DOUBLE)) AS v)"]
-    hit = "r.v > CAST(_before AS DOUBLE) AND (r.v <= CAST(_upto AS DOUBLE) OR _last)"
-    return F.expr(f"filter(array({', '.join(parts)}), r -> {hit})")
+        low = f"greatest(CAST(floor(1 + (_n - 1) * {float(p)!r}D) AS DOUBLE), 1D)"
+        parts += [f"struct({2 * j} AS i, {low} AS v)", f"struct({2 * j + 1} AS i, least({low} + 1, _n) AS v)"]
+    return F.expr(f"filter(array({', '.join(parts)}), r -> r.v > _before AND (r.v <= _upto OR _last))")
 
 
 def _fraction(n: Column, p: float) -> Column:
-    h = 1 + (n.cast("double") - 1) * float(p)
+    h = 1 + (n - 1) * float(p)
     return h - F.floor(h).cast("double")
 
 
@@ -66,33 +103,35 @@ def weighted_stats(
     ``weight=None`` counts every row once. A group without a usable row is absent.
     """
     by = list(by)
-    w = (F.lit(1) if weight is None else F.col(weight)).cast(f"decimal({20 + WEIGHT_SCALE},{WEIGHT_SCALE})")
-    rows = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter(
-        present(F.col("_x")) & (F.col("_w") > 0)
-    )
-    bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell)
-    placed = with_cell(rows, "_x", bounds["_x"], "_cell")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter(present(F.col("_x")) & usable(F.col("_w")))
+    bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell, most="_w")
+    limbs = Limbs(bounds["_w"][0])
+    high, low = limbs.split(F.col("_w"))
+    placed = with_cell(rows.withColumns({"_h": high, "_l": low}), "_x", bounds["_x"], "_cell")
 
     # (group, cell) histogram: at most MAX_CELLS rows per group reach this window.
     group = Window.partitionBy(*(by or [F.lit(0)]))
     walk = group.orderBy("_cell")
+    upto = walk.rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, "_cell").agg(F.sum("_h").alias("_h"), F.sum("_l").alias("_l"), F.sum(F.col("_w") * F.col("_x")).alias("_cwx"))
+    high, low = limbs.carried(F.col("_h"), F.col("_l"))
     hist = (
-        placed.groupBy(*by, "_cell")
-        .agg(F.sum("_w").alias("_cw"), F.sum(F.col("_w").cast("double") * F.col("_x")).alias("_cwx"))
+        sums.withColumns({"_h": high, "_l": low})
         .select(
             *by,
             "_cell",
-            F.coalesce(
-                F.sum("_cw").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_before"),
-            F.sum("_cw").over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-            F.sum("_cw").over(group).alias("_n"),
+            (F.sum("_h").over(upto) - F.col("_h")).alias("_bh"),
+            (F.sum("_l").over(upto) - F.col("_l")).alias("_bl"),
+            limbs.number(F.sum("_h").over(upto), F.sum("_l").over(upto)).alias("_upto"),
+            limbs.number(F.sum("_h").over(group), F.sum("_l").over(group)).alias("_n"),
             F.sum("_cwx").over(group).alias("_wx"),
             F.lead("_cell").over(walk).isNull().alias("_last"),
         )
+        .withColumn("_before", limbs.number(F.col("_bh"), F.col("_bl")))
     )
     # Cells holding a wanted rank: at most two per group and probability.
-    state = ["_before", "_upto", "_n", "_wx", "_last"]
+    state = ["_bh", "_bl", "_before", "_upto", "_n", "_wx", "_last"]
     targets = hist.filter(F.size(_hits(probs)) > 0).select(*by, "_cell", *state)
     # Ungrouped, two rows per probability; of groups, the planner knows the written size.
     targets = stage(targets) if by else F.broadcast(targets)
@@ -103,21 +142,21 @@ def weighted_stats(
     chosen = (
         natural_join(placed, targets, "inner", keys, null_safe=bool(by))
         .groupBy(*keys, "_x")
-        .agg(F.sum("_w").alias("_w"), *[F.max(c).alias(c) for c in state])
+        .agg(F.sum("_h").alias("_h"), F.sum("_l").alias("_l"), *[F.max(c).alias(c) for c in state])
     )
     inside = (
         Window.partitionBy(*by, "_cell")
         .orderBy("_x")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    cum = chosen.withColumn("_cum", F.col("_before") + F.sum("_w").over(inside))
+    cum = chosen.withColumn("_cum", limbs.number(F.col("_bh") + F.sum("_h").over(inside), F.col("_bl") + F.sum("_l").over(inside)))
     # Per wanted rank the smallest value reaching it, else the cell's largest.
     ranks = (
         cum.select(*by, "_x", "_cum", "_n", "_wx", F.explode(_hits(probs)).alias("_r"))
         .groupBy(*by, F.col("_r.i").alias("_i"))
         .agg(
             F.coalesce(
-                F.min(F.when(F.col("_cum").cast("double") >= F.col("_r.v"), F.col("_x"))), F.max("_x")
+                F.min(F.when(F.col("_cum") >= F.col("_r.v"), F.col("_x"))), F.max("_x")
             ).alias("_q"),
             F.max("_n").alias("_n"),
             F.max("_wx").alias("_wx"),
@@ -134,7 +173,7 @@ def weighted_stats(
         # low + f*(high-low) so that equal neighbours give exactly their value.
         out.append((low + _fraction(F.col("_n"), p) * (high - low)).alias(name))
     if mean is not None:
-        out.append((F.col("_wx") / F.col("_n").cast("double")).alias(mean))
+        out.append(F.try_divide("_wx", "_n").alias(mean))
     result = found.filter(F.col("_n").isNotNull()).select(*by, *out)
     return result if by else F.broadcast(result)  # one row
 
@@ -155,7 +194,7 @@ def weighted_quantile(
 def weighted_mean(
     df: DataFrame, value: str, weight: str, by: Sequence[str] = (), out: str = "mean"
 ) -> DataFrame:
-    """Weighted mean over the rows where value and weight are both present."""
+    """Weighted mean over the rows that count for the quantiles."""
     return df.groupBy(*by).agg(wmean(value, weight).alias(out))
 
 
@@ -164,11 +203,17 @@ def present(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x.cast("double"))
 
 
+def usable(w: Column) -> Column:
+    """A weight that counts: positive and finite."""
+    return (w > 0) & (w < float("inf"))
+
+
 def wmean(value: str | Column, weight: str | Column) -> Column:
-    """Weighted mean as an aggregate expression, over the values that are present."""
+    """Weighted mean as an aggregate expression, over the values that are present and the weights that count."""
     x = F.col(value) if isinstance(value, str) else value
     w = F.col(weight) if isinstance(weight, str) else weight
-    return F.try_divide(F.sum(F.when(present(x), w * x)), F.sum(F.when(present(x), w)))
+    counts = present(x) & usable(w.cast("double"))
+    return F.try_divide(F.sum(F.when(counts, w * x)), F.sum(F.when(counts, w)))
 
 
 def weighted_box(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

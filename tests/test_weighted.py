@@ -164,3 +164,38 @@ def test_nan_is_a_missing_value(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (float("nan"), 1.0), (None, 1.0)], "x double, w double")
     assert w.weighted_stats(df, "x", "w", [0.5], ["m"], mean="mean").first().asDict() == {"m": 1.5, "mean": 1.5}
     assert w.weighted_mean(df, "x", "w").first()[0] == 1.5
+
+
+def test_weights_that_do_not_count_are_left_out_alike(spark):
+    """One rule for quantiles, boxes and means: null, NaN, infinite, zero and negative weights."""
+    rows = [(1.0, 1.0), (2.0, 1.0), (3.0, 2.0), (99.0, float("nan")), (98.0, -1.0), (97.0, 0.0), (96.0, None), (95.0, float("inf"))]
+    df = spark.createDataFrame(rows, "x double, w double")
+    want = spark.createDataFrame(rows[:3], "x double, w double")
+    assert w.weighted_box(df, "x", "w").collect() == w.weighted_box(want, "x", "w").collect()
+    assert w.weighted_mean(df, "x", "w").first()[0] == w.weighted_box(df, "x", "w").first()["mean"] == 2.25
+
+
+@pytest.mark.parametrize("factor", [4e-10, 1e-30, 1.0, 1e9, 1e15])
+def test_weights_of_any_magnitude(spark, factor):
+    rows = [(g, float(i), (1 + i % 5) * factor) for g in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    mean = {r.g: r["mean"] for r in w.weighted_box(df, "x", "w", ["g"]).collect()}
+    plain = sum(x * v for g, x, v in rows if g == "a") / sum(v for g, _, v in rows if g == "a")
+    assert mean == pytest.approx({"a": plain, "b": plain})
+    got = w.weighted_stats(df, "x", "w", [0.5], ["m"], ["g"]).first().m
+    if factor >= 1:  # the rank is the total weight's half
+        total, run = sum(v for g, _, v in rows if g == "a"), 0
+        at = next(x for g, x, v in rows if (run := run + v) >= 1 + (total - 1) * 0.5)
+        assert got == pytest.approx(at, abs=1)
+    else:  # less than one in all: no rank below the last is reached
+        assert got == 199.0
+
+
+def test_whole_totals_come_out_whole(spark):
+    """Sums of tenths reach their whole number exactly, from either side of a unit."""
+    for largest, step in ((0.7, 0.1), (700.0, 0.1), (0.3, 0.3), (2.5e7, 2.5e7)):
+        limbs = w.Limbs(largest)
+        rows = spark.range(1000).select(F.lit(step).alias("w"))
+        high, low = limbs.split(F.col("w"))
+        total = rows.select(high.alias("h"), low.alias("l")).agg(F.sum("h").alias("h"), F.sum("l").alias("l"))
+        assert total.select(limbs.number(F.col("h"), F.col("l"))).first()[0] == round(step * 1000)

@@ -11,7 +11,7 @@ def lit(p: float) -> str:
     return f"{p!r}e0"
 
 
-def quantile_sql(src: str, x: str, w: str, probs, names, by=(), mean: str | None = None) -> str:
+def quantile_sql(src: str, x: str, w: str, probs, names, by=(), mean: str | None = None, places: int = 9) -> str:
     """Exact weighted quantiles by a plain sorted running sum per group."""
     by = list(by)
     g = "".join(f"{b}, " for b in by)
@@ -33,7 +33,7 @@ def quantile_sql(src: str, x: str, w: str, probs, names, by=(), mean: str | None
         SELECT {g}max(n) AS n, {picked} FROM (
           SELECT {g}x, CAST(sum(w) OVER ({part} ORDER BY x ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cw,
             CAST(sum(w) OVER ({part}) AS DOUBLE) AS n, sum(CAST(w AS DOUBLE) * x) OVER ({part}) AS sx
-          FROM (SELECT {g}{x} AS x, sum(CAST({w} AS DECIMAL(29, 9))) AS w FROM ({src}) AS src
+          FROM (SELECT {g}{x} AS x, sum(CAST({w} AS DECIMAL({20 + places if places < 18 else 38}, {places}))) AS w FROM ({src}) AS src
                 WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE)) AND {w} > 0 GROUP BY {g}{x}) AS ties
         ) AS running {group}
       ) AS picked"""

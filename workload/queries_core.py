@@ -17,6 +17,7 @@ from workload.registry import query, register
 _Q = "SELECT * FROM quirky"
 _PROBS, _NAMES = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0], ["q00", "q05", "q50", "q95", "q99", "q100"]
 _QSPEC = " ".join(f"{n}:6" for n in _NAMES)
+_ODD = "CASE l_linenumber WHEN 4 THEN -w WHEN 5 THEN double('Infinity') WHEN 6 THEN double('NaN') WHEN 7 THEN NULL ELSE w END"
 
 register(
     "weighted_quantile_grouped",
@@ -61,6 +62,31 @@ register(
     lambda t: wq.weighted_quantile(t.tenths.repartition(3), "x", "w", _PROBS, ["l_returnflag"]),
     quantile_sql("SELECT * FROM tenths", "x", "w", _PROBS, _NAMES, ["l_returnflag"]),
 )
+register(
+    "weighted_quantile_tiny_weights",
+    f"l_returnflag:s l_linestatus:s {_QSPEC} mean:6",
+    lambda t: wq.weighted_stats(
+        t.quirky.withColumn("w", F.col("w") * 4e-10), "x", "w", _PROBS, _NAMES, ["l_returnflag", "l_linestatus"], mean="mean"
+    ),
+    quantile_sql("SELECT * REPLACE (w * 4e-10 AS w) FROM quirky", "x", "w", _PROBS, _NAMES, ["l_returnflag", "l_linestatus"], "mean", places=24),
+)
+register(
+    "weighted_quantile_large_weights",
+    f"l_returnflag:s {_QSPEC}",
+    lambda t: wq.weighted_quantile(t.quirky.withColumn("w", F.col("w") * 1e9), "x", "w", _PROBS, ["l_returnflag"]),
+    quantile_sql("SELECT * REPLACE (w * 1e9 AS w) FROM quirky", "x", "w", _PROBS, _NAMES, ["l_returnflag"]),
+)
+register(
+    "weighted_mean_odd_weights",
+    "l_returnflag:s mean:6 median:6",
+    # negative, infinite and NaN weights count for neither
+    lambda t: t.quirky.withColumn("w", F.expr(_ODD)).transform(
+        lambda df: wq.weighted_mean(df, "x", "w", ["l_returnflag"]).join(wq.weighted_quantile(df, "x", "w", [0.5], ["l_returnflag"], ["median"]), "l_returnflag")
+    ),
+    f"""WITH odd AS (SELECT * REPLACE (CASE WHEN l_linenumber < 4 THEN w END AS w) FROM quirky)
+    SELECT l_returnflag, mean, median FROM (SELECT l_returnflag, sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END) AS mean FROM odd GROUP BY 1)
+      JOIN ({quantile_sql("SELECT * FROM odd", "x", "w", [0.5], ["median"], ["l_returnflag"])}) USING (l_returnflag)""",
+)
 register(
     "weighted_box_with_nan",
     f"l_returnflag:s l_linestatus:s {_BOXSPEC}",

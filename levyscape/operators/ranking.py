@@ -29,25 +29,27 @@ ACCURACY = 10_000
 
 
 def cell_bounds(
-    df: DataFrame, limits: Mapping[str, int], rows_per_cell: int = ROWS_PER_CELL, most: str | None = None
+    df: DataFrame, limits: Mapping[str, int], rows_per_cell: int = ROWS_PER_CELL, most: str | None = None, count: Column | None = None
 ) -> dict[str, list[float]]:
     """Distinct ascending bounds for each numeric column, at most ``limit - 1`` of them.
 
     One job over the table with a mergeable sketch that also counts the rows:
     a small table gets few cells. The driver holds the bounds only, and the largest value
-    of the column ``most`` as its single bound.
+    of the column ``most`` as its single bound; so with the aggregate ``count``.
     """
-    aggs = [F.count(F.lit(1)).alias("n"), (F.lit(None) if most is None else F.max(most)).cast("double").alias("most")]
+    aggs = [(F.lit(0) if count is None else count).alias("count"), F.count(F.lit(1)).alias("n"), (F.lit(None) if most is None else F.max(most)).cast("double").alias("most")]
     for i, (column, limit) in enumerate(limits.items()):
         probs = ", ".join(f"{j / limit!r}D" for j in range(1, limit))
         aggs.append(
             F.expr(f"percentile_approx(`{column}`, array({probs}), {ACCURACY})").alias(f"b{i}")
         )
     columns = dict.fromkeys([*limits, *([most] if most else [])])
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(*aggs).first()
+    found = df.withColumns({c: F.col(c).cast("double") for c in columns}).agg(*aggs).first()
     out = {most: [found.most or 1.0]} if most else {}
+    if count is not None:
+        out["count"] = [found["count"]]
     for i, (column, limit) in enumerate(limits.items()):
-        every = max(1, limit * rows_per_cell // max(found.n, 1))
+        every = max(1, limit * rows_per_cell // max(found["n"], 1))
         sketched = found[f"b{i}"] or [0.0]
         out[column] = sorted(set(sketched[every // 2 :: every] or sketched[:1]))
     return out

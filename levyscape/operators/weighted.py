@@ -14,6 +14,11 @@ per (group, cell) tells which cells hold a wanted rank, and only the rows of
 those few cells are shuffled and ordered. The rest of the table is never moved.
 The sketch and, for groups, the histogram run when the operator is called (they
 yield the bounds and a checked size); the last pass is lazy.
+
+Many small groups (by the sketch's estimate): the rows move once, to ranges of (group,
+value). A task streams over its ordered range and finishes every group that lies inside;
+only the first and the last may go on elsewhere, and their running weights get the
+offsets of the ranges before. The result is the same either way.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,9 @@ from levyscape.functions.nulls import natural_join
 from levyscape.operators.ranking import MAX_CELLS, ROWS_PER_CELL, cell_bounds, with_cell
 from levyscape.sources.staging import stage
 
+# Groups for each shuffle partition from which on most groups lie inside one range.
+GROUPS_PER_RANGE = 4
+
 BOX_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 BOX_NAMES = ("y5", "y25", "y50", "y75", "y95")
 
@@ -53,7 +63,12 @@ class Limbs:
     def carried(self, high: Column, low: Column) -> tuple[Column, Column]:
         """The same total with ``low`` under one unit."""
         unit = F.lit(10**self.LOW)
-        return high + F.floor(low / unit), low % unit
+        return high + self._times(low, unit), low % unit
+
+    @staticmethod
+    def _times(x: Column, unit: Column) -> Column:
+        """How often the whole number ``unit`` fits, for all that fits a long."""
+        return F.round((x - x % unit) / unit).cast("long")
 
     def number(self, high: Column, low: Column) -> Column:
         """The total as a double: the whole part exactly, then the rest of it."""
@@ -64,7 +79,17 @@ class Limbs:
         if self.places > 18:
             return self._scaled(high + part, -self.places)
         unit = F.lit(10**self.places)
-        return F.floor(high / unit) + self._scaled(high % unit + part, -self.places)
+        return self._times(high, unit) + self._scaled(high % unit + part, -self.places)
+
+    def value(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """``number`` of arrays."""
+        high, part = high + low // 10**self.LOW, low % 10**self.LOW / 10.0**self.LOW
+        if self.places <= 0:
+            return self._scaled(high.astype(float), -self.places) + self._scaled(part, -self.places)
+        if self.places > 18:
+            return self._scaled(high + part, -self.places)
+        unit = 10**self.places
+        return high // unit + self._scaled(high % unit + part, -self.places)
 
     @staticmethod
     def _scaled(x: Column, places: int) -> Column:
@@ -105,9 +130,12 @@ def weighted_stats(
     by = list(by)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter(present(F.col("_x")) & usable(F.col("_w")))
-    bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell, most="_w")
+    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+    bounds = cell_bounds(rows, {"_x": MAX_CELLS}, rows_per_cell, most="_w", count=groups)
     limbs = Limbs(bounds["_w"][0])
     high, low = limbs.split(F.col("_w"))
+    if by and bounds["count"][0] >= GROUPS_PER_RANGE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return _streamed(rows.withColumns({"_h": high, "_l": low}), by, probs, names, mean, limbs)
     placed = with_cell(rows.withColumns({"_h": high, "_l": low}), "_x", bounds["_x"], "_cell")
 
     # (group, cell) histogram: at most MAX_CELLS rows per group reach this window.
@@ -178,6 +206,115 @@ def weighted_stats(
     return result if by else F.broadcast(result)  # one row
 
 
+def _stream(n_by: int, probs: Sequence[float], limbs: Limbs):
+    """Rows ordered by group and value: one row for each group that ends here, those of the range's first and last group as they are.
+
+    Columns in: the group, _part, _x, _h, _l, _wx. Out: the group, _part, _x, _h and _l (running), _wx,
+    _n and _q (both ranks of each probability) of finished groups.
+    """
+
+    def changes(batch, before):
+        """Where a group begins, given the group of the row before."""
+        new = np.zeros(batch.num_rows, bool)
+        for c in range(n_by):
+            code = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        first = [batch.column(c)[0].as_py() for c in range(n_by)]
+        new[0] = before is not None and not all(a == b or (a != a and b != b) for a, b in zip(first, before))
+        return new, [batch.column(c)[-1].as_py() for c in range(n_by)]
+
+    def numbers(table):
+        return [table.column(n_by + 1 + i).to_numpy() for i in range(4)]
+
+    def unfinished(table):
+        """Rows of one group with running weights; of equal values the last."""
+        x, h, low, wx = numbers(table)
+        last = np.concatenate((x[1:] != x[:-1], [True]))
+        sums = np.zeros(int(last.sum()))
+        sums[-1] = wx.sum()
+        kept = table.filter(pa.array(last))
+        nothing = [pa.nulls(kept.num_rows, pa.float64()), pa.nulls(kept.num_rows, pa.list_(pa.float64()))]
+        columns = [*kept.columns[: n_by + 2], *(pa.array(np.cumsum(v)[last]) for v in (h, low)), pa.array(sums), *nothing]
+        return pa.Table.from_arrays(columns, [*kept.column_names, "_n", "_q"])
+
+    def finished(table, start):
+        x, h, low, wx = numbers(table)
+        sizes = np.diff(np.concatenate((start, [len(x)])))
+        h, low = (np.cumsum(v) - np.repeat(np.cumsum(v)[start] - v[start], sizes) for v in (h, low))
+        cum, end = limbs.value(h, low), start + sizes - 1
+        n, q = cum[end], []
+        for p in probs:
+            rank = np.maximum(np.floor(1 + (n - 1) * p), 1.0)
+            for v in (rank, np.minimum(rank + 1, n)):
+                short = np.add.reduceat(cum < np.repeat(v, sizes), start, dtype=np.int64)
+                q.append(x[np.minimum(start + short, end)])
+        offsets = pa.array(np.arange(len(start) + 1, dtype=np.int32) * len(q))
+        columns = [*table.take(pa.array(end)).columns[: n_by + 2], pa.array(h[end]), pa.array(low[end]), pa.array(np.add.reduceat(wx, start))]
+        columns += [pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.stack(q, axis=1).ravel()))]
+        return pa.Table.from_arrays(columns, [*table.column_names, "_n", "_q"])
+
+    def run(batches):
+        held, before, first = [], None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, before = changes(batch, before)
+            cut = np.flatnonzero(new)
+            if not len(cut):
+                held.append(batch)
+                continue
+            size = sum(b.num_rows for b in held)
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut[-1])])
+            start = np.concatenate(([0], size + cut[:-1]))
+            if first:  # it may have begun in the range before
+                at = int(size + cut[0])
+                yield from unfinished(whole.slice(0, at)).to_batches()
+                whole, start, first = whole.slice(at), start[1:] - at, False
+            if len(start):
+                yield from finished(whole, start).to_batches()
+            held = [batch.slice(cut[-1])]
+        if held:
+            yield from unfinished(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def _streamed(rows: DataFrame, by: list[str], probs: Sequence[float], names: Sequence[str], mean: str | None, limbs: Limbs) -> DataFrame:
+    """The statistics of many small groups: one range shuffle, one pass over the ordered rows."""
+    dealt = rows.withColumn("_wx", F.col("_w") * F.col("_x")).withColumn("_to", F.pmod(F.xxhash64(*by, "_x", "_w"), F.lit(1 << 16)))
+    dealt = dealt.repartitionByRange(*by, "_x", "_to").sortWithinPartitions(*by, "_x")
+    dealt = dealt.select(*by, F.spark_partition_id().alias("_part"), "_x", "_h", "_l", "_wx")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema]
+    found = stage(dealt.mapInArrow(_stream(len(by), probs, limbs), ", ".join([*kinds, "_n double", "_q array<double>"])))
+    # groups that go on in other ranges: at most two pieces a range
+    pieces = found.filter("_n is null")
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy(*by, "_part").agg(F.max("_h").alias("_h"), F.max("_l").alias("_l"))
+    offsets = sums.select(
+        *by,
+        "_part",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_h", "_l")],
+        limbs.number(F.sum("_h").over(group), F.sum("_l").over(group)).alias("_n"),
+    )
+    joined = natural_join(pieces.drop("_n", "_q"), offsets, "inner", [*by, "_part"])
+    joined = joined.withColumn("_cum", limbs.number(F.col("_h") + F.col("_b_h"), F.col("_l") + F.col("_b_l")))
+    ranks = []
+    for p in probs:
+        low = F.greatest(F.floor(1 + (F.col("_n") - 1) * float(p)).cast("double"), F.lit(1.0))
+        ranks += [low, F.least(low + 1, F.col("_n"))]
+    reached = [F.coalesce(F.min(F.when(F.col("_cum") >= v, F.col("_x"))), F.max("_x")) for v in ranks]
+    joined = joined.groupBy(*by).agg(F.max("_n").alias("_n"), F.array(*reached).alias("_q"), F.sum("_wx").alias("_wx"))
+    every = found.filter("_n is not null").select(*by, "_n", "_q", "_wx").unionByName(joined)
+    out = []
+    for j, (p, name) in enumerate(zip(probs, names, strict=True)):
+        low, high = F.get("_q", F.lit(2 * j)), F.get("_q", F.lit(2 * j + 1))
+        out.append((low + _fraction(F.col("_n"), p) * (high - low)).alias(name))
+    if mean is not None:
+        out.append(F.try_divide("_wx", "_n").alias(mean))
+    return every.select(*by, *out)
+
+
 def weighted_quantile(
     df: DataFrame,
     value: str,

@@ -199,3 +199,35 @@ def test_whole_totals_come_out_whole(spark):
         high, low = limbs.split(F.col("w"))
         total = rows.select(high.alias("h"), low.alias("l")).agg(F.sum("h").alias("h"), F.sum("l").alias("l"))
         assert total.select(limbs.number(F.col("h"), F.col("l"))).first()[0] == round(step * 1000)
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_groups_streamed_by_range_give_the_same(spark, monkeypatch, batch):
+    """A hot group over several ranges, point masses, null groups and many small ones; small Arrow batches."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(3000):
+        g = rnd.choice(["hot"] * 5 + [None, "", *[f"g{rnd.randint(0, 200)}" for _ in range(6)]])
+        rows.append((g, rnd.choice([None, float("nan"), 4.0, 4.0, rnd.random() * 9]), rnd.choice([0.1, 0.25, 3.0, 0.0, -1.0, None]), i % 2))
+    df = spark.createDataFrame(rows, "g string, x double, w double, k int").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for by in (["g"], ["k"], ["g", "k"]):
+            runs = []
+            for limit in (0, 10**9):
+                monkeypatch.setattr(w, "GROUPS_PER_RANGE", limit)
+                out = w.weighted_stats(df, "x", "w", PROBS, NAMES, by, mean="mean").collect()
+                runs.append(sorted(([r[b] for b in by], [round(r[n], 9) for n in [*NAMES, "mean"]]) for r in out) if by == ["k"] else {tuple(r[b] for b in by): [round(r[n], 9) for n in [*NAMES, "mean"]] for r in out})
+            assert runs[0] == runs[1] and len(runs[0]) > 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    monkeypatch.setattr(w, "GROUPS_PER_RANGE", 0)
+    assert w.weighted_stats(df.limit(0), "x", "w", PROBS, NAMES, ["g"]).collect() == []
+
+
+def test_many_groups_read_the_fact_once_for_all_ranks(spark, monkeypatch):
+    monkeypatch.setattr(w, "GROUPS_PER_RANGE", 0)
+    df = spark.range(500).select((F.col("id") % 100).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    out = w.weighted_quantile(df, "x", "w", [0.5], ["g"])
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 100

@@ -14,5 +14,5 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
 
 
 def write_by_country(df: DataFrame, path: str, country: str = "country") -> None:
-    """One output folder per country."""
-    df.write.mode("overwrite").partitionBy(country).parquet(path)
+    """One output folder per country; folders of countries that df does not hold stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(country).parquet(path)

@@ -146,3 +146,11 @@ def test_writers_and_partition_pruning(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert readers.drop_row_index(df).columns == ["id", "v"]
     assert readers.columns_between(df, "id", "v") == ["id", "v"]
+
+
+def test_a_run_for_one_country_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "c")
+    writers.write_by_country(spark.createDataFrame([("za", 1), ("za", 2), ("ng", 3)], "country string, v int"), path)
+    writers.write_by_country(spark.createDataFrame([("za", 9)], "country string, v int"), path)
+    writers.write_by_country(spark.createDataFrame([("ke", 4)], "country string, v int"), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("country", "v").collect()) == [("ke", 4), ("ng", 3), ("za", 9)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from levyscape.functions import codebook
@@ -373,6 +374,72 @@ register(
         UNION ALL SELECT 'gender_hhhFemale', ln(p2 / (1 - p2)) - ln(p1 / (1 - p1)),
           sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n2 * p2 * (1 - p2))) FROM s""",
 )
+_STARRED = "CASE WHEN z >= 3.2905267314919255e0 THEN '***' WHEN z >= 2.5758293035489004e0 THEN '**' WHEN z >= 1.959963984540054e0 THEN '*' ELSE '' END"
+register(
+    "star_table_one_factor",
+    "variable_name:s intercept:6 standard_error:6 signif:s",
+    lambda t: regression.star_table(regression.logit(_one_factor(t, "high"), "high", _GENDER).table(t.spark)),
+    f"""{_P}, c AS (SELECT '(Intercept)' AS variable_name, ln(p1 / (1 - p1)) AS intercept, sqrt(1 / (n1 * p1 * (1 - p1))) AS standard_error FROM s
+        UNION ALL SELECT 'gender_hhhFemale', ln(p2 / (1 - p2)) - ln(p1 / (1 - p1)), sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n2 * p2 * (1 - p2))) FROM s)
+        SELECT variable_name, intercept, standard_error, {_STARRED} AS signif FROM (SELECT *, abs(intercept / standard_error) AS z FROM c)""",
+)
+_SIZES = {"all": "true", "small": "hh_size <= 3", "large": "hh_size > 3"}
+
+
+@query(
+    "side_by_side_one_factor",
+    "term:s " + " ".join(f"{n}:6" for n in _SIZES),
+    " UNION ALL ".join(
+        f"SELECT {term} AS term, " + ", ".join(f"max({value}) FILTER (g = '{n}') AS \"{n}\"" for n in _SIZES)
+        + " FROM (" + " UNION ALL ".join(
+            f"""SELECT '{n}' AS g, avg(CASE WHEN income > 5000 THEN 1e0 ELSE 0 END) FILTER (gender_hhh = 1) AS p1,
+            avg(CASE WHEN income > 5000 THEN 1e0 ELSE 0 END) FILTER (gender_hhh = 2) AS p2 FROM hh WHERE {rows}"""
+            for n, rows in _SIZES.items()
+        ) + ") s"
+        for term, value in (
+            ("'(Intercept)'", "ln(p1 / (1 - p1))"),
+            ("'gender_hhhFemale'", "ln(p2 / (1 - p2)) - ln(p1 / (1 - p1))"),
+            ("'(converged)'", "1e0"),
+        )
+    ),
+)
+def _(t):
+    frame = stage(_one_factor(t, "high"))
+    models = {n: regression.logit(frame.filter(rows), "high", _GENDER) for n, rows in _SIZES.items()}
+    return regression.compare_models(models, t.spark)
+
+
+register(
+    "ols_t_values",
+    "term:s statistic:4",
+    lambda t: regression.ols(_one_factor(t, "y"), "y", _GENDER).table(t.spark),
+    """WITH s AS (SELECT avg(income) FILTER (gender_hhh = 1) AS m1, avg(income) FILTER (gender_hhh = 2) AS m2,
+         count(*) FILTER (gender_hhh = 1) AS n1, count(*) FILTER (gender_hhh = 2) AS n2, count(*) AS n FROM hh),
+       r AS (SELECT sum((income - CASE gender_hhh WHEN 1 THEN m1 ELSE m2 END) ** 2) / (max(n) - 2) AS v FROM hh, s)
+       SELECT '(Intercept)' AS term, m1 / sqrt(v / n1) AS statistic FROM s, r
+       UNION ALL SELECT 'gender_hhhFemale', (m2 - m1) / sqrt(v / n1 + v / n2) FROM s, r""",
+)
+
+
+@query(
+    "relabel_terms",
+    "caption:s prefix_order:i AME:6 position:i",
+    """SELECT caption, prefix_order, "AME", row_number() OVER (ORDER BY prefix_order, "AME", caption) AS position FROM (
+         SELECT 'Gender: ' || CASE gender_hhh WHEN 1 THEN 'Male' ELSE 'Female' END AS caption, 6 AS prefix_order, avg(income) AS "AME" FROM hh GROUP BY gender_hhh
+         UNION ALL SELECT 'Province: ' || CAST(province AS VARCHAR), 2, avg(income) FROM hh WHERE province <> 9 GROUP BY province
+         UNION ALL SELECT 'Cooking Fuel: ' || CAST(cookingsource AS VARCHAR), 11, avg(income) FROM hh WHERE cookingsource IS NOT NULL GROUP BY cookingsource
+         UNION ALL SELECT 'hh_size' || CAST(hh_size AS VARCHAR), 14, avg(income) FROM hh GROUP BY hh_size) AS terms""",
+)
+def _(t):
+    gender = F.when(F.col("gender_hhh") == 1, "Male").otherwise("Female")
+    named = {"gender_hhh": gender, "province": F.col("province"), "cookingsource": F.col("cookingsource"), "hh_size": F.col("hh_size")}
+    terms = F.explode(F.array(*[F.concat(F.lit(name), label.cast("string")) for name, label in named.items()])).alias("factor")
+    effects = t.hh.select("income", terms).filter("factor IS NOT NULL").groupBy("factor").agg(F.avg("income").alias("AME"))
+    ordered = regression.caption_terms(effects, exclude=["province9"])
+    # the terms of one model
+    return ordered.withColumn("position", F.row_number().over(Window.orderBy("prefix_order", "AME", "caption")))
+
+
 register(
     "pseudo_r2",
     "value:8",

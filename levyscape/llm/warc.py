@@ -8,7 +8,7 @@ payload. A block never holds the version line that starts a record: chunks are a
 inside it. So files can be split between tasks at that line when they are read.
 
 Of records with equal payloads (same length and SHA-1) the one with the largest page id
-is the response and the others are revisits that name it; payloads under `min_bytes`
+is the response and the others are revisits that name its record; payloads under `min_bytes`
 are all responses.
 
 Defined cases: a null html is an empty payload; a null page_id is written as such, is
@@ -65,7 +65,7 @@ def _stream(batches):
                 state.update(part)
                 total += len(part)
                 end = last and b == len(chunk)
-                out.append((page, mark, this, url, number, part, total, state.hexdigest() if end else None, end))
+                out.append((page, mark, this, url, number, part, total, state.hexdigest(), end))
                 number += 1
         columns = list(zip(*out)) if out else [()] * 9
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
@@ -102,32 +102,37 @@ def _header(kind: Column, url: Column, digest: Column, length: Column, more: lis
 
 def _with_type(rows: DataFrame, groups: DataFrame) -> DataFrame:
     joined = rows.join(groups, ["digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).when(F.col("page_id").isNull(), F.col("largest")))
+    return joined.withColumn("refers_to", F.when((F.col("page_id") < F.col("largest")) | F.col("page_id").isNull(), F.col("largest")))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes: int = CHUNK) -> None:
     """One record for each row of pages (page_id, url, html), large payloads in segments, as WARC files in `path`."""
     source = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("string").alias("html")
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html"), F.lit("")).cast("string").alias("html"),
+        # one numbering for small and large payloads, so that no two records share an id
+        F.monotonically_increasing_id().alias("row"),
     )
     bytes_ = F.octet_length("html").cast("long")
     oversized = (bytes_ > chunk_bytes) | F.col("html").contains(VERSION)
     small = source.filter(~oversized).select(
-        "page_id", "url", "html", bytes_.alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row")
+        "page_id", "url", "html", bytes_.alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"), "row"
     )
     large = source.filter(oversized).select(
-        "page_id", F.xxhash64("html").alias("mark"), F.monotonically_increasing_id().alias("row"), "url", F.col("html").cast("binary").alias("payload")
+        "page_id", F.xxhash64("html").alias("mark"), "row", "url", F.col("html").cast("binary").alias("payload")
     )
     chunks = stage(chunk_table(large, chunk_bytes), "chunks")
     wholes = chunks.filter("last").select("page_id", "row", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("digest"))
-    every = small.select("page_id", "payload_bytes", "digest").unionByName(wholes.drop("row"))
+    every = small.select("page_id", "row", "payload_bytes", "digest").unionByName(wholes)
     same = every.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
     # written first: the planner knows its size when it decides how to join the payloads
-    groups = stage(same.agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
+    best = same.agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    groups = stage(best.select("digest", "payload_bytes", F.col("best.page_id").alias("largest"), F.col("best.row").alias("its_row")), "groups")
 
     http = F.lit(HTTP)
     name = base32(F.col("digest"))
-    revisit = [F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))]
+    revisit = [F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(":"), F.col("its_row").cast("string"), F.lit(">"))]
     is_revisit = F.col("refers_to").isNotNull()
 
     def again(rows: DataFrame) -> DataFrame:

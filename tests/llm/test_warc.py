@@ -74,6 +74,35 @@ def test_archives_are_split_between_tasks(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("chunk", [64, 32 << 10])
+def test_every_reference_names_a_record(spark, chunk):
+    rows = [*ROWS, (13, "u", "b" * 70), (13, "u", "b" * 700), (14, "u", "b" * 700), (13, "u", "c"), (15, "u", "c")]
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(pages(spark, rows), path, chunk_bytes=chunk)
+    records = warc.read_archives(spark, path).collect()
+    ids = [r.id for r in records]
+    assert len(ids) == len(set(ids))
+    by_id = {r.id: r for r in records}
+    named = [r for r in records if r.type == "revisit"]
+    assert sorted(r.id.split(":")[2] for r in named) == ["1", "13", "13", "2", "4", "6", "null"]
+    for r in named:
+        assert by_id[r.refers_to].type == "response" and by_id[r.refers_to].digest == r.digest
+    for r in records:
+        assert r.origin is None or by_id[r.origin].segment == 1
+
+
+def test_every_chunk_row_carries_the_digest_so_far(spark):
+    payload = ("é" * 300 + "WARC/1.1\r\n") * 5
+    large = spark.createDataFrame([(1, 7, 0, "u", bytearray(payload.encode())), (2, 8, 1, "v", bytearray(b"x" * 130))], "page_id long, mark long, row long, url string, payload binary")
+    table = warc.chunk_table(large, 64).orderBy("row", "chunk_no").collect()
+    for row, data in ((0, payload.encode()), (1, b"x" * 130)):
+        mine = [r for r in table if r.row == row]
+        for i, r in enumerate(mine):
+            so_far = b"".join(bytes(x.chunk) for x in mine[: i + 1])
+            assert (r.chunk_no, r.bytes, r.sha1, r.last) == (i, len(so_far), hashlib.sha1(so_far).hexdigest(), i == len(mine) - 1)
+        assert so_far == data
+
+
 def test_empty_table_and_query(spark):
     path = fresh_path(spark, "warc-test")
     warc.write_archives(pages(spark, []), path)

@@ -1,6 +1,7 @@
 """Least squares, logit and average marginal effects.
 
-Spark ML fits the models; the driver sees coefficients and k x k matrices only.
+Spark folds the rows into triangular factors and sums; the driver sees coefficients and
+k x k matrices only.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -28,9 +27,14 @@ from levyscape.functions.survey_codes import CAPTION_ORDER, TERM_CAPTIONS
 from levyscape.operators.design import (
     ModelSpec,
     Term,
+    all_terms,
     complete_cases,
+    design_columns,
+    independent,
+    reduced,
     summed_matrix,
-    usable_terms,
+    tall_factor,
+    triangle,
 )
 from levyscape.operators.ranking import ntile
 from levyscape.operators.reshape import pivot_fill
@@ -51,6 +55,7 @@ class FittedModel:
     statistics: list[float | None]
     p_values: list[float | None]
     fit: dict = field(default_factory=dict)
+    growing: list[str] = field(default_factory=list)  # terms that separate the outcomes
 
     def table(self, spark: SparkSession) -> DataFrame:
         """Coefficient table, intercept first; aliased terms have no estimate."""
@@ -76,95 +81,253 @@ class FittedModel:
         return df.withColumn(out, value)
 
 
-def _assembled(rows: DataFrame, y: str, terms: Sequence[Term]) -> DataFrame:
-    names = [f"_x{i}" for i in range(len(terms))]
-    table = rows.select(
-        F.col(y).cast("double").alias("label"), *[t.expr().alias(n) for n, t in zip(names, terms, strict=True)]
-    )
-    return VectorAssembler(inputCols=names, outputCol="features").transform(table).select("label", "features")
+def _positive(values: np.ndarray) -> list[float | None]:
+    return [float(v) if v > 0 else None for v in values]
+
+
+def _ratios(above: Sequence[float], below: Sequence[float | None]) -> list[float | None]:
+    return [a / b if b else None for a, b in zip(above, below, strict=True)]
 
 
 def ols(df: DataFrame, y: str, spec: ModelSpec) -> FittedModel:
-    """Ordinary least squares on the complete rows."""
-    rows = complete_cases(df.select(y, *spec.predictors), spec, y).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        terms, aliased = usable_terms(rows, spec)
-        model = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(
-            _assembled(rows, y, terms)
-        )
-        s = model.summary
-        first = lambda values: [values[-1], *values[:-1]]  # noqa: E731  Spark lists the intercept last
-        return FittedModel(
-            "ols",
-            y,
-            spec,
-            terms,
-            aliased,
-            [model.intercept, *model.coefficients.toArray().tolist()],
-            first(list(s.coefficientStandardErrors)),
-            first(list(s.tValues)),
-            first(list(s.pValues)),
-            {"r2": s.r2, "r2adj": s.r2adj, "rmse": s.rootMeanSquaredError, "n": s.numInstances},
-        )
-    finally:
-        rows.unpersist()
+    """Ordinary least squares on the complete rows, from one QR pass over them."""
+    rows = complete_cases(df.select(y, *spec.predictors), spec, y)
+    terms = all_terms(spec)
+    n, r = tall_factor(rows, [*design_columns(terms), F.col(y).cast("double")])
+    if n == 0:
+        raise ValueError("no complete row")
+    kept, aliased = independent(r[:, :-1], terms)
+    k = len(kept) + 1
+    solved = triangle(r[:, [0, *kept, -1]])
+    inverse = np.linalg.inv(solved[:k, :k])
+    beta = (inverse @ solved[:k, k]).tolist()
+    rss, tss = solved[k, k] ** 2, triangle(r[:, [0, -1]])[1, 1] ** 2
+    dof = n - k
+    errors = _positive(np.sqrt((inverse**2).sum(axis=1) * rss / dof)) if dof > 0 else [None] * k
+    t = _ratios(beta, errors)
+    r2 = 1 - rss / tss if tss > 0 else None
+    return FittedModel(
+        "ols",
+        y,
+        spec,
+        [terms[at - 1] for at in kept],
+        [terms[at - 1] for at in aliased],
+        beta,
+        errors,
+        t,
+        [None if v is None else student_p(v, dof) for v in t],
+        {
+            "r2": r2,
+            "r2adj": 1 - (1 - r2) * (n - 1) / dof if r2 is not None and dof > 0 else None,
+            "rmse": math.sqrt(rss / n),
+            "n": n,
+        },
+    )
 
 
 def logit(df: DataFrame, y: str, spec: ModelSpec, max_iter: int = 50) -> FittedModel:
-    """Logistic regression on the complete rows; ``fit`` holds deviances and ``converged``."""
-    rows = complete_cases(df.select(y, *spec.predictors), spec, y).persist(StorageLevel.MEMORY_AND_DISK)
+    """Logistic regression on the complete rows, see ``logits``."""
+    return logits(df, {y: (y, F.lit(True))}, spec, max_iter)[y]
+
+
+# a step that would lower the deviance by less than this share of it is the last
+NEWTON_TOLERANCE = 1e-12
+# a direction along which no row loses more than this share of what the best row gains separates the outcomes
+SEPARATION_TOLERANCE = 1e-6
+MAX_HALVINGS = 30
+MIN_WEIGHT = 1e-16
+
+
+@dataclass
+class _Newton:
+    """One model between two passes; vectors are laid out as (intercept, all terms)."""
+
+    beta: np.ndarray
+    step: np.ndarray
+    before: np.ndarray
+    deviance: float = math.inf
+    halvings: int = 0
+    passes: int = 0
+    status: str = "open"
+    kept: list[int] | None = None
+    aliased: list[int] | None = None
+    n: float = 0.0
+    hits: float = 0.0
+    covariance: np.ndarray | None = None
+
+    def advance(self, state: np.ndarray, terms: Sequence[Term]) -> None:
+        """Take in what a pass found at ``beta`` and choose the next ``beta``."""
+        size = len(self.beta) + 1
+        self.n, self.hits, deviance, worst, best = state[:5]
+        r = state[5:].reshape(size, size)
+        self.passes += 1
+        if not deviance <= self.deviance * (1 + 1e-9) + 1e-9 and self.halvings < MAX_HALVINGS:
+            self.halvings += 1
+            self.step = self.step / 2
+            self.beta = self.before + self.step
+            return
+        self.deviance, self.halvings = deviance, 0
+        if self.kept is None:
+            self.kept, self.aliased = independent(r[:, :-1], terms)
+        at = [0, *self.kept]
+        solved = triangle(r[:, [*at, -1]])[: len(at)]
+        inverse = np.linalg.pinv(solved[:, :-1])
+        self.covariance = inverse @ inverse.T
+        if best > 0 and worst >= -SEPARATION_TOLERANCE * best:
+            self.status = "separated"
+            return
+        gain = float(solved[:, -1] @ solved[:, -1])
+        self.before, self.step = self.beta, np.zeros(size - 1)
+        self.step[at] = inverse @ solved[:, -1]
+        self.beta = self.beta + self.step
+        if gain <= NEWTON_TOLERANCE * (deviance + 0.1):
+            self.status = "converged"
+
+
+def logits(
+    df: DataFrame, models: Mapping[str, tuple[str, Column]], spec: ModelSpec, max_iter: int = 50
+) -> dict[str, FittedModel]:
+    """Logistic regressions of one specification, each name with its outcome and its rows.
+
+    All models take their Newton steps in the same passes: a pass gives, for every model
+    still open, its deviance and the QR factor of its weighted design with the weighted
+    residuals. Each model stops by itself: ``converged``; ``separated``, when its last step
+    moves every row towards its outcome, so that the estimates grow without end (``growing``
+    names the terms that do); or neither after ``max_iter`` passes.
+    """
+    terms = all_terms(spec)
+    k = len(terms) + 1
+    names = [f"_y{i}" for i in range(len(models))]
+    outcomes = [
+        F.when(rows & F.col(y).isNotNull(), F.col(y).cast("double")).otherwise(-1.0).alias(name)
+        for name, (y, rows) in zip(names, models.values(), strict=True)
+    ]
+    rows = complete_cases(df, spec).select(*dict.fromkeys(spec.predictors), *outcomes)
+    rows = rows.filter(F.greatest(F.lit(-1.0), *names) >= 0).persist(StorageLevel.MEMORY_AND_DISK)
+    fits = {name: _Newton(np.zeros(k), np.zeros(k), np.zeros(k)) for name in models}
     try:
-        terms, aliased = usable_terms(rows, spec)
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", regParam=0.0, tol=1e-10, maxIter=max_iter
-        ).fit(_assembled(rows, y, terms))
-        s = model.summary
-        beta = [model.intercept, *model.coefficients.toArray().tolist()]
-        cov = _logit_covariance(rows, terms, beta)
-        errors = np.sqrt(np.maximum(np.diag(cov), 0)).tolist()
-        z = [b / e if e > 0 else None for b, e in zip(beta, errors, strict=True)]
-        return FittedModel(
-            "logit",
-            y,
-            spec,
-            terms,
-            aliased,
-            beta,
-            errors,
-            z,
-            [None if v is None else normal_p(v) for v in z],
-            {
-                "deviance": s.deviance,
-                "null_deviance": s.nullDeviance,
-                "pseudo_r2": 1 - s.deviance / s.nullDeviance if s.nullDeviance else None,
-                "aic": s.aic,
-                "iterations": s.numIterations,
-                "converged": s.numIterations < max_iter,
-                "n": s.numInstances,
-            },
-        )
+        for _ in range(max_iter):
+            open_ = [name for name, fit in fits.items() if fit.status == "open"]
+            if not open_:
+                break
+            labels = [F.col(names[list(models).index(name)]) for name in open_]
+            add, merge = _newton_pass(k, [(fits[m].beta, fits[m].step) for m in open_])
+            state = reduced(rows, [*design_columns(terms), *labels], add, merge)
+            found = np.zeros((len(open_), 1)) if state is None else state.reshape(len(open_), -1)
+            for name, mine in zip(open_, found, strict=True):
+                if mine[0] == 0:
+                    raise ValueError(f"no complete row for {name}")
+                fits[name].advance(mine, terms)
     finally:
         rows.unpersist()
+    return {name: _fitted(models[name][0], spec, terms, fit) for name, fit in fits.items()}
 
 
-def normal_p(z: float) -> float:
-    """Two-sided normal tail probability."""
-    return math.erfc(abs(z) / math.sqrt(2))
+def _newton_pass(k: int, models: Sequence[tuple[np.ndarray, np.ndarray]]):
+    """(add, merge) for rows (design of k columns, one outcome per model; -1: not its row).
 
+    A model's state: rows, hits, deviance, least and largest gain of a row by the last
+    step, factor of (weighted design, weighted residual).
+    """
+    width = 5 + (k + 1) ** 2
+
+    def joined(a, b):
+        out = a.copy()
+        out[:, :3] += b[:, :3]
+        out[:, 3], out[:, 4] = np.minimum(a[:, 3], b[:, 3]), np.maximum(a[:, 4], b[:, 4])
+        for i in range(len(models)):
+            if a[i, 0] and b[i, 0]:
+                out[i, 5:] = triangle(np.vstack([a[i, 5:].reshape(-1, k + 1), b[i, 5:].reshape(-1, k + 1)])).ravel()
+            elif b[i, 0]:
+                out[i, 5:] = b[i, 5:]
+        return out
 
-def _columns(terms: Sequence[Term]) -> list[Column]:
-    return [F.lit(1.0), *[t.expr() for t in terms]]
+    def add(state, block):
+        new = np.zeros((len(models), width))
+        new[:, 3], new[:, 4] = np.inf, -np.inf
+        for i, (beta, step) in enumerate(models):
+            mine = block[:, k + i] >= 0
+            if not mine.any():
+                continue
+            x, y = block[mine, :k], block[mine, k + i]
+            side, eta = 2 * y - 1, x @ beta
+            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            root = np.sqrt(np.maximum(p * (1 - p), MIN_WEIGHT))
+            gains = side * (x @ step)
+            new[i, :5] = len(x), y.sum(), 2 * np.logaddexp(0, -side * eta).sum(), gains.min(), gains.max()
+            new[i, 5:] = triangle(np.column_stack([x * root[:, None], (y - p) / root])).ravel()
+        return (new if state is None else joined(state.reshape(new.shape), new)).ravel()
+
+    def merge(a, b):
+        return joined(a.reshape(len(models), width), b.reshape(len(models), width)).ravel()
+
+    return add, merge
+
+
+def _fitted(y: str, spec: ModelSpec, terms: Sequence[Term], fit: _Newton) -> FittedModel:
+    at = [0, *fit.kept]
+    beta = fit.beta[at].tolist()
+    errors = _positive(np.sqrt(np.maximum(np.diag(fit.covariance), 0)))
+    z = _ratios(beta, errors)
+    n, hits = fit.n, fit.hits
+    null = -2 * sum(m * math.log(m / n) for m in (hits, n - hits) if m > 0)
+    moves = np.abs(fit.step)
+    growing = [terms[i - 1].name for i in fit.kept if moves[i] > 1e-3 * moves.max()]
+    return FittedModel(
+        "logit",
+        y,
+        spec,
+        [terms[i - 1] for i in fit.kept],
+        [terms[i - 1] for i in fit.aliased],
+        beta,
+        errors,
+        z,
+        [None if v is None else normal_p(v) for v in z],
+        {
+            "deviance": fit.deviance,
+            "null_deviance": null,
+            "pseudo_r2": 1 - fit.deviance / null if null else None,
+            "aic": fit.deviance + 2 * len(at),
+            "iterations": fit.passes,
+            "converged": fit.status == "converged",
+            "separated": fit.status == "separated",
+            "n": int(n),
+        },
+        growing if fit.status == "separated" else [],
+    )
 
 
-def _logit_covariance(rows: DataFrame, terms: Sequence[Term], beta: Sequence[float]) -> np.ndarray:
-    b = np.asarray(beta)
-    k = len(b)
+def normal_p(z: float) -> float:
+    """Two-sided normal tail probability."""
+    return math.erfc(abs(z) / math.sqrt(2))
 
-    def information(x):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -700, 700)))
-        return x.T @ (x * (p * (1 - p))[:, None])
 
-    return np.linalg.pinv(summed_matrix(rows, _columns(terms), information, (k, k)), hermitian=True)
+def student_p(t: float, dof: float) -> float:
+    """Two-sided tail probability of Student's t: the incomplete beta function of dof/2 and 1/2."""
+    if dof > 1e7:  # the normal one, to all digits that the logarithms below would keep
+        return normal_p(t)
+    a, b, x, rest = dof / 2, 0.5, dof / (dof + t * t), t * t / (dof + t * t)
+    if x <= 0 or rest <= 0:
+        return 0.0 if x <= 0 else 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(rest))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, rest) / b
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, evaluated forwards until it settles."""
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 10_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1 / (1 + term * d), 1 + term / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return value
 
 
 def fit_table(models: Mapping[str, FittedModel], spark: SparkSession) -> DataFrame:
@@ -260,7 +423,7 @@ def average_marginal_effects(model: FittedModel, df: DataFrame, contrast: str =
             out[row, k] = (p1 - p0).sum()
         return out
 
-    total = summed_matrix(rows, _columns(model.terms), work, (2 * k, k + 1))
+    total = summed_matrix(rows, design_columns(model.terms), work, (2 * k, k + 1))
     n = total[k, 0]
     cov = np.linalg.pinv(total[:k, :k], hermitian=True)
     table = []

@@ -158,3 +158,77 @@ def test_forest_learns_and_ranks_columns(data):
     assert regression.prediction_errors(scored, "Actual", "Predicted").first().rmse < 2.0
     cv = learning.forest_cv(rows, "y", ["x", "noise"], mtry=(1, 2), folds=2, trees=5, depth=4)
     assert {r.mtry for r in learning.cv_table(cv, data.sparkSession).collect()} == {1, 2}
+
+
+def test_least_squares_on_badly_conditioned_columns(spark):
+    """Powers of a year: condition number beyond 1e9, where cross products keep no digit."""
+    rows = [(i, 1900.0 + i % 120, float((i * 7919) % 101) / 100) for i in range(2000)]
+    rows = [(i, t, t * t, 3 + 2 * (t - 1960) / 60 - ((t - 1960) / 60) ** 2 + e) for i, t, e in rows]
+    df = spark.createDataFrame(rows, "hh_id bigint, t double, t2 double, y double").repartition(5)
+    x = np.array([[1.0, r[1], r[2]] for r in rows])
+    assert np.linalg.cond(x) > 1e9
+    m = regression.ols(df, "y", ModelSpec(("t", "t2")))
+    # the same line in centred powers, which are well conditioned
+    u = (x[:, 1] - 1960) / 60
+    z, y = np.column_stack([np.ones(len(u)), u, u * u]), np.array([r[3] for r in rows])
+    a, b, c = np.linalg.solve(z.T @ z, z.T @ y)
+    q = 1960 / 60
+    assert m.coefficients == pytest.approx([a - b * q + c * q * q, (b - 2 * c * q) / 60, c / 3600], rel=1e-6)
+    s2 = ((y - z @ [a, b, c]) ** 2).sum() / (len(y) - 3)
+    assert m.errors[2] == pytest.approx(math.sqrt(s2 * np.linalg.inv(z.T @ z)[2, 2]) / 3600, rel=1e-6)
+
+
+def test_student_tail():
+    """Closed forms for 1, 2 and 4 degrees of freedom, and the normal limit."""
+    for t in (0.01, 0.5, 1.0, 3.0, 40.0):
+        assert regression.student_p(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9)
+        assert regression.student_p(-t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
+        w = t / math.sqrt(4 + t * t)
+        assert regression.student_p(t, 4) == pytest.approx(1 - w * (3 - w * w) / 2, rel=1e-6)
+    assert regression.student_p(1.5, 1e6) == pytest.approx(regression.normal_p(1.5), rel=1e-5)
+    assert (regression.student_p(0.0, 5), regression.student_p(math.inf, 5)) == (1.0, 0.0)
+
+
+def test_logits_in_shared_passes(data):
+    """Models of different rows and outcomes as if fitted one by one; separated data are named."""
+    odd = data.withColumns(
+        {
+            "part": F.col("hh_id") % 3,
+            # in part 1 nobody with g = c and everybody with h = v and g = a is hit
+            "apart": F.when(F.col("g") == "c", 0.0).when((F.col("h") == "v") & (F.col("g") == "a"), 1.0).otherwise(F.col("hit")),
+            "clear": (F.col("x") > 0).cast("double"),
+            "holes": F.when(F.col("hh_id") % 7 > 0, F.col("hit")),
+        }
+    )
+    models = {
+        "all": ("hit", F.lit(True)),
+        "part": ("hit", F.col("part") == 1),
+        "holes": ("holes", F.col("part") == 2),
+        "apart": ("apart", F.col("part") == 1),
+        "clear": ("clear", F.lit(True)),
+    }
+    fits = regression.logits(odd, models, SPEC)
+    for name, rows in (("all", odd), ("part", odd.filter("part = 1")), ("holes", odd.filter("part = 2"))):
+        y = models[name][0]
+        single = regression.logit(rows, y, SPEC)
+        assert fits[name].coefficients == pytest.approx(single.coefficients, abs=1e-7)
+        assert fits[name].errors == pytest.approx(single.errors, rel=1e-6)
+        assert fits[name].fit["converged"] and not fits[name].fit["separated"]
+        assert fits[name].fit["n"] == rows.filter(F.col(y).isNotNull()).count()
+    assert fits["apart"].fit["separated"] and "gc" in fits["apart"].growing
+    assert fits["clear"].fit["separated"] and "x" in fits["clear"].growing
+    assert not fits["clear"].fit["converged"] and fits["clear"].fit["iterations"] < 30
+
+
+def test_states_of_tasks_without_rows_and_of_no_rows(data):
+    from levyscape.operators.design import design_columns, tall_factor
+
+    none = data.filter("hh_id < 0")
+    n, r = tall_factor(none, design_columns([]))
+    assert n == 0 and not r.any()
+    with pytest.raises(ValueError):
+        regression.ols(none, "y", SPEC)
+    with pytest.raises(ValueError):
+        regression.logit(none, "hit", SPEC)
+    few = regression.ols(data.filter("hh_id < 2").repartition(6), "y", ModelSpec(("x", "x2")))
+    assert few.fit["n"] == 2 and few.errors == [None, None] and [t.name for t in few.aliased] == ["x2"]

@@ -404,9 +404,8 @@ _SIZES = {"all": "true", "small": "hh_size <= 3", "large": "hh_size > 3"}
     ),
 )
 def _(t):
-    frame = stage(_one_factor(t, "high"))
-    models = {n: regression.logit(frame.filter(rows), "high", _GENDER) for n, rows in _SIZES.items()}
-    return regression.compare_models(models, t.spark)
+    models = {n: ("high", F.expr(rows)) for n, rows in _SIZES.items()}
+    return regression.compare_models(regression.logits(_one_factor(t, "high"), models, _GENDER), t.spark)
 
 
 register(
@@ -512,12 +511,10 @@ def _(t):
 
 @query("logit_side_by_side", "term:s " + " ".join(f"{n}:4" for n in ("full", "q1", "q2", "q3", "q4", "q5")))
 def _(t):
-    spec, frame = full_spec(), _logit_frame(t)
-    models = {"full": regression.logit(frame, "burden_decile", spec)}
+    models = {"full": ("burden_decile", F.lit(True))}
     for q in range(1, 6):
-        mine = frame.filter(F.col("Income_Group_5") == q)
-        models[f"q{q}"] = regression.logit(mine, "decile_within", spec)
-    return regression.compare_models(models, t.spark)
+        models[f"q{q}"] = ("decile_within", F.col("Income_Group_5") == q)
+    return regression.compare_models(regression.logits(_logit_frame(t), models, full_spec()), t.spark)
 
 
 @query("ame_full", "caption:s prefix_order:i AME:6 lower:6 upper:6 effect:s")

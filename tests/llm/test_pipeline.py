@@ -1,5 +1,5 @@
 import corpus_pipeline
-from levyscape.llm import cube, line_dedup
+from levyscape.llm import cube
 from .helpers import docs, prose
 from .test_decontaminate import plain as plain_hits
 from .test_line_dedup import plain as plain_lines
@@ -23,7 +23,7 @@ def test_stages_against_plain_versions(spark):
             assert {i for i, t in before.items() if any(c.isalpha() for c in t or "")} >= {i for i, _ in after}
             assert len(after) >= 0.98 * len(before)
         elif name == "lines":
-            want = {i: k for i, n, gone, k in plain_lines(list(before.items()), line_dedup.RARE) if gone < n or not n}
+            want = {i: k for i, n, gone, k in plain_lines(list(before.items())) if gone < n or not n}
             assert dict(after) == want
         elif name == "near_copies":
             ids = list(before)

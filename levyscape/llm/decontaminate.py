@@ -149,7 +149,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
     """
     keep = [c for c in (keep or docs.columns) if c not in NEW.names]
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    # repeated items count once, in the size of a block as well
+    items = stage(items.distinct(), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     out = docs.select(*dict.fromkeys([*keep, "text"]))

@@ -82,3 +82,18 @@ def test_empty_tables(spark):
     none = bench(spark, [])
     assert decontaminate.remove_passages(docs(spark, ROWS), none).count() == len(ROWS)
     assert decontaminate.remove_passages(docs(spark, []), bench(spark)).collect() == []
+
+
+def test_repeated_items_and_null_texts_fill_no_block(spark, monkeypatch):
+    sizes = []
+
+    class Counted(decontaminate.Windows):
+        def __init__(self, items, width):
+            sizes.append(sum(len(t) for _, t in items))
+            super().__init__(items, width)
+
+    monkeypatch.setattr(decontaminate, "Windows", Counted)
+    bench = spark.createDataFrame([(1, A)] * 2_000 + [(6, None)] * 500 + [(3, B)], "item_id long, text string")
+    out = decontaminate.find_passages(docs(spark, ROWS), bench, keep=["doc_id"], block_bytes=len(A) + len(B))
+    assert sizes == [len(A) + len(B)]
+    assert {r.doc_id for r in out.filter("size(spans) > 0").collect()} >= {1, 2}

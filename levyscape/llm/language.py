@@ -5,8 +5,9 @@ trigram are permuted by their place (a rotation) and bound by multiplication; a
 the bundle (sum) of its trigrams' vectors; a language's prototype is the bundle of its
 learning texts. A text gets the language whose prototype has the largest cosine.
 
-Sums of whole numbers are exact, so the prototypes do not depend on partitions. The
-driver holds one vector per language value.
+Sums of whole numbers are exact, so the prototypes do not depend on partitions, nor on
+where long texts are cut. A task holds the vectors of the letters it meets and of `KINDS`
+trigrams at a time; the driver holds one vector per language value.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is
 every text where nothing could be learned; equal cosines go to the value that sorts
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from levyscape.llm.common import as_row, of_row, row_type, slices
 
-SIZE, SEED, PIECE, ROWS = 1024, 11, 1 << 20, 256
+SIZE, SEED, PIECE, ROWS, KINDS = 1024, 11, 1 << 20, 256, 8192
 UNKNOWN = "und"
 
 
@@ -41,22 +42,52 @@ def letter_vector(code: int) -> np.ndarray:
     return (2 * bits - 1).astype(np.int8)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-    """How often each text has each trigram (texts x trigrams), and the trigrams' vectors."""
-    padded = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+def _texts(column) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
+def _codes(text: str, before: np.ndarray | None = None) -> np.ndarray:
+    """The text's code points after those `before`; every stretch without a letter is one 0."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     codes = np.where(letter_table()[codes], codes, 0)
-    keep = np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0) | (row[1:] != row[:-1])))
-    codes, row = codes[keep], row[keep]
+    if before is not None:
+        codes = np.concatenate((before, codes))
+    return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+
+
+def _sequences(texts: list[str]):
+    """(first text, its codes one text after the other, text of each code) in portions of bounded size.
+
+    A longer text comes alone, in pieces that carry the last two codes of the one before,
+    so that the pieces have the trigrams of the whole and no others.
+    """
+    sizes = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    for a, b in slices(sizes, PIECE):
+        for i in range(a, b, ROWS):
+            some = [f" {t.lower()} " for t in texts[i : min(b, i + ROWS)]]
+            if len(some) == 1:
+                last = None
+                for k in range(0, len(some[0]), PIECE):
+                    codes = _codes(some[0][k : k + PIECE], last)
+                    yield i, codes, np.zeros(len(codes), np.int64)
+                    last = codes[-2:]
+            else:
+                parts = [_codes(t) for t in some]
+                yield i, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def _add(out: np.ndarray, group: np.ndarray, codes: np.ndarray, row: np.ndarray) -> None:
+    """Add the trigram vectors of a portion to the sums of its texts' groups, `KINDS` trigrams at a time."""
     alphabet = np.unique(codes)
     lut = np.zeros(int(alphabet[-1]) + 1, np.int64)
     lut[alphabet] = np.arange(len(alphabet))
     a, n = lut[codes], len(alphabet)
     if len(a) < 3:
-        return None
+        return
     good = row[2:] == row[:-2]
-    gram, who = ((a[:-2] * n + a[1:-1]) * n + a[2:])[good], row[2:][good]
+    gram = ((a[:-2] * n + a[1:-1]) * n + a[2:])[good]
+    which, slot = np.unique(group, return_inverse=True)
+    who = slot[row[2:][good]]
     if n**3 <= 1 << 22:
         there = np.zeros(n**3, bool)
         there[gram] = True
@@ -66,54 +97,37 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         at = place[gram]
     else:
         kinds, at = np.unique(gram, return_inverse=True)
-    counts = np.bincount(who * len(kinds) + at, minlength=len(texts) * len(kinds)).reshape(len(texts), -1)
     letters = np.stack([letter_vector(int(c)) for c in alphabet])
-    vectors = np.roll(letters, 2, axis=1)[kinds // (n * n)] * np.roll(letters, 1, axis=1)[kinds // n % n] * letters[kinds % n]
-    return counts, vectors
-
-
-def _texts(column) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
-def _portions(texts: list[str]):
-    """(first row, texts) of bounded size; a longer text comes alone, in pieces that overlap by a trigram's reach."""
-    sizes = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    for a, b in slices(sizes, PIECE):
-        for i in range(a, b, ROWS):
-            some = texts[i : min(b, i + ROWS)]
-            if len(some) == 1 and len(some[0]) > 2 * PIECE:
-                for k in range(0, len(some[0]), PIECE):
-                    yield i, [some[0][max(0, k - 2) : k + PIECE]]
-            else:
-                yield i, some
+    once, twice = np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
+    if len(kinds) > KINDS:
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+    edges = [*range(0, len(kinds), KINDS), len(kinds)]
+    places = [0, *np.searchsorted(at, edges[1:-1]).tolist(), len(at)] if len(kinds) > KINDS else [0, len(at)]
+    for low, high, from_, to in zip(edges[:-1], edges[1:], places[:-1], places[1:]):
+        width, some = high - low, kinds[low:high]
+        counts = np.bincount(who[from_:to] * width + (at[from_:to] - low), minlength=len(which) * width).reshape(-1, width)
+        vectors = twice[some // (n * n)] * once[some // n % n] * letters[some % n]
+        # whole numbers below 2**24 are exact in single precision; more take double
+        kind = np.float32 if to - from_ < 1 << 24 else np.float64
+        out[which] += counts.astype(kind) @ vectors.astype(kind)
 
 
 def bundles(texts: list[str], group: np.ndarray, n_groups: int) -> np.ndarray:
     """Sum of the trigram vectors of the texts of each group."""
     out = np.zeros((n_groups, SIZE))
-    for first, some in _portions(texts):
-        found = trigrams(some)
-        if found is None:
-            continue
-        counts, vectors = found
-        which, slot = np.unique(group[first : first + len(some)], return_inverse=True)
-        if len(which) < len(some):
-            summed = np.zeros((len(which), counts.shape[1]))
-            np.add.at(summed, slot, counts)
-        else:
-            summed = counts[np.argsort(slot)]
-        # whole numbers below 2**24 are exact in single precision; longer texts use double
-        kind = np.float32 if summed.sum() < 1 << 24 else np.float64
-        out[which] += summed.astype(kind) @ vectors.astype(kind)
+    for first, codes, row in _sequences(texts):
+        _add(out, group[first : first + int(row[-1]) + 1], codes, row)
     return out
 
 
 def _learn(batches):
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs, codes = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
-        for lang, vector in zip(langs.tolist(), bundles(_texts(batch.column(0)), codes, len(langs))):
+        values = batch.column(1).to_pylist()
+        number = {lang: i for i, lang in enumerate(sorted(set(values)))}
+        codes = np.array([number[lang] for lang in values], np.int64)
+        for lang, vector in zip(number, bundles(_texts(batch.column(0)), codes, len(number))):
             total[lang] = total[lang] + vector if lang in total else vector
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "vector"])

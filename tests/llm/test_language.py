@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+
 from levyscape.llm import language
 from .helpers import docs
 
@@ -53,12 +57,39 @@ def test_nothing_to_learn_from(spark):
     assert language.predict(docs(spark, []), {}, ["doc_id"]).collect() == []
 
 
-def test_long_text_in_pieces_sums_to_the_whole(monkeypatch):
-    import numpy as np
+def plain_bundle(text):
+    """Sum of the bound, rotated letter vectors of the trigrams, one by one."""
+    padded, codes = f" {text.lower()} ", []
+    for c in padded:
+        code = ord(c) if c.isalpha() else 0
+        if code or not codes or codes[-1]:
+            codes.append(code)
+    vector = language.letter_vector
+    out = np.zeros(language.SIZE)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        out += np.roll(vector(a), 2).astype(int) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+TEXTS = ["the quick, brown fox -- " * 40, "", "a", "12", "ÄÖ İstanbul ΟΔΟΣ", "x" + "." * 500 + "y", "漢字かな交じり文 " * 30, "..." * 100 + "end"]
+
+
+def test_bundles_equal_the_plain_ones(monkeypatch):
+    want = np.stack([plain_bundle(t) for t in TEXTS])
+    for piece, kinds, rows in ((1 << 20, 8192, 256), (64, 8192, 256), (3, 5, 2), (1, 1, 1), (1 << 20, 7, 3)):
+        monkeypatch.setattr(language, "PIECE", piece)
+        monkeypatch.setattr(language, "KINDS", kinds)
+        monkeypatch.setattr(language, "ROWS", rows)
+        assert (language.bundles(TEXTS, np.arange(len(TEXTS)), len(TEXTS)) == want).all()
+        both = language.bundles(TEXTS, np.arange(len(TEXTS)) % 2, 2)
+        assert (both == np.stack([want[::2].sum(axis=0), want[1::2].sum(axis=0)])).all()
+
 
-    text = "the quick brown fox " * 50
-    whole = language.bundles([text], np.array([0]), 1)
-    monkeypatch.setattr(language, "PIECE", 128)
-    pieces = language.bundles([text], np.array([0]), 1)
-    cosine = (whole @ pieces.T / np.linalg.norm(whole) / np.linalg.norm(pieces)).item()
-    assert cosine > 0.99
+def test_a_long_text_of_many_letters_stays_small():
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1 << 20)))
+    tracemalloc.start()
+    sums = language.bundles([text], np.array([0]), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.any() and peak < 600 << 20

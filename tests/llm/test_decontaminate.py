@@ -86,13 +86,13 @@ def test_empty_tables(spark):
 
 def test_repeated_items_and_null_texts_fill_no_block(spark, monkeypatch):
     sizes = []
-    windows = decontaminate.Windows
+    init = decontaminate.Windows.__init__
 
-    def counted(items, width):
+    def counted(self, items, width):
         sizes.append(sum(len(t) for _, t in items))
-        return windows(items, width)
+        init(self, items, width)
 
-    monkeypatch.setattr(decontaminate, "Windows", counted)
+    monkeypatch.setattr(decontaminate.Windows, "__init__", counted)
     bench = spark.createDataFrame([(1, A)] * 2_000 + [(6, None)] * 500 + [(3, B)], "item_id long, text string")
     out = decontaminate.find_passages(docs(spark, ROWS), bench, keep=["doc_id"], block_bytes=len(A) + len(B))
     assert sizes == [len(A) + len(B)]

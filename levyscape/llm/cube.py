@@ -6,7 +6,8 @@ the cube method: the fractional probabilities move through the null space of the
 balancing equations (words, documents) until all but two are 0 or 1. Three documents
 are on the move at a time; a settled one is replaced by the next.
 
-A source is divided into groups of about `GROUP` documents by a hash of the id. What a
+A source is divided into groups of about `GROUP` documents by a hash of the id, the text
+and the number of the repeat, so that repeats of one row are spread as well. What a
 group leaves unsettled, two documents at most, moves on with that of up to `FAN` other
 groups, until each source is one group. There a dozen documents of all sizes stay out of
 the flight; with the two it leaves they are the landing problem, solved by trying every
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from levyscape.llm.common import as_row, of_row, stage
 
 GROUP, FAN, SEED = 10_000, 4096, 17
+# repeats of one row that are spelled out together
+RUN = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
 # documents kept for the landing, besides the two that the flight leaves
@@ -108,10 +111,20 @@ def _settle(level: int, last: bool, seed: int):
     return run
 
 
+def numbered_repeats(sized: DataFrame) -> DataFrame:
+    """sized with equal rows numbered as `nth`: counted, dealt out in runs of `RUN`, spelled out run by run."""
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("rows"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN).cast("long"))))
+    # a row with very many repeats is one row of the counts
+    runs = runs.repartition("mark", "run")
+    first = F.col("run") * RUN
+    return runs.withColumn("nth", F.explode(F.sequence(first, F.least(F.col("rows"), first + RUN) - 1))).drop("rows", "run")
+
+
 def balanced(rows: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """rows (source, id, mark, size, chance, n: rows of the source, ...) with chance moved to 0 or 1."""
+    """rows (source, id, mark, nth, size, chance, n: rows of the source, ...) with chance moved to 0 or 1."""
     groups = F.ceil(F.col("n") / group).cast("long")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "mark"), groups))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "mark", "nth"), groups))
     biggest = rows.agg(F.max("bucket")).first()[0]
     level, settled = 0, []
     while biggest is not None:
@@ -140,7 +153,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     goals = targets(totals, share, most, weights).select(F.col("source").alias("of"), "source_size", "n", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
-        sized.join(goals, sized["source"].eqNullSafe(goals["of"]))
+        numbered_repeats(sized).join(goals, F.col("source").eqNullSafe(F.col("of")))
         .drop("of")
         .withColumn("id", F.col("doc_id").cast("string"))
         .withColumn("whole", F.floor(rate))

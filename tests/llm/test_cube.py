@@ -88,3 +88,16 @@ def test_flight_hits_each_unit_as_often_as_its_chance():
         cube.flight(units, random.Random(seed))
         hits += units[4][0]
     assert abs(hits / 600 - 0.3) < 0.08
+
+
+def test_repeats_of_one_row_are_spread(spark):
+    """A null id with one text makes most of the table: its rows get numbers of their own, over several runs."""
+    table = [(None, "a b c", "x")] * 3500 + [(i, prose(i, 30), random.Random(i).choice(["x", "y"])) for i in range(400)]
+    df = docs(spark, [(i, t, None, s) for i, t, s in table])
+    check(cube.mix_sources(df, group=100).collect(), table, 0.01)
+    sized = df.selectExpr("doc_id", "source", "xxhash64(text) AS mark", "3L AS size")
+    numbered = cube.numbered_repeats(sized)
+    assert numbered.count() == len(table)
+    same = numbered.filter("doc_id IS NULL")
+    assert sorted(r.nth for r in same.collect()) == list(range(3500))
+    assert same.selectExpr("pmod(xxhash64(CAST(doc_id AS STRING), mark, nth), 39) AS b").groupBy("b").count().agg({"count": "max"}).first()[0] < 150

@@ -116,7 +116,7 @@ def numbered_repeats(sized: DataFrame) -> DataFrame:
     counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("rows"))
     runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN).cast("long"))))
     # a row with very many repeats is one row of the counts
-    runs = runs.repartition("mark", "run")
+    runs = runs.repartition("doc_id", "mark", "run")
     first = F.col("run") * RUN
     return runs.withColumn("nth", F.explode(F.sequence(first, F.least(F.col("rows"), first + RUN) - 1))).drop("rows", "run")
 

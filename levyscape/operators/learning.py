@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -15,7 +15,9 @@ from pyspark.storagelevel import StorageLevel
 
 from levyscape.functions.scalars import replace_all
 from levyscape.functions.survey_codes import INDICATOR_PREFIXES, INDICATOR_WORDS
+from levyscape.operators import clusters
 from levyscape.operators.reshape import transpose_summary
+from levyscape.sources.staging import stage
 
 
 # The deepest tree that the learner grows: trees end by their smallest leaf, not by their depth.
@@ -138,16 +140,14 @@ def nearest_centre(columns: Sequence[str], centres: Sequence[Sequence[float]]) -
 
 
 def silhouettes(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 11), seed: int = 2) -> DataFrame:
-    """Mean silhouette per k. One fit per k; the evaluator needs one pass, not all pairs."""
-    rows = assembled(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        table = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="features").fit(rows)
-            table.append((int(k), float(ClusteringEvaluator().evaluate(model.transform(rows)))))
-    finally:
-        rows.unpersist()
-    return df.sparkSession.createDataFrame(table, "k int, silhouette double")
+    """Mean silhouette per k by Euclidean distance; fits and distances are shared by all k."""
+    rows = stage(clusters.complete(df, columns))
+    fits = clusters.lloyd(rows, columns, clusters.starting_centres(rows, columns, ks, seed))
+    names = sorted(fits)
+    if not names:
+        return df.sparkSession.createDataFrame([], "k int, silhouette double")
+    widths = clusters.silhouette(clusters.with_labels(rows, columns, [fits[k] for k in names]), len(names))
+    return widths.select(F.element_at(F.array(*map(F.lit, names)), F.col("model")).alias("k"), "silhouette")
 
 
 def total_sum_of_squares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -159,17 +159,12 @@ def total_sum_of_squares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 16), seed: int = 2) -> DataFrame:
-    """Within-cluster sum of squares for k = 1 and every k asked for."""
-    rows = assembled(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        table = [
-            (int(k), float(KMeans(k=k, seed=seed, featuresCol="features").fit(rows).summary.trainingCost))
-            for k in ks
-        ]
-    finally:
-        rows.unpersist()
+    """Within-cluster sum of squares for k = 1 and every k asked for; the fits share their passes."""
+    rows = stage(clusters.complete(df, columns))
+    fits = clusters.lloyd(rows, columns, clusters.starting_centres(rows, columns, ks, seed))
+    table = [(k, float(fit.within.sum())) for k, fit in sorted(fits.items())]
     more = df.sparkSession.createDataFrame(table, "k int, within_ss double")
-    return total_sum_of_squares(df.na.drop("any", subset=list(columns)), columns).unionByName(more)
+    return total_sum_of_squares(rows, columns).unionByName(more)
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:

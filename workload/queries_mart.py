@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from levyscape.functions.survey_codes import (
     TRANSFER_FACTORS,
     TRANSFER_MAINS_LEVELS,
 )
-from levyscape.operators import learning, regression, splits
+from levyscape.operators import clusters, learning, regression, splits
 from levyscape.operators.design import Factor, ModelSpec
 from levyscape.operators.quality import has_infinite
 from levyscape.plans import distribution, energy, recycling
@@ -601,7 +602,52 @@ def _(t):
 
 @query("elbow_by_k", "k:i within_ss:4")
 def _(t):
-    return learning.elbow(stage(indicator_frame(t)), _COLS)
+    return learning.elbow(indicator_frame(t), _COLS)
+
+
+# K-means from given centres, pass by pass: the SQL spells the same passes out
+_STEP_COLS = ("hh_size", "province", "log_income")
+_STEP_STARTS = [(1.0, 1.0, 6.0), (6.5, 7.25, 9.0), (3.0, 4.125, 8.0), (9.0, 2.0, 7.0)]
+_STEP_PASSES = 6
+
+
+def _step_rows(t):
+    return stage(clusters.complete(t.hh.filter("income > 0").withColumn("log_income", F.ln("income")), _STEP_COLS))
+
+
+def _steps_sql() -> str:
+    starts = ", ".join(
+        f"({k}, {i}, {', '.join(f'{v}e0' for v in centre)})" for k in (2, 3, 4) for i, centre in enumerate(_STEP_STARTS[:k], 1)
+    )
+    names = ", ".join(_STEP_COLS)
+    gap = " + ".join(f"(x.{c} - m.{c}) * (x.{c} - m.{c})" for c in _STEP_COLS)
+    means = ", ".join(f"coalesce(avg(a.{c}), any_value(m.{c})) AS {c}" for c in _STEP_COLS)
+    parts = [
+        "x AS (SELECT hh_id, hh_size::DOUBLE AS hh_size, province::DOUBLE AS province, ln(income) AS log_income FROM hh"
+        " WHERE income > 0 AND hh_size IS NOT NULL AND province IS NOT NULL)",
+        f"m0 AS (SELECT * FROM (VALUES {starts}) v(k, cluster, {names}))",
+    ]
+    for i in range(_STEP_PASSES):
+        parts.append(
+            f"a{i} AS (SELECT * FROM (SELECT m.k, m.cluster, x.*, {gap} AS gap,"
+            f" row_number() OVER (PARTITION BY m.k, x.hh_id ORDER BY {gap}, m.cluster) AS place FROM x CROSS JOIN m{i} m) p WHERE place = 1)"
+        )
+        parts.append(
+            f"m{i + 1} AS (SELECT m.k, m.cluster, {means} FROM m{i} m LEFT JOIN a{i} a ON a.k = m.k AND a.cluster = m.cluster GROUP BY m.k, m.cluster)"
+        )
+    last = _STEP_PASSES - 1
+    sizes = f"SELECT k, cluster, count(*) AS n, sum(gap) AS within_ss FROM a{last} GROUP BY k, cluster"
+    return (
+        f"WITH {', '.join(parts)} SELECT m.k, m.cluster, coalesce(s.n, 0) AS n, coalesce(s.within_ss, 0e0) AS within_ss,"
+        f" {', '.join(f'm.{c}' for c in _STEP_COLS)} FROM m{last} m LEFT JOIN ({sizes}) s ON s.k = m.k AND s.cluster = m.cluster"
+    )
+
+
+@query("kmeans_steps", "k:i cluster:i n:i within_ss:4 hh_size:6 province:6 log_income:6", _steps_sql())
+def _(t):
+    starts = {k: np.array(_STEP_STARTS[:k]) for k in (2, 3, 4)}
+    fits = clusters.lloyd(_step_rows(t), _STEP_COLS, starts, passes=_STEP_PASSES, tol=-1.0)
+    return clusters.cluster_table(t.spark, fits, _STEP_COLS)
 
 
 _NUM = ("hh_size", "income", "province")
@@ -630,6 +676,26 @@ def _assigned(t):
     return t.hh.withColumn("cluster", learning.nearest_centre(["hh_size", "ethnicity_hhh"], _CENTRES))
 
 
+# labellings: by fixed centres, and by size alone
+_SILHOUETTE = f"""WITH p AS (SELECT hh_id, hh_size::DOUBLE AS a, ethnicity_hhh::DOUBLE AS b, cluster, CASE WHEN hh_size > 3 THEN 2 ELSE 1 END AS halves
+    FROM ({_ASSIGN}) z WHERE hh_size IS NOT NULL AND ethnicity_hhh IS NOT NULL),
+  l AS (SELECT 1 AS k, hh_id, a, b, cluster FROM p UNION ALL SELECT 2, hh_id, a, b, halves FROM p),
+  sums AS (SELECT x.k, x.hh_id, x.cluster AS own, y.cluster, sum(sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS d, count(*) AS n
+    FROM l x JOIN l y ON x.k = y.k GROUP BY 1, 2, 3, 4),
+  w AS (SELECT k, hh_id, max(CASE WHEN own = cluster THEN n END) AS n, max(CASE WHEN own = cluster AND n > 1 THEN d / (n - 1) END) AS near,
+    min(CASE WHEN own <> cluster THEN d / n END) AS other FROM sums GROUP BY 1, 2)
+  SELECT k, avg(CASE WHEN n = 1 OR other IS NULL OR near = other THEN 0e0 ELSE (other - near) / greatest(other, near) END) AS silhouette FROM w GROUP BY 1"""
+
+
+@query("silhouette_fixed_labels", "k:i silhouette:6", _SILHOUETTE)
+def _(t):
+    rows = _assigned(t).na.drop("any", subset=["hh_size", "ethnicity_hhh"])
+    halves = F.when(F.col("hh_size") > 3, 2).otherwise(1)
+    x = F.array(*[F.col(c).cast("double") for c in ("hh_size", "ethnicity_hhh")])
+    points = rows.select(x.alias("x"), F.array(F.col("cluster").cast("int"), halves).alias("labels"))
+    return clusters.silhouette(points, 2).withColumnRenamed("model", "k")
+
+
 register("assign_fixed_centres", "hh_id:i cluster:i", _assigned, f"SELECT hh_id, cluster FROM ({_ASSIGN}) a")
 _PROFILED = ("hh_size", "income", "ethnicity_hhh")
 

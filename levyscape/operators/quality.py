@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
 from levyscape.operators.reshape import group_size
+from levyscape.sources.staging import stage
 
 
 class CheckFailed(ValueError):
@@ -53,9 +54,10 @@ def duplicate_baskets(exp: DataFrame, key: str, item: str, value: str) -> DataFr
     and never gather a household's lines. Households under one hash are verified
     together: their baskets are equal if every line among them is reported by all
     of them, which again is a combinable count, whatever the number of copies.
-    A group that fails (two baskets under one hash) is compared line by line.
+    A group that fails (two baskets under one hash) is compared line by line. The
+    counted lines and the baskets are staged: the input is aggregated once.
     """
-    lines = (
+    lines = stage(
         exp.filter(F.col(value).isNotNull())
         .groupBy(key, item, value)
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -67,8 +69,10 @@ def duplicate_baskets(exp: DataFrame, key: str, item: str, value: str) -> DataFr
         }
     )
     signature = ["_n", "_s1", "_s2"]
-    baskets = hashed.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.bit_xor("_h1").alias("_s1"), F.sum("_h2").alias("_s2")
+    baskets = stage(
+        hashed.groupBy(key).agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_xor("_h1").alias("_s1"), F.sum("_h2").alias("_s2")
+        )
     )
     groups = (
         baskets.groupBy(*signature)
@@ -128,8 +132,14 @@ def negative_totals(exp: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def duplicate_lines(exp: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every line whose key combination occurs more than once."""
-    return group_size(exp, keys).filter(F.col("number") > 1)
+    """Every line whose key combination occurs more than once.
+
+    Lines are staged, so what they are joined from runs once; only combinations that
+    repeat are joined back to them.
+    """
+    lines = stage(exp)
+    repeated = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("number")).filter(F.col("number") > 1)
+    return natural_join(lines, repeated, "inner", list(keys))
 
 
 def collapse_lines(exp: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -256,9 +256,17 @@ _RECODED = f"""SELECT hh_id, {_PROV} AS province,
   {_OWN.format(c="own_vehicle")} AS own_vehicle, {_OWN.format(c="own_stove")} AS own_stove,
   {_MF.format(c="cookingsource")} AS cookingsource, {_MF.format(c="heatingsourcespace")} AS heatingsourcespace,
   CASE electricityfree WHEN 1 THEN 'Free Electricity' WHEN 2 THEN 'No Free Electricity' ELSE CASE WHEN electricityfree IS NOT NULL THEN 'Other' END END AS electricityfree,
+  CASE WHEN education_hhh IS NULL THEN NULL WHEN education_hhh = 1 THEN 'Pre-primary Education' WHEN education_hhh BETWEEN 2 AND 5 THEN 'Primary Education'
+    WHEN education_hhh BETWEEN 6 AND 8 THEN 'Lower Secondary Education' WHEN education_hhh BETWEEN 9 AND 14 THEN 'Upper Secondary Education'
+    WHEN education_hhh BETWEEN 15 AND 24 THEN 'Post-secondary Non-tertiary Education' WHEN education_hhh IN (25, 26) THEN 'Short-cycle Tertiary Education'
+    WHEN education_hhh BETWEEN 27 AND 29 THEN 'Bachelors or Equivalent' WHEN education_hhh = 30 THEN 'Masters or Equivalent'
+    WHEN education_hhh = 98 THEN 'No Schooling' ELSE 'Other' END AS education_hhh,
+  CASE lightingsource WHEN 1 THEN 'Electricity Mains' WHEN 2 THEN 'Electricity Other' WHEN 4 THEN 'Paraffin' WHEN 7 THEN 'Candles' WHEN 9 THEN 'Solar Energy'
+    ELSE CASE WHEN lightingsource IS NOT NULL THEN 'Other' END END AS lightingsource,
+  {_MF.format(c="heatingsourcewater")} AS heatingsourcewater,
   {_SOURCE} AS electricitysource FROM frame"""
 _RC = ("province", "urban_1", "gender_hhh", "ethnicity_hhh", "own_vehicle", "own_stove", "cookingsource",
-       "heatingsourcespace", "electricityfree", "electricitysource")
+       "heatingsourcespace", "electricityfree", "electricitysource", "education_hhh", "lightingsource", "heatingsourcewater")
 
 
 def _frame(t):
@@ -289,17 +297,91 @@ register(
 )
 
 
-def _sql_value(v) -> str:
-    return f"'{v}'" if isinstance(v, str) else str(v)
-
-
-_HOT = ", ".join(
-    f"CASE WHEN {c} IS NOT NULL THEN CAST({c} IN ({', '.join(_sql_value(v) for v in codes)}) AS INT) END AS {name}"
-    for name, (c, codes) in INDICATORS.items()
-)
+# what each indicator must hold: name, column, SQL list of codes
+_HOT_CODES = """
+pro_westerncape province 1
+pro_easterncape province 2
+pro_northerncape province 3
+pro_freestate province 4
+pro_kwazulunatal province 5
+pro_northwest province 6
+pro_gauteng province 7
+pro_mpumalanga province 8
+pro_limpopo province 9
+urb_urban_formal urban_1 1
+urb_urban_informal urban_1 2
+urb_rural_traditional urban_1 4
+urb_rural_formal urban_1 5
+gender_male gender_hhh 1
+gender_female gender_hhh 2
+eth_africanblack ethnicity_hhh 1
+eth_coloured ethnicity_hhh 2
+eth_indian_asian ethnicity_hhh 3
+eth_white ethnicity_hhh 4
+edu_preprimary education_hhh 1
+edu_primary education_hhh 2,3,4,5
+edu_lower_secondary education_hhh 6,7,8
+edu_upper_secondary education_hhh 9,10,11,12,13,14
+edu_postsecondary_nontertiary education_hhh 15,16,17,18,19,20,21,22,23,24
+edu_shortcycle_tertiary education_hhh 25,26
+edu_bachelor_eq education_hhh 27,28,29
+edu_master_eq education_hhh 30
+edu_other education_hhh 31,32
+edu_no_schooling education_hhh 98
+veh_own own_vehicle 1
+veh_other own_vehicle 2,9
+veh_noaccess own_vehicle 3
+sto_own own_stove 1
+sto_other own_stove 2,9
+sto_noaccess own_stove 3
+elec_mains electricitysource 'Mains'
+elec_other electricitysource 'Other'
+elec_solar electricitysource 'Solar Energy'
+elec_noaccess electricitysource 'No Access'
+elecf_free electricityfree 1
+elecf_nofree electricityfree 2
+light_elecmains lightingsource 1
+light_elecother lightingsource 2
+light_other lightingsource 3,10,99
+light_paraffin lightingsource 4
+light_candles lightingsource 7
+light_solar lightingsource 9
+cooking_elecmains cookingsource 1
+cooking_elecother cookingsource 2
+cooking_gas cookingsource 3
+cooking_paraffin cookingsource 4
+cooking_coal cookingsource 6
+cooking_wood cookingsource 5
+cooking_dung cookingsource 8
+cooking_solar cookingsource 9
+cooking_other cookingsource 10,99
+cooking_noaccess cookingsource 11
+heat_w_elecmains heatingsourcewater 1
+heat_w_elecother heatingsourcewater 2
+heat_w_gas heatingsourcewater 3
+heat_w_paraffin heatingsourcewater 4
+heat_w_coal heatingsourcewater 6
+heat_w_wood heatingsourcewater 5
+heat_w_dung heatingsourcewater 8
+heat_w_solar heatingsourcewater 9
+heat_w_other heatingsourcewater 10,99
+heat_w_noaccess heatingsourcewater 11
+heat_s_elecmains heatingsourcespace 1
+heat_s_elecother heatingsourcespace 2
+heat_s_gas heatingsourcespace 3
+heat_s_paraffin heatingsourcespace 4
+heat_s_coal heatingsourcespace 6
+heat_s_wood heatingsourcespace 5
+heat_s_dung heatingsourcespace 8
+heat_s_solar heatingsourcespace 9
+heat_s_other heatingsourcespace 10,99
+heat_s_noaccess heatingsourcespace 11
+"""
+_HOT_ROWS = [line.split(" ", 2) for line in _HOT_CODES.split("\n") if line]
+_HOT = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN CAST({c} IN ({codes}) AS INT) END AS {name}" for name, c, codes in _HOT_ROWS)
 register(
     "one_hot",
-    "hh_id:i " + " ".join(f"{n}:i" for n in INDICATORS),
+    "hh_id:i " + " ".join(f"{name}:i" for name, _, _ in _HOT_ROWS),
     lambda t: codebook.one_hot(energy.with_electricity_source(_frame(t)), INDICATORS, ["hh_id"]),
     f"SELECT hh_id, {_HOT} FROM (SELECT * REPLACE ({_SOURCE} AS electricitysource) FROM frame) f",
 )

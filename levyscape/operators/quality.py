@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join
@@ -163,10 +163,15 @@ def two_sided_coverage(a: DataFrame, b: DataFrame, key: str, left: str, right: s
     return both.filter(F.col(left).isNull() | F.col(right).isNull()).select(key, left, right)
 
 
+def any_infinite(columns: Sequence[str]) -> Column:
+    """Aggregate: is any of the columns infinite anywhere."""
+    hit = reduce(or_, [F.abs(c) == F.lit(float("inf")) for c in columns])
+    return F.coalesce(F.bool_or(hit), F.lit(False))
+
+
 def has_infinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: is any of the columns infinite anywhere."""
-    hit = reduce(or_, [F.abs(c) == F.lit(float("inf")) for c in columns])
-    return df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("infinite"))
+    return df.agg(any_infinite(columns).alias("infinite"))
 
 
 def drill_down(df: DataFrame, flagged: DataFrame, key: str) -> DataFrame:

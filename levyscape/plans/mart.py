@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levyscape.functions.nulls import natural_join, ratio
-from levyscape.operators.quality import ambiguous_codes, collapse_lines, has_infinite, require, unmatched_codes
+from levyscape.operators.quality import CheckFailed, ambiguous_codes, any_infinite, collapse_lines, require, unmatched_codes
 from levyscape.operators.reshape import first_per_key
 from levyscape.operators.weighted import weighted_bins
 from levyscape.plans.carbon import CARRIERS, OUTSIDE, PRICE, carbon_intensity, incidence
 from levyscape.plans.households import household_frame, item_spending
 from levyscape.plans.spending import DELETED, NON_MARKET, clean_spending, exchange_rate
-from levyscape.sources.staging import stage
+from levyscape.sources.staging import stage, stage_observing
 
 
 # Names of the gates.
@@ -180,9 +180,9 @@ def build_mart(
         "hh_expenditures_pc", ratio("hh_expenditures", "hh_size")
     )
     # Bins cover every household with counted spending, emitting or not.
-    staged = stage(basic.filter(F.col("hh_expenditures").isNotNull()))
-    if check:
-        tonnes = [f"CO2_t_{name}" for name in CARRIERS]
-        require(has_infinite(staged, tonnes).filter("infinite"), "infinite tonnes: check the intensities")
+    infinite = any_infinite([f"CO2_t_{name}" for name in CARRIERS])
+    staged, seen = stage_observing(basic.filter(F.col("hh_expenditures").isNotNull()), infinite=infinite)
+    if check and seen.get("infinite"):
+        raise CheckFailed("infinite tonnes: check the intensities")
     binned = weighted_bins(staged, "hh_expenditures_pc", "hh_weights", ks, "Income_Group_")
     return incidence(binned.filter(F.col("_emitting") > 0), price, survey.year).drop("_emitting")

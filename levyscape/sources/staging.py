@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +43,14 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_observing(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The staged frame and aggregates of its rows, taken while they are written.
+
+    No further pass reads the rows. A task that runs twice may count twice: ask for
+    extremes and conditions, not for exact counts. A measure of no rows may be missing.
+    """
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(name) for name, c in measures.items()]))
+    return staged, seen.get

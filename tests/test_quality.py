@@ -4,6 +4,8 @@ from collections import defaultdict
 import pytest
 
 from levyscape.operators import quality as q
+from pyspark.sql import functions as F
+from levyscape.sources.staging import stage_observing
 
 
 def lines(spark, rows):
@@ -82,3 +84,11 @@ def test_infinite_guard(spark):
     df = spark.createDataFrame([(1.0,), (float("-inf"),), (None,)], "x double")
     assert q.has_infinite(df, ["x"]).first().infinite
     assert not q.has_infinite(df.filter("x = 1"), ["x"]).first().infinite
+
+
+def test_infinities_are_seen_while_rows_are_staged(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("-inf")), (3, None)], "id int, x double")
+    for rows, infinite in ((df, True), (df.filter("id <> 2"), False), (df.filter("x > 5"), False), (df.filter(F.lit(False)), False)):
+        staged, seen = stage_observing(rows, infinite=q.any_infinite(["x"]))
+        assert bool(seen.get("infinite")) is infinite
+        assert sorted(r.id for r in staged.collect()) == sorted(r.id for r in rows.collect())

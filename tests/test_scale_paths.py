@@ -7,6 +7,7 @@ from levyscape.functions.survey_codes import INDICATOR_WORDS, INDICATORS
 from levyscape.operators import quality, ranking
 from levyscape.operators import weighted as w
 from levyscape.sources import staging
+from workload.bindings import SQL, Tables
 from workload.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,33 @@ def test_every_indicator_has_a_caption(spark):
     assert got["edu_primary"] == "Education: Primary" and got["heat_w_elecmains"] == "Heating Water: Electricity Mains"
     assert got["urb_urban_formal"] == "Res. Area: Urban Formal" and got["gender_female"] == "Gender: Female"
     assert all(": " in c for c in got.values())
+
+
+@pytest.fixture
+def small_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "48k")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def moved(df):
+    """How often the plan, before it adapts, moves rows for a join."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_outlier_bounds_come_to_the_lines(spark, small_broadcast):
+    """Few groups, many rows: the bounds travel, the rows stay."""
+    lines = staging.stage(spark.range(40_000).select((F.col("id") % 5).alias("g"), (F.col("id") * 7919 % 10007).cast("double").alias("x"), F.lit(1.0).alias("w")))
+    assert moved(w.replace_outliers(lines, "x", "w", ["g"])) == 0
+    assert moved(w.flag_outliers(lines, "x", "w", ["g"])) == 0
+
+
+def test_items_are_the_rows_of_their_sql(spark):
+    """Lines carry their amount through the joins and are not sorted for them."""
+    t = Tables(spark, SF)
+    plain = spark.sql(SQL["items"], lineitem=t.lineitem, orders=t.orders, part=t.part)
+    assert t.items.columns == plain.columns and t.items.count() == plain.count()
+    assert t.items.exceptAll(plain).count() == 0
+    plan = t.items._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2

@@ -109,6 +109,14 @@ def test_outlier_bounds_come_to_the_lines(spark, small_broadcast):
     assert moved(w.flag_outliers(lines, "x", "w", ["g"])) == 0
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_offsets_of_ranges_come_to_the_rows(spark, small_broadcast, by):
+    rows = spark.range(40_000).select((F.col("id") % 5).alias("g"), F.col("id"), (F.col("id") * 7919 % 10007).alias("x"))
+    got = ranking.ranked(rows, "x", "id", by)
+    assert moved(got) == 0
+    assert got.count() == 40_000 and got.agg(F.max("rn")).first()[0] == (8_000 if by else 40_000)
+
+
 def test_items_are_the_rows_of_their_sql(spark):
     """Lines carry their amount through the joins and are not sorted for them."""
     t = Tables(spark, SF)
@@ -117,3 +125,13 @@ def test_items_are_the_rows_of_their_sql(spark):
     assert t.items.exceptAll(plain).count() == 0
     plan = t.items._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
+def test_ranked_tables_hold_only_what_is_asked_for(spark, monkeypatch):
+    """What the ranking of the mart writes: keys, flags and model columns."""
+    widths, plain = [], ranking.stage
+    monkeypatch.setattr(ranking, "stage", lambda df: widths.append(len(df.columns)) or plain(df))
+    for name, most in (("top_decile_flag", 4), ("logit_side_by_side", 24), ("transfer_full", 14)):
+        widths.clear()
+        QUERIES[name](spark, SF)
+        assert widths and max(widths) <= most, (name, widths)

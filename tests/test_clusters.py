@@ -111,3 +111,45 @@ def test_few_distinct_rows_and_empty_table(spark):
     assert learning.silhouettes(none, COLS, (2, 3)).count() == 0
     assert [r.k for r in learning.elbow(none, COLS, (2, 3)).collect()] == [1]
     assert not math.isnan(got := clusters.distances(np.ones((2, 2)), np.ones((1, 2))).sum()) and got == 0
+
+
+def test_tile_of_distances_far_from_the_origin():
+    """Equal and very near points keep their digits in a tile."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(clusters.TILE, 40)) + 1e3, rng.normal(size=(clusters.SLICE, 40)) + 1e3
+    b[:3] = a[:3]
+    b[3] = a[4] + 1e-9
+    exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert np.abs(clusters.distances(a, b) - exact).max() < 1e-9
+    assert (np.diag(clusters.distances(a, b))[:3] == 0).all()
+
+
+def test_nearest_centre_is_that_of_plain_differences():
+    """Ties go to the first centre, also far from the origin, where products are rough."""
+    rng = np.random.default_rng(5)
+    for shift in (0.0, 1e6):
+        x = rng.integers(0, 4, size=(3000, 6)) + shift
+        centres = np.vstack([x[:7], x[3], x[:5] + 0.5])
+        gaps = ((x[:, None] - centres[None]) ** 2).sum(2)
+        label, gap = clusters.nearest(x, centres)
+        assert (label == gaps.argmin(1)).all() and (gap == gaps.min(1)).all()
+
+
+def test_blocks_get_tasks_of_their_own(spark):
+    """Many blocks: no task holds more than a few of them."""
+    rng = np.random.default_rng(6)
+    x, labels = rng.normal(size=(640, 2)), rng.integers(1, 3, 640)
+    points = spark.createDataFrame([(list(map(float, a)), [int(b)]) for a, b in zip(x, labels)], "x array<double>, labels array<int>")
+    got = clusters.silhouette(points, 1, held=10)
+    assert "rangepartitioning(block" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first().silhouette == pytest.approx(plain_silhouette(x, labels), abs=1e-7)
+
+
+def test_starting_rows_are_the_first_distinct_ones_by_hash(spark):
+    """Also if most rows repeat; only rows that the sample can reach are made distinct."""
+    x = np.round(np.random.default_rng(7).normal(size=(400, 2)), 1)
+    rows = clusters.complete(frame(spark, np.repeat(x, 3, axis=0)), COLS)
+    order = F.xxhash64(F.lit(2), *COLS)
+    plain = rows.distinct().orderBy(order, *COLS).limit(50)
+    got, want = (clusters.starting_centres(r, COLS, (6,), starts=50)[6] for r in (rows, plain))
+    assert (got == want).all()

@@ -35,7 +35,7 @@ from levyscape.llm.common import in_sieve, lower_case, mix, name_words, sieve, s
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 # bytes of text whose phrases a task holds at a time
-SLICE = 8 << 20
+SLICE = 2 << 20
 # phrases of one length that a task counts before it hands them on
 HELD = 1 << 20
 

@@ -232,3 +232,70 @@ def test_states_of_tasks_without_rows_and_of_no_rows(data):
         regression.logit(none, "hit", SPEC)
     few = regression.ols(data.filter("hh_id < 2").repartition(6), "y", ModelSpec(("x", "x2")))
     assert few.fit["n"] == 2 and few.errors == [None, None] and [t.name for t in few.aliased] == ["x2"]
+
+
+def _forest_rows(spark, n=6000):
+    rng = np.random.default_rng(5)
+    x, a, b = rng.normal(size=n), rng.integers(0, 2, n), rng.integers(0, 5, n)
+    y = np.sin(2 * x) + 2.0 * a * (b > 2) + rng.normal(scale=0.1, size=n)
+    rows = [(int(i), *map(float, r)) for i, r in enumerate(zip(x, a, b, np.ones(n), y))]
+    return spark.createDataFrame(rows, "k long, x double, a double, b double, same double, y double").repartition(5)
+
+
+_FOREST = ["x", "a", "b", "same"]
+
+
+def test_forest_is_the_same_however_it_is_dealt_out(spark, monkeypatch):
+    """Trees grown in one region each, and in many with upper nodes from histograms, cut alike."""
+    from levyscape.operators import forests
+
+    rows = _forest_rows(spark)
+    whole = learning.forest(rows, "y", _FOREST, mtry=2, trees=12)
+    one = learning.predict_with_truth(whole, rows, _FOREST, "y", "k").toPandas().sort_values("k")
+    assert not (whole.top.column >= 0).any() and len(one) == 6000
+    monkeypatch.setattr(forests, "REGION", 300)
+    monkeypatch.setattr(forests, "CELLS", 5000)
+    parts = learning.forest(rows, "y", _FOREST, mtry=2, trees=12)
+    many = learning.predict_with_truth(parts, rows, _FOREST, "y", "k").toPandas().sort_values("k")
+    assert (parts.top.column >= 0).sum() > 100
+    assert one.Predicted.to_numpy() == pytest.approx(many.Predicted.to_numpy(), abs=1e-9)
+    assert whole.importances() == pytest.approx(parts.importances(), abs=1e-9)
+    assert whole.importances()[3] == 0 and sum(whole.importances()) == pytest.approx(1)
+    # the largest part of a tree that a task holds is bounded by the region, not by the table
+    assert parts.nodes.selectExpr("max(length(mean)) / 8 as n").first().n <= 300 / 5
+
+
+def test_forest_is_as_good_as_the_learner_of_spark(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = _forest_rows(spark)
+    train, rest = rows.filter("k % 4 > 0"), rows.filter("k % 4 = 0")
+    # without the constant column: a node that tries no other stays a leaf, and luck decides how many do
+    names = _FOREST[:3]
+    learner = RandomForestRegressor(labelCol="y", numTrees=60, maxDepth=30, minInstancesPerNode=5, featureSubsetStrategy="2", seed=1)
+    theirs = learner.fit(learning.assembled(train, names))
+    scored = theirs.transform(learning.assembled(rest, names))
+    want = regression.prediction_errors(scored, "y", "prediction").first().rmse
+    ours = learning.forest(train, "y", names, mtry=2, trees=60)
+    assert regression.prediction_errors(learning.predict_with_truth(ours, rest, names, "y", "k"), "Actual", "Predicted").first().rmse == pytest.approx(want, rel=0.1)
+    assert ours.importances() == pytest.approx(theirs.featureImportances.toArray().tolist(), abs=0.05)
+
+
+def test_forest_search_leaves_folds_out(spark):
+    """An outcome of pure noise: rows a tree has seen would be predicted better than by their mean."""
+    rows = spark.createDataFrame([(i, float(i * 7919 % 1009), float(i * 104729 % 997)) for i in range(1500)], "k long, x double, y double")
+    found = learning.forest_cv(rows, "y", ["x"], mtry=(1, 3), folds=4, trees=8)
+    sd = rows.agg(F.stddev_pop("y")).first()[0]
+    assert found.mtry == [1, 3] and all(r > 0.98 * sd for r in found.rmse)
+    assert found.best.trees.held.max() == -1 and len(found.best.trees.names) == 8
+
+
+def test_forest_of_odd_rows(spark):
+    """Few rows, equal outcomes, missing predictors and outcomes, and no rows."""
+    rows = spark.createDataFrame([(i, float(i % 3) if i else None, 7.5) for i in range(9)], "k long, x double, y double")
+    few = learning.predict_with_truth(learning.forest(rows, "y", ["x"], 1, trees=5), rows, ["x"], "y", "k").collect()
+    assert sorted(r.k for r in few) == list(range(1, 9)) and all(r.Predicted == pytest.approx(7.5) for r in few)
+    with pytest.raises(ValueError):
+        learning.forest(rows.filter("k = 0"), "y", ["x"], 1, trees=2)
+    with pytest.raises(ValueError):
+        learning.forest(rows.withColumn("y", F.when(F.col("k") > 4, 1.0)), "y", ["x"], 1, trees=2)

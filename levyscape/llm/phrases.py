@@ -157,6 +157,16 @@ def _spelled(sieves):
     return run
 
 
+def task_counts(texts: DataFrame, sieves) -> DataFrame:
+    """Counts of the phrases in the bitmaps by task, on twice as many tasks as there are cores at most.
+
+    A frequent phrase is met in nearly every task: with a task for each split, both tasks and
+    phrases would grow with the texts, and the rows with their product.
+    """
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(tasks).mapInArrow(_spelled(sieves), "lang string, size int, phrase string, n long")
+
+
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """Counts of the frequent phrases of 1 to `longest` words (lang, size, phrase, f); of all words at size 0, phrase empty."""
     spark = docs.sparkSession
@@ -166,8 +176,7 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataF
         named = texts.mapInArrow(_named(width, sieves[-1] if sieves else None), "name long, n long")
         frequent = named.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         sieves.append(spark.sparkContext.broadcast(sieve(frequent, F.col("name"))))
-    spelled = texts.mapInArrow(_spelled(sieves), "lang string, size int, phrase string, n long")
-    return spelled.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
+    return task_counts(texts, sieves).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from levyscape.llm import phrases
 from tests.llm.helpers import docs, lower, prose, rows
 
@@ -71,3 +74,13 @@ def test_products_beyond_64_bits(spark):
     found = [("en", 0, "", 9 * 10**14), ("en", 1, "a", big + 7), ("en", 1, "b", big + 11), ("en", 2, "a b", big)]
     got = [tuple(r) for r in phrases.scored(spark.createDataFrame(found, schema)).collect()]
     assert got == [("en", "a b", big, big + 7, big + 11, 9 * 10**14, 1000 * big * 9 * 10**14 // ((big + 7) * (big + 11)))]
+
+
+def test_rows_of_a_phrase_follow_the_cores_not_the_splits(spark):
+    every = spark.sparkContext.broadcast(np.full(1 << 19, 2**64 - 1, np.uint64))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    table = spark.range(40 * tasks, numPartitions=4 * tasks).selectExpr("'in the house' AS text", "'en' AS lang")
+    found = phrases.task_counts(table, [every, every])
+    got = {r.phrase: (r.rows, r.n) for r in found.filter("size > 0").groupBy("phrase").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
+    assert set(got) == {"in", "the", "house", "in the", "the house"}
+    assert all(rows <= tasks and n == 40 * tasks for rows, n in got.values()), got

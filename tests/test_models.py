@@ -299,3 +299,48 @@ def test_forest_of_odd_rows(spark):
         learning.forest(rows.filter("k = 0"), "y", ["x"], 1, trees=2)
     with pytest.raises(ValueError):
         learning.forest(rows.withColumn("y", F.when(F.col("k") > 4, 1.0)), "y", ["x"], 1, trees=2)
+
+
+def test_forest_of_rows_that_a_task_can_hold_takes_no_pass_for_its_upper_nodes(spark, monkeypatch):
+    from levyscape.operators import forests
+
+    passes = []
+    plain = forests._level
+    monkeypatch.setattr(forests, "_level", lambda *a: passes.append(1) or plain(*a))
+    rows = spark.range(40000).selectExpr("double(id % 997) as x", "double(id * 31 % 101) as y")
+    model = learning.forest(rows, "y", ["x"], mtry=1, trees=3)
+    assert not passes and len(model.top.tree) == 3 and model.nodes.count() == 3
+
+
+def test_large_nodes_and_many_small_ones_are_cut_as_a_plain_tree_is(monkeypatch):
+    """One by one above SMALL rows, side by side below, columns of 1, 2 and more bins."""
+    from levyscape.operators import forests
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    values = [rng.normal(size=n), *rng.integers(0, 2, (9, n)).astype(float), np.ones(n), rng.integers(0, 5, n).astype(float)]
+    cuts = [np.quantile(values[0], np.arange(1, 32) / 32), *[np.array([0.5])] * 9, np.zeros(0), np.arange(4) + 0.5]
+    code = forests.Code(tuple(map(str, range(12))), tuple(cuts))
+    packed = code.pack(values)
+    y = values[0] * values[3] + np.sin(values[11]) + rng.normal(scale=0.3, size=n)
+    w = rng.integers(1, 4, n).astype(float)
+    want = forests._plain_subtree(code.unpack(packed), y, w, np.uint64(77), 5, 12, 5, code.widths)
+    for small, side in ((2000, 4000), (300, 900), (30, 40)):
+        monkeypatch.setattr(forests, "SMALL", small)
+        monkeypatch.setattr(forests, "SIDE", side)
+        got = forests._subtree(code, packed, y, w, np.uint64(77), 5, 12, 5)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and (want[0] >= 0).sum() > 200
+        assert got[2] == pytest.approx(want[2]) and got[3] == pytest.approx(want[3])
+
+
+def test_draws_are_those_of_the_hash():
+    from levyscape.operators import forests
+
+    trees = forests.plan([(1, -1), (1, 2)], 40, 4, 1)
+    ids = np.arange(5000, dtype=np.uint64) * np.uint64(3)
+    u = (forests._hash(ids[:, None], trees.names[None, :]) >> np.uint64(11)).astype(float) / 2**53
+    want = np.searchsorted(forests._POISSON, u, "right")
+    want[trees.fold(ids)[:, None] == trees.held[None, :]] = 0
+    for tree, rows, w in trees.drawn(ids, range(80)):
+        assert (w == want[:, tree]).all() and (rows == np.flatnonzero(w)).all()
+    assert [len(rows) for _, rows in trees.scored(ids, (0, 40))] == [5000, (trees.fold(ids) == 2).sum()]

@@ -153,3 +153,26 @@ def test_starting_rows_are_the_first_distinct_ones_by_hash(spark):
     plain = rows.distinct().orderBy(order, *COLS).limit(50)
     got, want = (clusters.starting_centres(r, COLS, (6,), starts=50)[6] for r in (rows, plain))
     assert (got == want).all()
+
+
+@pytest.mark.parametrize("real", [0, 1, 6])
+def test_silhouette_of_whole_and_other_columns_in_blocks_of_many_packs(spark, monkeypatch, real):
+    """Blocks of several packs: every distance is taken once, for both points; whole numbers by exact products."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.integers(-3, 4, (260, 5)), rng.normal(size=(260, real)) + 1e3])
+    labels = np.column_stack([rng.integers(1, 4, 260), np.r_[rng.integers(1, 3, 259), 3]])
+    rows = [(list(map(float, a)), list(map(int, b))) for a, b in zip(x, labels)]
+    points = spark.createDataFrame([*rows, *rows[:40]], "x array<double>, labels array<int>")
+    x, labels = np.vstack([x, x[:40]]), np.vstack([labels, labels[:40]])
+    for pack in (clusters.PACK, 7):
+        monkeypatch.setattr(clusters, "PACK", pack)
+        got = {r.model: r.silhouette for r in clusters.silhouette(points, 2).collect()}
+        for model in (1, 2):
+            assert got[model] == pytest.approx(plain_silhouette(x, labels[:, model - 1]), abs=1e-9)
+
+
+def test_points_travel_once_per_block_as_bytes(spark):
+    """Between the blocks packs of points are moved, not one row for each point and block."""
+    points = spark.createDataFrame([([float(i), i / 7], [i % 3 + 1]) for i in range(3000)], "x array<double>, labels array<int>")
+    plan = clusters.silhouette(points, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "whole#" in plan and "x#" not in plan
